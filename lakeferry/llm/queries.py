@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeferry.llm import kd_sharding, mixing, token_counts
+from lakeferry.llm import bradley_terry, kd_sharding, mixing, quality_rules, token_counts, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,20 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality_rules.apply_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "held_out", "score", "predicted")
+
+
+def op6_bradley_terry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bradley_terry.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = kd_sharding.shard_documents(table(spark, sf_dir, "documents"), 16)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("int").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
@@ -63,5 +77,5 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES = {"op7_kd_sharding": op7_kd_sharding, "op8_mixing": op8_mixing, "op10_token_counts": op10_token_counts}
+QUERIES = {"op2_quality_rules": op2_quality_rules, "op4_toxicity": op4_toxicity, "op6_bradley_terry": op6_bradley_terry, "op7_kd_sharding": op7_kd_sharding, "op8_mixing": op8_mixing, "op10_token_counts": op10_token_counts}
 ORACLES = {"op8_mixing": OP8_SQL}

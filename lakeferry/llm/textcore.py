@@ -65,11 +65,11 @@ def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, in
         i = j
 
 
-def find_words(buf: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(starts, ends, first word of each document and one more) of the words; no word crosses a document's bound."""
+def find_words(buf: np.ndarray, bounds: np.ndarray, gap: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, first word of each document and one more) of the words, runs of bytes not in ``gap``; no word crosses a document's bound."""
     if not len(buf):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(bounds), np.int64)
-    solid = ~SPACE[buf]
+    solid = ~gap[buf]
     first, last = solid.copy(), solid.copy()
     first[1:] &= ~solid[:-1]
     last[:-1] &= ~solid[1:]
@@ -168,3 +168,17 @@ def minimizers(h: np.ndarray, w: int) -> np.ndarray:
 def segment_ids(per: np.ndarray) -> np.ndarray:
     """Document number of every item, from the first item of each document and one more."""
     return np.repeat(np.arange(len(per) - 1), np.diff(per))
+
+
+def per_document(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Sums of ``values`` over each document's stretch."""
+    total = np.concatenate([[0], np.cumsum(values, dtype=np.int64)])
+    return total[bounds[1:]] - total[bounds[:-1]]
+
+
+def covered(starts: np.ndarray, length: int | np.ndarray, n: int) -> np.ndarray:
+    """Mask of the n items that the stretches cover."""
+    edge = np.zeros(n + 1, np.int64)
+    np.add.at(edge, starts, 1)
+    np.add.at(edge, starts + length, -1)
+    return np.cumsum(edge[:n]) > 0
