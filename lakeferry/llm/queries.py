@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeferry.llm import bradley_terry, kd_sharding, mixing, quality_rules, token_counts, toxicity
+from lakeferry.llm import bradley_terry, kd_sharding, mixing, ngram_join, quality_rules, token_counts, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,26 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.linked_components(table(spark, sf_dir, "documents"))
+
+
+OP1_SQL = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))
+                                      WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS s FROM w
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+o AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS MATERIALIZED (SELECT x, y FROM o JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * c >= 80 * (p.n + q.n - c)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r AS (SELECT doc_id, doc_id AS reach FROM documents UNION SELECT r.doc_id, e.y FROM r JOIN e ON r.reach = e.x)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, d.component_id
+FROM (SELECT doc_id, min(reach) AS component_id FROM r GROUP BY doc_id) d LEFT JOIN n USING (doc_id)
+"""
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_rules.apply_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -77,5 +97,5 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES = {"op2_quality_rules": op2_quality_rules, "op4_toxicity": op4_toxicity, "op6_bradley_terry": op6_bradley_terry, "op7_kd_sharding": op7_kd_sharding, "op8_mixing": op8_mixing, "op10_token_counts": op10_token_counts}
-ORACLES = {"op8_mixing": OP8_SQL}
+QUERIES = {"op1_ngram_join": op1_ngram_join, "op2_quality_rules": op2_quality_rules, "op4_toxicity": op4_toxicity, "op6_bradley_terry": op6_bradley_terry, "op7_kd_sharding": op7_kd_sharding, "op8_mixing": op8_mixing, "op10_token_counts": op10_token_counts}
+ORACLES = {"op1_ngram_join": OP1_SQL, "op8_mixing": OP8_SQL}
