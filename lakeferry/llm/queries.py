@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeferry.llm import bradley_terry, kd_sharding, mixing, ngram_join, quality_rules, token_counts, toxicity
+from lakeferry.llm import bradley_terry, kd_sharding, mixing, ngram_join, quality_rules, substring_dedup, suffix_dedup, token_counts, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,11 +43,36 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return out.select("doc_id", "held_out", "score", "predicted")
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+OP5_SQL = """
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents
+), s AS (
+  SELECT doc_id, unnest(range(1, len(ws) - 33)) AS p, ws FROM w WHERE len(ws) >= 35
+), h AS (SELECT doc_id, p, md5(array_to_string(ws[p:p + 34], ' ')) AS k FROM s),
+twice AS (SELECT k FROM h GROUP BY k HAVING count(*) > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(p, p + 35)) AS i FROM h SEMI JOIN twice USING (k)),
+each AS (SELECT doc_id, unnest(range(1, len(ws) + 1)) AS i, unnest(ws) AS word FROM w),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS t FROM each ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id),
+n AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT w.doc_id, len(w.ws)::BIGINT AS n_words, coalesce(n.n, 0)::BIGINT AS n_removed, sha256(coalesce(kept.t, '')) AS kept_sha256
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+
 def op6_bradley_terry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bradley_terry.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -97,5 +122,5 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES = {"op1_ngram_join": op1_ngram_join, "op2_quality_rules": op2_quality_rules, "op4_toxicity": op4_toxicity, "op6_bradley_terry": op6_bradley_terry, "op7_kd_sharding": op7_kd_sharding, "op8_mixing": op8_mixing, "op10_token_counts": op10_token_counts}
-ORACLES = {"op1_ngram_join": OP1_SQL, "op8_mixing": OP8_SQL}
+QUERIES = {"op1_ngram_join": op1_ngram_join, "op2_quality_rules": op2_quality_rules, "op3_suffix_dedup": op3_suffix_dedup, "op4_toxicity": op4_toxicity, "op5_substring_dedup": op5_substring_dedup, "op6_bradley_terry": op6_bradley_terry, "op7_kd_sharding": op7_kd_sharding, "op8_mixing": op8_mixing, "op10_token_counts": op10_token_counts}
+ORACLES = {"op1_ngram_join": OP1_SQL, "op5_substring_dedup": OP5_SQL, "op8_mixing": OP8_SQL}
