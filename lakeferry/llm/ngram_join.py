@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakeferry.llm.components import components
@@ -30,6 +30,8 @@ from lakeferry.runtime import materialize, ship
 WORDS, SIMILARITY = 5, 80
 #: Rows of a block, and central rows of the family that each of its blocks also has.
 BLOCK_ROWS, LEADERS = 256, 8
+#: In families of up to so many rows, pairs whose prefixes have too little in common are discarded before whole sets are read.
+SMALL = 64
 #: A shingle is common if this share of some batch's documents has it, and COMMON_LEAST of them; as many common shingles are known at most.
 COMMON_SHARE, COMMON_LEAST, COMMON_MAX = 1 / 400, 8, 1 << 18
 #: Bits of the filter that keeps documents without a shared shingle from being read a third time; false passes do no harm.
@@ -174,6 +176,15 @@ def linked_components(docs: DataFrame, words: int = WORDS, similarity: int = SIM
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def _may_link(n: Column, m: Column, common: Column, similarity: int) -> Column:
+    """Whether sets of n and m shingles can link if their prefixes have ``common`` shingles at most in common.
+
+    Of the two prefixes one ends first in the order of shingles. What that set has beyond its prefix is all that can be common besides.
+    """
+    rest = lambda x: F.floor((x * similarity + 99) / 100) - 1
+    return (common + F.greatest(rest(n), rest(m))) * (100 + similarity) >= (n + m) * similarity
+
+
 def _span(docs: DataFrame, shared: DataFrame, words: int, similarity: int) -> DataFrame:
     """Links u, v that connect all linked rows."""
     # family: the prefix shingle that most rows share; central: the larger the share of the prefix that others share
@@ -183,19 +194,26 @@ def _span(docs: DataFrame, shared: DataFrame, words: int, similarity: int) -> Da
         F.first("n").alias("n"),
     )
     row = row.select("id", "n", "central", F.col("top.tok").alias("family"))
-    size = row.groupBy("family").agg(F.count(F.lit(1)).alias("members"), F.max_by(F.col("id"), F.struct("central", "id")).alias("first"))
+    size = row.groupBy("family").agg(F.count(F.lit(1)).alias("members"))
     row = row.join(size, "family").withColumn("blocks", F.ceil(F.col("members") / BLOCK_ROWS).cast("long"))
-    row = materialize(row.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks"))).drop("members", "first"), "row")
+    row = materialize(row.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks"))), "row")
     big = row.filter("blocks > 1")
     # the most central rows of a family of several blocks: the best of each block first, so that no task sees the family
     best = Window.partitionBy("family", "block").orderBy(F.desc("central"), "id")
     best = big.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= LEADERS)
     best = best.withColumn("r", F.row_number().over(Window.partitionBy("family").orderBy(F.desc("central"), "id"))).filter(F.col("r") <= LEADERS)
     leaders = best.select("id", "family", "blocks", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
-    dealt = row.select("id", "family", "block").unionByName(leaders.select("id", "family", "block")).distinct()
-    alone = Window.partitionBy("family", "block")
-    dealt = dealt.withColumn("_k", F.count(F.lit(1)).over(alone)).filter("_k > 1").drop("_k")
-    grams = _full_sets(docs, row.select("id"), words)
+    # of small families those rows whose overlap within the prefixes leaves a link possible
+    small = row.filter(F.col("members").between(2, SMALL)).select("id", "family")
+    post = shared.select("tok", "id", "n").join(small, "id")
+    left, right = post.select("tok", "family", F.col("id").alias("a"), F.col("n").alias("na")), post.select("tok", "family", F.col("id").alias("b"), F.col("n").alias("nb"))
+    pairs = left.join(right, ["tok", "family"]).filter("a < b").filter((F.least("na", "nb") * 100 >= F.greatest("na", "nb") * similarity))
+    pairs = pairs.groupBy("a", "b", "family").agg(F.count(F.lit(1)).alias("c"), F.first("na").alias("na"), F.first("nb").alias("nb"))
+    pairs = pairs.filter(_may_link(F.col("na"), F.col("nb"), F.col("c"), similarity))
+    hopeful = pairs.select(F.explode(F.array("a", "b")).alias("id"), "family", F.lit(0).cast("long").alias("block"))
+    large = row.filter(F.col("members") > SMALL).select("id", "family", "block")
+    dealt = materialize(large.unionByName(leaders.select("id", "family", "block")).unionByName(hopeful).distinct(), "dealt")
+    grams = _full_sets(docs, dealt.select("id").distinct(), words)
 
     def within(table: pa.Table) -> pa.Table:
         ids, sets = table.column("id").to_numpy(), _to_sets(table.column("grams"))
@@ -207,8 +225,8 @@ def _span(docs: DataFrame, shared: DataFrame, words: int, similarity: int) -> Da
     first = materialize(first, "first")
     joined = components(first)
     # what a shingle still has apart: rows of other blocks whose component is another
-    at = row.select("id", "family", "block", "n").join(joined.select(F.col("node").alias("id"), "component"), "id", "left")
-    at = at.select("id", F.xxhash64("family", "block").alias("blk"), F.coalesce("component", "id").alias("comp"))
+    at = row.select("id", "family", "block", "members").join(joined.select(F.col("node").alias("id"), "component"), "id", "left")
+    at = at.select("id", F.when(F.col("members") > SMALL, F.xxhash64("family", "block")).otherwise(F.xxhash64("id")).alias("blk"), F.coalesce("component", "id").alias("comp"))
     post = shared.select("tok", "id", "n").join(at, "id")
     cells = post.groupBy("tok", "blk").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min("n").alias("n0"), F.max("n").alias("n1"))
     apart = cells.groupBy("tok").agg(F.min("c0").alias("a"), F.max("c1").alias("b"), F.count(F.lit(1)).alias("k")).filter("k > 1 and a <> b").select("tok")
@@ -220,8 +238,14 @@ def _span(docs: DataFrame, shared: DataFrame, words: int, similarity: int) -> Da
         & (F.col("n") * 100 >= F.col("n0") * similarity)
         & (F.col("n1") * 100 >= F.col("n") * similarity)
     )
-    sent = sent.select("id", "comp", F.least("blk", "blk2").alias("x"), F.greatest("blk", "blk2").alias("y"), (F.col("blk") < F.col("blk2")).alias("is_x")).distinct()
-    sent = materialize(sent, "sent")
+    sent = sent.groupBy("id", "blk", "blk2").agg(F.first("comp").alias("comp"), F.first("n").alias("n"), F.count(F.lit(1)).alias("c"), F.min("n0").alias("n0"), F.max("n1").alias("n1"))
+    # what is asked of the overlap is least at the ends of the other rows' range of sizes
+    low = F.greatest(F.col("n0"), F.ceil(F.col("n") * similarity / 100))
+    high = F.least(F.col("n1"), F.floor(F.col("n") * 100 / similarity))
+    sent = sent.filter(_may_link(F.col("n"), low, F.col("c"), similarity) | _may_link(F.col("n"), high, F.col("c"), similarity))
+    sent = sent.select("id", "comp", F.least("blk", "blk2").alias("x"), F.greatest("blk", "blk2").alias("y"), (F.col("blk") < F.col("blk2")).alias("is_x"))
+    sides = sent.groupBy("x", "y").agg(F.min("is_x").alias("lo"), F.max("is_x").alias("hi")).filter("lo <> hi").select("x", "y")
+    sent = materialize(sent.join(sides, ["x", "y"]).select("id", "comp", "x", "y", "is_x"), "sent")
 
     def between(table: pa.Table) -> pa.Table:
         ids, sets = table.column("id").to_numpy(), _to_sets(table.column("grams"))
