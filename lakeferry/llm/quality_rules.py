@@ -146,3 +146,20 @@ def apply_rules(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS, kee
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return text_rows(docs).mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"{c} long" for c in BASE) + ", base_failed boolean, chance double, kept boolean")
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS, keep_at: float = KEEP_AT) -> DataFrame:
+    """The rows of ``docs`` that the rules keep, with all their columns; nothing is shuffled."""
+    ship(docs.sparkSession)
+    forest = docs.sparkSession.sparkContext.broadcast(fit_forest(*sample_features(docs, labels, "quality", limit)))
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = np.zeros(batch.num_rows, bool)
+            for i, j, buf, bounds in slices(batch.column(at)):
+                s = document_stats(buf, bounds)
+                keep[i:j] = ~base_failed(s) & (forest.value.chance(features(s)) >= keep_at)
+            yield batch.filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)

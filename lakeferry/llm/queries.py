@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeferry.llm import bradley_terry, kd_sharding, mixing, ngram_join, quality_rules, substring_dedup, suffix_dedup, token_counts, toxicity
+from lakeferry.llm import bradley_terry, decontaminate, kd_sharding, mixing, ngram_join, quality_rules, substring_dedup, suffix_dedup, token_counts, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,11 +77,14 @@ def op6_bradley_terry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bradley_terry.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-def op7_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = kd_sharding.shard_documents(table(spark, sf_dir, "documents"), 16)
+def shard_digest(out: DataFrame) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("int").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op7_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_digest(kd_sharding.shard_documents(table(spark, sf_dir, "documents"), 16))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -118,9 +121,40 @@ FROM ranked
 """
 
 
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP9_SQL = """
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents
+), b AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS ws FROM benchmark
+), s AS (SELECT doc_id, len(ws) AS n, unnest(range(1, len(ws) - 3)) AS p, ws FROM d WHERE len(ws) >= 5),
+ds AS (SELECT doc_id, n, p, array_to_string(ws[p:p + 4], ' ') AS g FROM s),
+t AS (SELECT item_id, len(ws) AS n, unnest(range(1, len(ws) - 3)) AS p, ws FROM b WHERE len(ws) >= 5),
+bs AS (SELECT item_id, n, p, array_to_string(ws[p:p + 4], ' ') AS g FROM t),
+w AS (
+  SELECT DISTINCT ds.doc_id, bs.item_id, bs.n AS len, greatest(1, least(ds.p - bs.p + 1, ds.n - bs.n + 1)) AS f FROM ds JOIN bs USING (g)
+), inside AS (
+  SELECT w.doc_id, w.item_id, w.f, w.len, ds.g, count(*) AS c FROM w JOIN ds ON ds.doc_id = w.doc_id AND ds.p >= w.f AND ds.p <= w.f + w.len - 5 GROUP BY ALL
+), own AS (SELECT item_id, g, count(*) AS c FROM bs GROUP BY ALL),
+total AS (SELECT item_id, sum(c) AS c FROM own GROUP BY item_id),
+scored AS (
+  SELECT i.doc_id, i.item_id, i.f, i.len, sum(least(i.c, coalesce(o.c, 0)))::DOUBLE AS lesser, sum(i.c)::DOUBLE AS here
+  FROM inside i LEFT JOIN own o ON o.item_id = i.item_id AND o.g = i.g GROUP BY ALL
+), best AS (
+  SELECT doc_id, item_id, lesser / (here + total.c - lesser) AS similarity, f, len,
+         row_number() OVER (PARTITION BY doc_id, item_id ORDER BY lesser / (here + total.c - lesser) DESC, f) AS k
+  FROM scored JOIN total USING (item_id)
+)
+SELECT doc_id, item_id, similarity, (f - 1)::BIGINT AS first_word, len::BIGINT AS n_words FROM best WHERE k = 1 AND similarity >= 0.8
+"""
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES = {"op1_ngram_join": op1_ngram_join, "op2_quality_rules": op2_quality_rules, "op3_suffix_dedup": op3_suffix_dedup, "op4_toxicity": op4_toxicity, "op5_substring_dedup": op5_substring_dedup, "op6_bradley_terry": op6_bradley_terry, "op7_kd_sharding": op7_kd_sharding, "op8_mixing": op8_mixing, "op10_token_counts": op10_token_counts}
-ORACLES = {"op1_ngram_join": OP1_SQL, "op5_substring_dedup": OP5_SQL, "op8_mixing": OP8_SQL}
+QUERIES = {"op1_ngram_join": op1_ngram_join, "op2_quality_rules": op2_quality_rules, "op3_suffix_dedup": op3_suffix_dedup, "op4_toxicity": op4_toxicity, "op5_substring_dedup": op5_substring_dedup, "op6_bradley_terry": op6_bradley_terry, "op7_kd_sharding": op7_kd_sharding, "op8_mixing": op8_mixing, "op9_decontaminate": op9_decontaminate, "op10_token_counts": op10_token_counts}
+ORACLES = {"op1_ngram_join": OP1_SQL, "op5_substring_dedup": OP5_SQL, "op8_mixing": OP8_SQL, "op9_decontaminate": OP9_SQL}
