@@ -30,6 +30,8 @@ from lakeferry.runtime import materialize, ship
 WORDS, SIMILARITY = 5, 80
 #: Rows of a block, and central rows of the family that each of its blocks also has.
 BLOCK_ROWS, LEADERS = 256, 8
+#: Shingles of a block, about, unless one row alone has more.
+BLOCK_GRAMS = 1 << 22
 #: In families of up to so many rows, pairs whose prefixes have too little in common are discarded before whole sets are read.
 SMALL = 64
 #: A shingle is common if this share of some batch's documents has it, and COMMON_LEAST of them; as many common shingles are known at most.
@@ -194,8 +196,8 @@ def _span(docs: DataFrame, shared: DataFrame, words: int, similarity: int) -> Da
         F.first("n").alias("n"),
     )
     row = row.select("id", "n", "central", F.col("top.tok").alias("family"))
-    size = row.groupBy("family").agg(F.count(F.lit(1)).alias("members"))
-    row = row.join(size, "family").withColumn("blocks", F.ceil(F.col("members") / BLOCK_ROWS).cast("long"))
+    size = row.groupBy("family").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("grams"))
+    row = row.join(size, "family").withColumn("blocks", F.ceil(F.greatest(F.col("members") / BLOCK_ROWS, F.col("grams") / BLOCK_GRAMS)).cast("long"))
     row = materialize(row.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks"))), "row")
     big = row.filter("blocks > 1")
     # the most central rows of a family of several blocks: the best of each block first, so that no task sees the family
@@ -227,11 +229,11 @@ def _span(docs: DataFrame, shared: DataFrame, words: int, similarity: int) -> Da
     # what a shingle still has apart: rows of other blocks whose component is another
     at = row.select("id", "family", "block", "members").join(joined.select(F.col("node").alias("id"), "component"), "id", "left")
     at = at.select("id", F.when(F.col("members") > SMALL, F.xxhash64("family", "block")).otherwise(F.xxhash64("id")).alias("blk"), F.coalesce("component", "id").alias("comp"))
-    post = shared.select("tok", "id", "n").join(at, "id")
-    cells = post.groupBy("tok", "blk").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min("n").alias("n0"), F.max("n").alias("n1"))
-    apart = cells.groupBy("tok").agg(F.min("c0").alias("a"), F.max("c1").alias("b"), F.count(F.lit(1)).alias("k")).filter("k > 1 and a <> b").select("tok")
-    live = post.join(apart, "tok")
-    other = cells.join(apart, "tok").select("tok", F.col("blk").alias("blk2"), "c0", "c1", "n0", "n1")
+    same = Window.partitionBy("tok")
+    live = shared.select("tok", "id", "n").join(at, "id").withColumn("a", F.min("comp").over(same)).withColumn("b", F.max("comp").over(same))
+    live = materialize(live.filter("a <> b").select("tok", "id", "n", "blk", "comp"), "live")
+    cells = live.groupBy("tok", "blk").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min("n").alias("n0"), F.max("n").alias("n1"))
+    other = cells.select("tok", F.col("blk").alias("blk2"), "c0", "c1", "n0", "n1")
     sent = live.join(other, "tok").filter(
         (F.col("blk") != F.col("blk2"))
         & ((F.col("c0") != F.col("comp")) | (F.col("c1") != F.col("comp")))
@@ -243,14 +245,28 @@ def _span(docs: DataFrame, shared: DataFrame, words: int, similarity: int) -> Da
     low = F.greatest(F.col("n0"), F.ceil(F.col("n") * similarity / 100))
     high = F.least(F.col("n1"), F.floor(F.col("n") * 100 / similarity))
     sent = sent.filter(_may_link(F.col("n"), low, F.col("c"), similarity) | _may_link(F.col("n"), high, F.col("c"), similarity))
-    sent = sent.select("id", "comp", F.least("blk", "blk2").alias("x"), F.greatest("blk", "blk2").alias("y"), (F.col("blk") < F.col("blk2")).alias("is_x"))
+    sent = sent.select("id", "comp", "n", F.least("blk", "blk2").alias("x"), F.greatest("blk", "blk2").alias("y"), (F.col("blk") < F.col("blk2")).alias("is_x"))
     sides = sent.groupBy("x", "y").agg(F.min("is_x").alias("lo"), F.max("is_x").alias("hi")).filter("lo <> hi").select("x", "y")
-    sent = materialize(sent.join(sides, ["x", "y"]).select("id", "comp", "x", "y", "is_x"), "sent")
+    # pairs of blocks are gathered at the least block that either side has to do with, so that a row isn't sent once for each pair
+    sides = materialize(sides, "sides")
+    near = sides.unionByName(sides.select(F.col("y").alias("x"), F.col("x").alias("y"))).groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("m"))
+    hub = sides.join(near, "x").join(near.select(F.col("x").alias("y"), F.col("m").alias("m2")), "y").select("x", "y", F.least("m", "m2").alias("hub"))
+    sent = materialize(sent.join(hub, ["x", "y"]).select("id", "comp", "n", "x", "y", "is_x", "hub"), "sent")
+    met = sent.select("hub", "id", "comp", "n").distinct()
+    load = met.groupBy("hub").agg((F.count(F.lit(1)) > 2 * BLOCK_ROWS).alias("many"), (F.sum("n") > BLOCK_GRAMS).alias("long"))
+    load = load.select("hub", (F.col("many") | F.col("long")).alias("apart"))
+    # a hub that too much meets at is left to its pairs
+    whole = met.join(load.filter("not apart"), "hub").select("id", "comp", F.col("hub").alias("x"), F.lit(None).cast("long").alias("y"), F.lit(None).cast("boolean").alias("is_x"))
+    sent = whole.unionByName(sent.join(load.filter("apart"), "hub").select("id", "comp", "x", "y", "is_x"))
 
     def between(table: pa.Table) -> pa.Table:
         ids, sets = table.column("id").to_numpy(), _to_sets(table.column("grams"))
-        side = table.column("is_x").to_numpy(zero_copy_only=False).astype(bool)
-        links = product_links(sets, np.flatnonzero(side), np.flatnonzero(~side), table.column("comp").to_numpy(), similarity)
+        if table.column("y").null_count:
+            left = right = np.arange(len(ids))
+        else:
+            side = table.column("is_x").to_numpy(zero_copy_only=False).astype(bool)
+            left, right = np.flatnonzero(side), np.flatnonzero(~side)
+        links = product_links(sets, left, right, table.column("comp").to_numpy(), similarity)
         return pa.table({"u": pa.array([ids[a] for a, _ in links], pa.int64()), "v": pa.array([ids[b] for _, b in links], pa.int64())})
 
     grams = _full_sets(docs, sent.select("id").distinct(), words)
