@@ -5,27 +5,32 @@ the same one. Runs of such strings meet by content (see ``anchors``), and those
 What differs is dealt to shards by content, so that equal strings share a shard. A shard builds the suffix array of its bytes by
 Larsson-Sadakane refinement (sort by eight bytes, then by the ranks found, doubling the depth, unsorted groups alone), gets
 the common prefixes of neighbours in Kasai's way, and keeps the earliest of strings that have LENGTH bytes in common. Content that
-very many documents have is dealt to several shards, whose sorted survivors are merged by binary search.
+very many documents have is dealt to several shards, whose sorted survivors are merged by binary search. A shard is a range of keys within
+a task, which takes them up one after the other, so a task holds SHARD_BYTES, about, at a time.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass, fields
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeferry.llm.anchors import _BYTE, SpanHash, Windows, finish, halves, run_lists, settle, unpack, with_runs
+from lakeferry.llm.anchors import _BYTE, PIECE_BYTES, SpanHash, Windows, find_runs, finish, halves, pack, run_lists, settle
 from lakeferry.llm.substring_dedup import column_bytes_of
-from lakeferry.llm.textcore import mix
+from lakeferry.llm.docstats import text_rows
+from lakeferry.llm.textcore import mix, slices
 from lakeferry.runtime import materialize, ship
 
 LENGTH, GRAM = 100, 16
 #: Bytes of a shard, about, and stretches with one key in a shard at most.
-SHARD_BYTES, KEY_ROWS = 1 << 21, 2048
+SHARD_BYTES, KEY_ROWS = 1 << 19, 2048
+#: Bits of the filter that tells open runs when texts are read again; what it lets through wrongly is compared in vain.
+FILTER_BITS = 1 << 25
 
 
 def suffix_array(buf: np.ndarray) -> np.ndarray:
@@ -91,10 +96,8 @@ def common_prefixes(buf: np.ndarray, order: np.ndarray, cap: int, stride: int =
     return plcp[order]
 
 
-def later_windows(stretches: list[np.ndarray], doc: np.ndarray, start: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """One shard. Of stretches that start at byte ``start`` of ``doc``: (doc, start, whether it stands earlier too, stretch, place in the text) of every window."""
-    sizes = np.array([len(x) for x in stretches], np.int64)
-    buf = np.concatenate([np.zeros(0, np.uint8), *stretches])
+def later_windows(buf: np.ndarray, sizes: np.ndarray, doc: np.ndarray, start: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """One shard. Of stretches of ``sizes`` bytes, one after the other in ``buf``, that start at byte ``start`` of ``doc``: (doc, start, whether it stands earlier too, stretch, place in ``buf``) of every window."""
     begin = np.concatenate([[0], np.cumsum(sizes)[:-1]]) if len(sizes) else sizes
     owner = np.repeat(np.arange(len(sizes)), sizes)
     inner = np.arange(len(buf)) - begin[owner] if len(buf) else np.zeros(0, np.int64)
@@ -140,56 +143,181 @@ def repeated_strings(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     place = F.col("pos")
     sure = settled.filter("not open").select("doc", F.shiftright(place, 18).alias("start"), (F.shiftright(place, 2) % 256).alias("n"))
 
+    table = _run_filter(settled.filter("open").select("doc", "pos"))
+    held = docs.sparkSession.sparkContext.broadcast(table)  # FILTER_BITS bits
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            buf, bounds = column_bytes_of(batch.column(1))
-            key, doc, start, content = [], [], [], []
             ids = batch.column(0).to_numpy()
-            for d, pos in enumerate(run_lists(batch.column(2))):
-                own = buf[bounds[d] : bounds[d + 1]]
-                s, offset, n, _ = unpack(np.unique(pos))
-                span, raw = SpanHash(_BYTE[own]), own.tobytes()
-                for side, (which, first, m, low, high) in enumerate(halves(spec, s, offset, n)):
-                    key.append(mix(span(low, high) + np.uint64(side)))
-                    doc.append(np.full(len(which), ids[d]))
-                    start.append(first)
-                    content += [raw[a : a + k + length - 1] for a, k in zip(first.tolist(), m.tolist(), strict=True)]
-            join = lambda parts, kind: np.concatenate([np.zeros(0, kind), *parts])
-            yield pa.RecordBatch.from_arrays([pa.array(join(key, np.uint64).view(np.int64)), pa.array(join(doc, np.int64)), pa.array(join(start, np.int64)), pa.array(content, pa.binary())], ["key", "doc", "start", "content"])
-
-    open_ = with_runs(docs, settled.filter("open").select("doc", "pos")).mapInArrow(cut, "key long, doc long, start long, content binary")
-    open_ = materialize(open_.withColumn("k", F.count(F.lit(1)).over(Window.partitionBy("key"))).filter("k > 1"), "open")
-    total = open_.agg(F.sum(F.length("content"))).first()[0] or 0
-    shards = int(total // SHARD_BYTES) + 1
-    salts = F.ceil(F.col("k") / KEY_ROWS)
-    dealt = open_.withColumn("salt", F.pmod(F.xxhash64("doc", "start"), salts)).withColumn("salted", F.col("k") > KEY_ROWS)
-    dealt = dealt.withColumn("shard", F.pmod(F.xxhash64("key", "salt"), F.lit(shards)))
-
-    def shard(table: pa.Table) -> pa.Table:
-        buf, bounds = column_bytes_of(table.column("content").combine_chunks())
-        doc, start = table.column("doc").to_numpy(), table.column("start").to_numpy()
-        salted = table.column("salted").to_numpy(zero_copy_only=False).astype(bool)
-        d, s, later, owner, at = later_windows([buf[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)], doc, start, length)
-        keep = later | salted[owner]
-        digest = SpanHash(_BYTE[buf])(at, at + length)
-        return pa.table({"key": table.column("key").take(pa.array(owner[keep])), "salt": table.column("salt").take(pa.array(owner[keep])), "digest": pa.array(digest[keep].view(np.int64)), "doc": d[keep], "start": s[keep], "later": later[keep]})
+            for i, _, buf, bounds in slices(batch.column(1), 1 << 18):
+                for at in range(0, max(1, len(buf) - length + 1), PIECE_BYTES) if len(bounds) == 2 else [0]:
+                    own, per = (buf, bounds) if len(bounds) > 2 else (buf[at : at + PIECE_BYTES + length - 1], None)
+                    per = np.array([0, len(own)]) if per is None else per
+                    yield _open_halves(own, per, ids[i : i + len(per) - 1], at, spec, held.value)
+
+    def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shards = Shards(length)
+        for batch in batches:
+            yield from shards.feed(batch)
+        yield from shards.close()
 
-    judged = materialize(dealt.groupBy("shard").applyInArrow(shard, "key long, salt long, digest long, doc long, start long, later boolean"), "judged")
+    dealt = text_rows(docs).mapInArrow(cut, "key long, doc long, start long, content binary")
+    dealt = dealt.repartition("key").sortWithinPartitions("key", "doc", "start")
+    judged = materialize(dealt.mapInArrow(shard, "doc long, start long, n long, key long, part long, digest long"), "judged")
 
     def merge(table: pa.Table) -> pa.Table:
-        salt, digest = table.column("salt").to_numpy(), table.column("digest").to_numpy().view(np.uint64)
+        part, digest = table.column("part").to_numpy(), table.column("digest").to_numpy().view(np.uint64)
         doc, start = table.column("doc").to_numpy(), table.column("start").to_numpy()
         parts = []
-        for x in np.unique(salt):
-            at = np.flatnonzero(salt == x)
+        for x in np.unique(part):
+            at = np.flatnonzero(part == x)
             at = at[np.argsort(digest[at], kind="stable")]
             parts.append((digest[at], doc[at], start[at]))
         d, s = merge_sorted(parts)
-        return pa.table({"doc": d, "start": s})
+        return pa.table({"doc": d, "start": s, "n": np.ones(len(d), np.int64)})
+
+    # survivors of content that several shards have meet by key and digest
+    across = judged.filter("part >= 0").withColumn("range", F.shiftright("digest", 56)).groupBy("key", "range").applyInArrow(merge, "doc long, start long, n long")
+    return sure.unionByName(judged.filter("part < 0").select("doc", "start", "n")).unionByName(across)
+
+
+def _bit(doc: np.ndarray, pos: np.ndarray) -> np.ndarray:
+    return (mix(mix(doc.astype(np.uint64)) ^ pos.astype(np.uint64)) % np.uint64(FILTER_BITS)).astype(np.int64)
+
+
+def _run_filter(runs: DataFrame) -> np.ndarray:
+    """A bitmap of runs(doc, pos)."""
+
+    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = _bit(batch.column(0).to_numpy(), batch.column(1).to_numpy() & ~3)
+            yield pa.RecordBatch.from_arrays([pa.array(at >> 6), pa.array((np.uint64(1) << (at & 63).astype(np.uint64)).view(np.int64))], ["cell", "bits"])
+
+    cells = runs.mapInArrow(bits, "cell long, bits long").groupBy("cell").agg(F.bit_or("bits").alias("bits")).toPandas()  # FILTER_BITS / 64 rows at most
+    table = np.zeros(FILTER_BITS // 64, np.uint64)
+    table[cells["cell"].to_numpy(int)] = cells["bits"].to_numpy(np.int64).view(np.uint64)
+    return table
+
+
+def _open_halves(buf: np.ndarray, per: np.ndarray, ids: np.ndarray, base: int, spec: Windows, table: np.ndarray) -> pa.RecordBatch:
+    """key, doc, start, content of the halves of the runs that the filter lets through."""
+    values = _BYTE[buf]
+    stretch, anchor, first, n, _, _ = find_runs(values, per, spec)
+    doc = ids[stretch]
+    inner = first - per[stretch] + base
+    at = _bit(doc, pack(inner, anchor - first, n, np.zeros(len(n), np.int64)))
+    keep = np.flatnonzero((table[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1))
+    doc, first, anchor, n, shift = doc[keep], first[keep], anchor[keep], n[keep], (inner - first)[keep]
+    span = SpanHash(values)
+    cols: list[list[np.ndarray]] = [[], [], [], []]
+    for side, (which, start, m, low, high) in enumerate(halves(spec, first, anchor - first, n)):
+        cols[0].append(mix(span(low, high) + np.uint64(side)).view(np.int64))
+        cols[1].append(doc[which])
+        cols[2].append(start + shift[which])
+        cols[3].append(np.column_stack([start, m + (spec.length - 1)]))
+    key, docs, starts, where = (np.concatenate(c) for c in cols)
+    size = where[:, 1]
+    offsets = np.concatenate([[0], np.cumsum(size)])
+    content = buf[np.repeat(where[:, 0] - offsets[:-1], size) + np.arange(offsets[-1])]
+    binary = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(content)])
+    return pa.RecordBatch.from_arrays([pa.array(key), pa.array(docs), pa.array(starts), binary], ["key", "doc", "start", "content"])
+
+
+@dataclass
+class Stretches:
+    """Rows of key, doc, start, and their bytes one after the other."""
+
+    key: np.ndarray
+    doc: np.ndarray
+    start: np.ndarray
+    size: np.ndarray
+    buf: np.ndarray
+
+    def __add__(self, other: Stretches) -> Stretches:
+        return Stretches(*(np.concatenate([getattr(self, f.name), getattr(other, f.name)]) for f in fields(self)))
+
+    def where(self, keep: np.ndarray) -> Stretches:
+        return Stretches(self.key[keep], self.doc[keep], self.start[keep], self.size[keep], self.buf[np.repeat(keep, self.size)])
+
+
+class Shards:
+    """Takes stretches sorted by key and judges them in shards of whole keys; a key of very many rows is a shard for every KEY_ROWS of them."""
+
+    def __init__(self, length: int):
+        self.length = length
+        none = np.zeros(0, np.int64)
+        self.empty = Stretches(none, none, none, none, np.zeros(0, np.uint8))
+        self.tail = self.empty  # rows of the key at hand
+        self.ready: list[Stretches] = []  # whole keys that stand more than once
+        self.bytes = 0
+        self.hot: int | None = None  # the key at hand, if parts of it have been judged
+        self.part = 0
+
+    def feed(self, batch: pa.RecordBatch, last: bool = False) -> Iterator[pa.RecordBatch]:
+        buf, bounds = column_bytes_of(batch.column(3))
+        rows = self.tail + Stretches(*(batch.column(c).to_numpy() for c in range(3)), np.diff(bounds), buf)
+        self.tail = self.empty
+        if not len(rows.key):
+            return
+        first = np.flatnonzero(np.concatenate([[True], rows.key[1:] != rows.key[:-1]]))
+        count = np.diff(np.concatenate([first, [len(rows.key)]]))
+        for k in np.flatnonzero((count >= KEY_ROWS) | (rows.key[first] == self.hot)).tolist():
+            yield from self._parts(rows, int(first[k]), int(count[k]), last or k + 1 < len(first))
+        plain = (count > 1) & (count < KEY_ROWS) & (rows.key[first] != self.hot)
+        if not last and rows.key[-1] != self.hot:
+            plain[-1] = False
+            self.tail = rows.where(np.arange(len(rows.key)) >= first[-1])
+        keep = rows.where(np.repeat(plain, count))
+        if len(keep.key):
+            self.ready.append(keep)
+            self.bytes += len(keep.buf)
+        while self.bytes >= SHARD_BYTES or (last and self.ready):
+            yield from self._shard()
+
+    def close(self) -> Iterator[pa.RecordBatch]:
+        none = pa.array([], pa.int64())
+        yield from self.feed(pa.RecordBatch.from_arrays([none, none, none, pa.array([], pa.binary())], ["key", "doc", "start", "content"]), last=True)
+
+    def _shard(self) -> Iterator[pa.RecordBatch]:
+        rows = self.ready[0]
+        for more in self.ready[1:]:
+            rows = rows + more
+        # as many whole keys as fill a shard
+        first = np.flatnonzero(np.concatenate([[True], rows.key[1:] != rows.key[:-1]]))
+        upto = np.cumsum(np.add.reduceat(rows.size, first))
+        n = min(int(np.searchsorted(upto, SHARD_BYTES)) + 1, len(first))
+        cut = np.arange(len(rows.key)) < (first[n] if n < len(first) else len(rows.key))
+        yield self._judge(rows.where(cut), -1)
+        rest = rows.where(~cut)
+        self.ready, self.bytes = ([rest] if len(rest.key) else []), len(rest.buf)
+
+    def _parts(self, rows: Stretches, first: int, count: int, ended: bool) -> Iterator[pa.RecordBatch]:
+        key = int(rows.key[first])
+        if self.hot != key:
+            self.hot, self.part = key, 0
+        for a in range(first, first + count, KEY_ROWS):
+            at = np.arange(len(rows.key))
+            some = rows.where((at >= a) & (at < min(a + KEY_ROWS, first + count)))
+            yield self._judge(some, self.part)
+            self.part += 1
+        if ended:
+            self.hot = None
 
-    across = judged.filter("not later").withColumn("part", F.shiftright("digest", 58)).groupBy("key", "part").applyInArrow(merge, "doc long, start long")
-    found = judged.filter("later").select("doc", "start").unionByName(across).distinct().withColumn("n", F.lit(1).cast("long"))
-    return sure.unionByName(found)
+    def _judge(self, rows: Stretches, part: int) -> pa.RecordBatch:
+        """Removed windows as stretches; of a part also its survivors, with digests."""
+        d, s, later, _, at = later_windows(rows.buf, rows.size, rows.doc, rows.start, self.length)
+        order = np.lexsort((s[later], d[later]))
+        gd, gs = d[later][order], s[later][order]
+        first = np.ones(len(gd), bool)
+        first[1:] = (gd[1:] != gd[:-1]) | (gs[1:] > gs[:-1] + 1)
+        head = np.flatnonzero(first)
+        last = np.concatenate([head[1:], [len(gd)]]) - 1 if len(head) else head
+        cols = [gd[head], gs[head], gs[last] - gs[head] + 1 if len(head) else gs, np.zeros(len(head), np.int64), np.full(len(head), -1), np.zeros(len(head), np.int64)]
+        if part >= 0:
+            digest = SpanHash(_BYTE[rows.buf])(at, at + self.length)[~later].view(np.int64)
+            k = len(digest)
+            cols = [np.concatenate(x) for x in zip(cols, [d[~later], s[~later], np.ones(k, np.int64), np.full(k, rows.key[0]), np.full(k, part), digest], strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in cols], ["doc", "start", "n", "key", "part", "digest"])
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
