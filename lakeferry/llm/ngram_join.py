@@ -28,6 +28,8 @@ from lakeferry.llm.textcore import shingle_hashes, slices, word_hashes
 from lakeferry.runtime import materialize, ship
 
 WORDS, SIMILARITY = 5, 80
+#: Prefixes are longer than need be by a share 1 / EXTRA: linked sets then have several shingles in common there, which chance seldom gives.
+EXTRA = 20
 #: Rows of a block, and central rows of the family that each of its blocks also has.
 BLOCK_ROWS, LEADERS = 256, 8
 #: Shingles of a block, about, unless one row alone has more.
@@ -41,8 +43,8 @@ FILTER_BITS = 1 << 23
 
 
 def prefix_length(n, similarity: int = SIMILARITY):
-    """Of a set of n shingles, so many in any order hold one that a linked set has in its own prefix."""
-    return n - -(-n * similarity // 100) + 1
+    """Shingles of a set's prefix: the least number, of n, that holds one which a linked set has in its own prefix, and EXTRA of n more."""
+    return n - -(-n * similarity // 100) + 1 + n // EXTRA
 
 
 def shingle_sets(column: pa.Array, words: int = WORDS) -> Iterator[tuple[int, np.ndarray]]:
@@ -183,7 +185,7 @@ def _may_link(n: Column, m: Column, common: Column, similarity: int) -> Column:
 
     Of the two prefixes one ends first in the order of shingles. What that set has beyond its prefix is all that can be common besides.
     """
-    rest = lambda x: F.floor((x * similarity + 99) / 100) - 1
+    rest = lambda x: F.floor((x * similarity + 99) / 100) - 1 - F.floor(x / EXTRA)
     return (common + F.greatest(rest(n), rest(m))) * (100 + similarity) >= (n + m) * similarity
 
 
