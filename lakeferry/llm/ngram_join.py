@@ -171,6 +171,12 @@ def linked_components(docs: DataFrame, words: int = WORDS, similarity: int = SIM
     entries = rows.select("id", "n", F.size("prefix").alias("p"), F.explode("prefix").alias("tok"))
     shared = entries.withColumn("rows", F.count(F.lit(1)).over(Window.partitionBy("tok"))).filter("rows > 1")
     shared = materialize(shared, "shared")
+    # a row whose prefix shares too little with all others together can't link; without it some shingles are shared no more
+    per = shared.groupBy("id").agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n"))
+    least, most = F.ceil(F.col("n") * similarity / 100), F.floor(F.col("n") * 100 / similarity)
+    able = per.filter(_may_link(F.col("n"), least, F.col("c"), similarity) | _may_link(F.col("n"), most, F.col("c"), similarity)).select("id")
+    shared = shared.join(able, "id", "left_semi").withColumn("rows", F.count(F.lit(1)).over(Window.partitionBy("tok"))).filter("rows > 1")
+    shared = materialize(shared, "able")
     edges = _span(docs, shared, words, similarity)
     joined = components(edges)
     named = signed.select("doc_id", "n", "digest")
