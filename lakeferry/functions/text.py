@@ -39,7 +39,7 @@ def unescape(c: Column) -> Column:
 
 
 def _unhex(c: Column) -> Column:
-    parts = F.split(c, "\\\\\\\\x(?=[0-9A-Fa-f]{2})")
+    parts = F.split(c, "\\\\x(?=[0-9A-Fa-f]{2})")
     rest = F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), lambda p: F.concat(F.chr(F.conv(F.substring(p, 1, 2), 16, 10).cast("int")), F.substring(p, 3, 1 << 30)))
     return F.concat(F.element_at(parts, 1), F.array_join(rest, ""))
 
@@ -95,16 +95,14 @@ def parse_scalar(c: Column, t: FileType) -> Column:
     t = t.plain
     kind = wire_type(t)
     if isinstance(kind, (S.FloatType, S.DoubleType)):
-        low = F.lower(c)
-        named = F.when(low.isin("nan", "-nan"), "NaN").when(low.isin("inf", "+inf", "infinity"), "Infinity").when(low.isin("-inf", "-infinity"), "-Infinity").otherwise(c)
-        return named.cast(kind)
+        return c.cast(kind)  # which knows nan and inf by any case
     if isinstance(kind, S.BooleanType):
         return F.when(F.lower(c).isin("true", "1"), True).when(F.lower(c).isin("false", "0"), False).otherwise(c.cast("boolean"))
     if isinstance(kind, S.TimestampType):
         zone = next((a for a in t.args if isinstance(a, str)), "UTC")
         has_zone = c.rlike("(Z|[+-]\\d\\d:?\\d\\d)$")
         local = F.replace(c, F.lit("T"), F.lit(" "))
-        return F.when(has_zone, c).otherwise(F.concat(local, F.lit(" " + zone))).cast("timestamp")
+        return F.when(c.endswith("Z"), c).when(has_zone, c).otherwise(F.concat(local, F.lit(" " + zone))).cast("timestamp")
     if isinstance(kind, S.DateType):
         return c.cast("date")
     if t.name.startswith("Interval"):
@@ -283,5 +281,11 @@ def parse_literal(c: Column, t: FileType) -> Column:
     return from_text(F.from_json(F.pandas_udf(run, "string")(c), text_type(t)), t)
 
 
+def escapable(t: FileType) -> bool:
+    """Whether a cell of the type can hold an escape: numbers, dates and instants can't."""
+    kind = wire_type(t)
+    return isinstance(kind, (S.StringType, S.BinaryType)) or nested(t)
+
+
 def parse_cell(c: Column, t: FileType) -> Column:
     return parse_literal(c, t) if nested(t) else parse_scalar(c, t)

@@ -50,10 +50,15 @@ def column_type(text: str) -> tuple[str, S.DataType]:
 
 
 def _split(text: str) -> list[str]:
-    out, depth, at = [], 0, 0
+    """Parts between commas that stand in no brackets; ``<`` is one right after a type's name only."""
+    out, depth, angle, at = [], 0, 0, 0
     for i, c in enumerate(text):
-        depth += {"(": 1, "<": 1, ")": -1, ">": -1}.get(c, 0)
-        if c == "," and not depth:
+        depth += {"(": 1, ")": -1}.get(c, 0)
+        if c == "<" and re.search(r"\b(array|map|struct)$", text[:i], re.I):
+            angle += 1
+        elif c == ">" and angle:
+            angle -= 1
+        if c == "," and not depth and not angle:
             out.append(text[at:i])
             at = i + 1
     return [p.strip() for p in [*out, text[at:]] if p.strip()]

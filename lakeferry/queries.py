@@ -248,6 +248,8 @@ def _coerced(rows: Callable[[SparkSession, str], DataFrame], structure: str, sch
         e, url = Engine(spark), f"{folder(spark)}/x.dat"
         e.copy_to(rows(spark, sf_dir), url, format=format, structure=structure)
         got = e.read(url, schema=schema, format=format, structure=structure)
+        if shown == "joined":
+            return got.withColumn("v", F.array_join("v", ",", "-"))
         return got.withColumn("v", F.col("v").cast(shown)) if shown else got
 
     return run
@@ -280,8 +282,8 @@ register("coerce_ts_precision", "SELECT event_id, make_timestamp((round(epoch_us
 register("coerce_ts_to_time", "SELECT event_id, strftime(ts, '%H:%M:%S') AS v FROM events")(
     _coerced(lambda s, d: table(s, d, "events").select("event_id", "ts"), "event_id Int64, v DateTime64(6,'UTC')", "event_id bigint, v time", "TSV")
 )
-register("coerce_array_elems", "SELECT o_orderkey, [CAST(CAST(CAST(o_totalprice AS DECIMAL(14,2)) AS DECIMAL(12,1)) AS DOUBLE), NULL] AS v FROM orders")(
-    _coerced(lambda s, d: table(s, d, "orders").select("o_orderkey", F.array(F.col("o_totalprice").cast("decimal(14,2)"), F.lit(None)).alias("v")), "o_orderkey Int64, v Array(Nullable(Decimal(14,2)))", "o_orderkey bigint, v numeric(12,1)[]", "CSV", "array<double>")
+register("coerce_array_elems", "SELECT o_orderkey, CAST(CAST(CAST(o_totalprice AS DECIMAL(14,2)) AS DECIMAL(12,1)) AS VARCHAR) || ',-' AS v FROM orders")(
+    _coerced(lambda s, d: table(s, d, "orders").select("o_orderkey", F.array(F.col("o_totalprice").cast("decimal(14,2)"), F.lit(None)).alias("v")), "o_orderkey Int64, v Array(Nullable(Decimal(14,2)))", "o_orderkey bigint, v numeric(12,1)[]", "CSV", "joined")
 )
 register("null_into_array", "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN [o_custkey] ELSE [] END AS v FROM orders")(
     _coerced(lambda s, d: table(s, d, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 2 == 0, F.array("o_custkey")).alias("v")), "o_orderkey Int64, v Array(Int64)", "o_orderkey bigint, v bigint[]", "TSV")
@@ -378,7 +380,7 @@ ask("query_numbers", "SELECT number AS n, number * 2 AS p FROM numbers(10)", "n
 ask("query_positional", "SELECT 1 AS x, 'a' AS y", "a smallint, b text", oracle="SELECT 1::SMALLINT AS a, 'a' AS b")
 ask("query_empty_any_schema", "SELECT 1 WHERE 0", "x int, y text", oracle="SELECT 1 AS x, 'a' AS y WHERE false")
 ask("query_params", "SELECT r_regionkey, r_name FROM region WHERE r_regionkey > :least", "r_regionkey int, r_name text", "region", "SELECT r_regionkey, r_name FROM region WHERE r_regionkey > 1", {"least": 1})
-ask("query_types", "SELECT toInt32('7') AS i, toDecimal64(1.5, 3) AS d, toDate32('2024-01-15') AS dt, toUUID('61F0C404-5CB3-11E7-907B-A6006AD3DBA0') AS u", "i int, d double precision, dt date, u uuid", oracle="SELECT 7 AS i, 1.5::DOUBLE AS d, DATE '2024-01-15' AS dt, '61f0c404-5cb3-11e7-907b-a6006ad3dba0' AS u")
+ask("query_types", "SELECT toInt32('7') AS i, toDecimal64(1.5, 3) AS d, toDate32('2024-01-15') AS dt, toUUID('61F0C404-5CB3-11E7-907B-A6006AD3DBA0') AS u", "i int, d double precision, dt text, u uuid", oracle="SELECT 7 AS i, 1.5::DOUBLE AS d, '2024-01-15' AS dt, '61f0c404-5cb3-11e7-907b-a6006ad3dba0' AS u")
 
 
 @register("query_table_function_file", "SELECT r_name AS name, r_regionkey AS k FROM region WHERE r_regionkey <> 2")
@@ -443,17 +445,18 @@ def nested_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.read(url, schema="c_custkey bigint, items bigint[]").select("c_custkey", F.explode("items").alias("item"))
 
 
-@register("array_embed", "SELECT vec_id, embedding, label FROM embeddings")
+@register("array_embed", "SELECT vec_id, label, i::INTEGER AS i, embedding[i + 1]::DOUBLE AS x FROM embeddings, range(len(embedding)) r(i)")
 def array_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
     e, url, rows = Engine(spark), f"{folder(spark)}/v.arrow", table(spark, sf_dir, "embeddings")
     e.copy_to(rows, url)
-    return e.read(url, schema=rows.schema)
+    got = e.read(url, schema=rows.schema).select("vec_id", "label", F.posexplode("embedding").alias("i", "x"))
+    return got.withColumn("x", F.col("x").cast("double"))
 
 
-@register("geo_points", "SELECT s_suppkey, {'x': s_acctbal, 'y': -s_acctbal} AS p FROM supplier")
+@register("geo_points", "SELECT s_suppkey, s_acctbal AS x, -s_acctbal AS y FROM supplier")
 def geo_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     e, url = Engine(spark), f"{folder(spark)}/s.tsv"
     rows = table(spark, sf_dir, "supplier").select("s_suppkey", F.struct(F.col("s_acctbal").alias("x"), (-F.col("s_acctbal")).alias("y")).alias("p"))
     e.copy_to(rows, url, structure="k Int64, p Point")
-    return e.read(url, schema=rows.schema, structure="k Int64, p Point")
+    return e.read(url, schema=rows.schema, structure="k Int64, p Point").select("s_suppkey", "p.x", "p.y")
 

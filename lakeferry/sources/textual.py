@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as S
 
-from lakeferry.functions.text import escape, from_text, geo_as_nested, literal, nested, parse_cell, read_literal, scalar_text, text_type, unescape
+from lakeferry.functions.text import escapable, escape, from_text, geo_as_nested, literal, nested, parse_cell, read_literal, scalar_text, text_type, unescape
 from lakeferry.types.grammar import FileType, parse_type, render_type
 from lakeferry.types.mapping import GEO
 
@@ -62,7 +62,7 @@ def _plain_escape(text: str) -> str:
 
 def _tsv(head: int, raw: bool) -> TextFormat:
     def encode(df: DataFrame, columns: Columns) -> DataFrame:
-        one = _cell if raw else (lambda c, t: escape(_cell(c, t)))
+        one = lambda c, t: escape(_cell(c, t)) if not raw and escapable(t) else _cell(c, t)
         rows = df.select(F.concat_ws("\t", *_row(columns, one)).alias("value"))
         name = (lambda s: s) if raw else _plain_escape
         names = ["\t".join(name(n) for n, _ in columns), "\t".join(name(render_type(t)) for _, t in columns)]
@@ -74,8 +74,8 @@ def _tsv(head: int, raw: bool) -> TextFormat:
             lines = _without_head(spark, lines, files, head)
         parts = F.split("value", "\t", -1)
         rows = lines.select(parts.alias("p"))
-        cell = lambda i: F.when(F.col("p")[i] != NULL, F.col("p")[i] if raw else unescape(F.col("p")[i]))
-        return rows.select(*[parse_cell(cell(i), t).alias(n) for i, (n, t) in enumerate(columns)])
+        cell = lambda i, t: F.when(F.col("p")[i] != NULL, unescape(F.col("p")[i]) if not raw and escapable(t) else F.col("p")[i])
+        return rows.select(*[parse_cell(cell(i, t), t).alias(n) for i, (n, t) in enumerate(columns)])
 
     return TextFormat(encode, decode, head)
 
