@@ -214,7 +214,8 @@ class Settler:
 
 
 def settle(docs: DataFrame, spec: Windows, spare_first: bool) -> DataFrame:
-    """doc, pos, open: runs all of whose windows are removed, and (open) those to be looked at window by window."""
+    """doc, pos, open: runs all of whose windows are removed, and (open) those to be looked at window by window. Rows without a doc_id don't count."""
+    docs = docs.filter("doc_id IS NOT NULL")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

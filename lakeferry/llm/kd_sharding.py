@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from lakeferry.runtime import materialize
 
 #: A group of equal texts above this share of a shard's bytes is cut into pieces.
-PIECE = 1 / 64
+PIECE = 1 / 16
 #: Bits of the key that a pass refines; three passes see all 30.
 BITS = 10
 VALUE_BITS, HASH_BITS = 10, 20

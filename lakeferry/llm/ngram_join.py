@@ -151,7 +151,7 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
             values = np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], ["id", "grams"])
 
-    rows = text_rows(docs).select(F.col("doc_id").alias("id"), "text").withColumn("at", bit)
+    rows = text_rows(docs.filter("doc_id IS NOT NULL")).select(F.col("doc_id").alias("id"), "text").withColumn("at", bit)
     return rows.mapInArrow(run, "id long, grams array<long>")
 
 
@@ -160,7 +160,8 @@ def linked_components(docs: DataFrame, words: int = WORDS, similarity: int = SIM
 
     A document of fewer words than a shingle has its whole sequence as one; one without words, or a null text, has an empty set and is linked with
     nothing. Rows that repeat an id are taken as one document if their sets agree (each is returned). Very long texts are taken
-    whole. Of equal sets the least doc_id stands for all. An empty table gives no rows. Other columns are not looked at.
+    whole. Of equal sets the least doc_id stands for all; a row without a doc_id has the component of
+    documents with an equal set, or none. An empty table gives no rows. Other columns are not looked at.
     """
     ship(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -168,7 +169,7 @@ def linked_components(docs: DataFrame, words: int = WORDS, similarity: int = SIM
     signed = materialize(_signatures(docs, common, words, similarity), "signed")
     # rows of the incidence matrix: one for each set, named by its least document
     rows = signed.filter("n > 0").groupBy("digest", "n").agg(F.min("doc_id").alias("id"), F.first("prefix").alias("prefix"))
-    entries = rows.select("id", "n", F.size("prefix").alias("p"), F.explode("prefix").alias("tok"))
+    entries = rows.filter("id IS NOT NULL").select("id", "n", F.size("prefix").alias("p"), F.explode("prefix").alias("tok"))
     shared = entries.withColumn("rows", F.count(F.lit(1)).over(Window.partitionBy("tok"))).filter("rows > 1")
     shared = materialize(shared, "shared")
     # a row whose prefix shares too little with all others together can't link; without it some shingles are shared no more

@@ -84,7 +84,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """``docs(doc_id, text)`` -> doc_id, n_words, n_removed, kept_sha256, kept; a row per row of ``docs``.
 
     ``kept``: the words left, joined by one space. Null or empty texts have no words, and the hash of nothing. Rows that repeat a
-    doc_id with its text are one document, whose windows are at one place. Very long texts are taken whole. An empty table
+    doc_id with its text are one document, whose windows are at one place; a row without a doc_id loses nothing and makes no other
+    lose anything. Very long texts are taken whole. An empty table
     gives no rows. Columns other than the two named are not looked at.
     """
     ship(docs.sparkSession)

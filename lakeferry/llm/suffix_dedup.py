@@ -161,7 +161,7 @@ def repeated_strings(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             yield from shards.feed(batch)
         yield from shards.close()
 
-    dealt = text_rows(docs).mapInArrow(cut, "key long, doc long, start long, content binary")
+    dealt = text_rows(docs.filter("doc_id IS NOT NULL")).mapInArrow(cut, "key long, doc long, start long, content binary")
     dealt = dealt.repartition("key").sortWithinPartitions("key", "doc", "start")
     judged = materialize(dealt.mapInArrow(shard, "doc long, start long, n long, key long, part long, digest long"), "judged")
 
@@ -324,7 +324,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """``docs(doc_id, text)`` -> doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans; a row per row of ``docs``.
 
     ``spans``: the removed stretches, as (start, end) in bytes. Null texts are empty; they, and texts shorter than ``length``, lose nothing. Rows
-    that repeat a doc_id with its text are one document. Very long texts are taken whole, in pieces. An empty table gives no rows.
+    that repeat a doc_id with its text are one document; a row without a doc_id loses nothing and makes no other lose anything. Very long texts are taken whole, in pieces. An empty table gives no rows.
     Columns other than the two named are not looked at.
     """
     ship(docs.sparkSession)
