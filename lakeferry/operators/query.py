@@ -26,6 +26,7 @@ SHIMS = [
     "toDate32(x STRING) RETURNS DATE RETURN cast(x AS DATE)",
     "toIPv4(x STRING) RETURNS STRING RETURN x",
     "toUUID(x STRING) RETURNS STRING RETURN lower(x)",
+    "replaceRegexpOne(s STRING, p STRING, r STRING) RETURNS STRING RETURN CASE WHEN regexp_instr(s, p) = 0 THEN s ELSE concat(substring(s, 1, regexp_instr(s, p) - 1), r, substring(s, regexp_instr(s, p) + length(regexp_substr(s, p)))) END",
 ]
 _STORES = {"file": "file://", "url": "", "s3": "", "gcs": "", "azureBlobStorage": "", "hdfs": ""}
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import lzma
+import urllib.request
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -14,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 SPARK_CODECS = {"none": "none", "gzip": "gzip", "bz2": "bzip2", "snappy": "snappy"}
 _SUFFIX = {"gzip": ".gz", "bz2": ".bz2", "snappy": ".snappy"}
 CHUNK = 1 << 20
+HTTP_SECONDS = 30
 
 
 def filesystem(uri: str):
@@ -26,10 +28,25 @@ def filesystem(uri: str):
     return fs.FileSystem.from_uri(uri.replace(" ", "%20"))
 
 
+def _open(uri: str):
+    if uri.startswith(("http://", "https://")):
+        return urllib.request.urlopen(uri, timeout=HTTP_SECONDS)
+    fs, path = filesystem(uri)
+    return fs.open_input_stream(path, compression=None)
+
+
+def post(staged: str, url: str, seconds: int) -> None:
+    """Send a staged file as the body of one request; it is streamed, not held."""
+    with reading(staged) as body:
+        size = filesystem(staged)[0].get_file_info(filesystem(staged)[1]).size
+        request = urllib.request.Request(url, data=body, method="POST", headers={"Content-Length": str(size), "Content-Type": "application/octet-stream"})
+        with urllib.request.urlopen(request, timeout=seconds) as answer:
+            answer.read()
+
+
 @contextmanager
 def reading(uri: str, codec: str = "none") -> Iterator:
-    fs, path = filesystem(uri)
-    with fs.open_input_stream(path, compression=None) as raw:
+    with _open(uri) as raw:
         if codec == "none":
             yield raw
         elif codec == "xz":

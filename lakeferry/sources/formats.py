@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as S
@@ -10,7 +13,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from lakeferry.functions.coerce import to_wire
 from lakeferry.functions.text import interval_units, units_interval
 from lakeferry.plans.options import CopyOptions, bare_name, codec_of
-from lakeferry.runtime import ship
+from lakeferry.runtime import shared_folder, ship
 from lakeferry.sources import files
 from lakeferry.sources.binary import BINARY_FORMATS, codec_type, from_codec, to_codec
 from lakeferry.sources.textual import TEXT_FORMATS
@@ -47,6 +50,14 @@ def write(df: DataFrame, location: Location, columns: Columns, options: CopyOpti
     """The rows of ``df``, whose columns are the structure's in order, at the location; what is there is replaced."""
     spark = df.sparkSession
     ship(spark)
+    if location.kind == "http":
+        staged = f"{_scratch(spark)}/{uuid.uuid4().hex}/{location.path.rsplit('/', 1)[-1]}"
+        write(df, Location("file", staged, staged), columns, options)
+        try:
+            files.post(_qualified(spark, staged), location.address, int(location.conf["seconds"]))
+        finally:
+            files.drop(spark, staged.rpartition("/")[0])
+        return
     name, target = format_name(options, location.path), location.path
     df = df.select(*[to_wire(F.col(f"`{f.name}`"), f.dataType, t).alias(n) for f, (n, t) in zip(df.schema.fields, columns, strict=True)])
     if name in SPARK_FORMATS:
@@ -84,6 +95,11 @@ def read(spark: SparkSession, location: Location, columns: Columns, options: Cop
     ship(spark)
     paths = paths or list_files(spark, location)
     name = format_name(options, paths[0])
+    if location.kind == "http":
+        # fetched once, by a task for each file, so that all formats see plain files
+        codec = codec_of(paths[0], options.compression) if name not in SPARK_FORMATS else "none"
+        paths = files.convert(spark, paths, _qualified(spark, files.staging_folder(spark, f"{_scratch(spark)}/x")), codec, "none")
+        options = replace(options, compression="none", format=name)
     if name in SPARK_FORMATS:
         got = spark.read.format(name).load(paths)
         if len(got.columns) != len(columns):
@@ -93,7 +109,7 @@ def read(spark: SparkSession, location: Location, columns: Columns, options: Cop
     if name in TEXT_FORMATS:
         known = codec in files.SPARK_CODECS and (codec == "none" or paths[0].lower().endswith(files.suffix_of(codec)))
         if not known:
-            folder = files.staging_folder(spark, f"{_scratch(spark)}/x")
+            folder = _qualified(spark, files.staging_folder(spark, f"{_scratch(spark)}/x"))
             paths = files.convert(spark, paths, folder, codec, "none")
         return TEXT_FORMATS[name].decode(spark, paths, columns)
     kind = S.StructType([S.StructField(f"_{i}", codec_type(t)) for i, (_, t) in enumerate(columns)])
@@ -102,9 +118,12 @@ def read(spark: SparkSession, location: Location, columns: Columns, options: Cop
     return rows.select(*[from_codec(F.col(f"_{i}"), t).alias(n) for i, (n, t) in enumerate(columns)])
 
 
-def _scratch(spark: SparkSession) -> str:
-    from lakeferry.runtime import shared_folder
+def _qualified(spark: SparkSession, path: str) -> str:
+    fs, p = files.hadoop(spark, path)
+    return fs.makeQualified(p).toString()
+
 
+def _scratch(spark: SparkSession) -> str:
     return shared_folder(spark) + "/unpacked"
 
 

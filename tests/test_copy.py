@@ -109,3 +109,60 @@ def test_interval_units(engine, spark, folder):
         engine.copy_to(given, f"{folder}/x", format="RowBinary", structure="id Int32, i IntervalDay")
     engine.copy_to(given, f"{folder}/x", format="RowBinary", structure="id Int32, i IntervalHour")
     assert engine.read(f"{folder}/x", schema="id int, n bigint", format="RowBinary", structure="id Int32, i IntervalHour").first()["n"] == 36
+
+
+@pytest.fixture
+def server():
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    kept = {}
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_POST(self):
+            kept[self.path] = self.rfile.read(int(self.headers["Content-Length"]))
+            self.send_response(200)
+            self.end_headers()
+
+        def do_GET(self):
+            self.send_response(200 if self.path in kept else 404)
+            self.end_headers()
+            self.wfile.write(kept.get(self.path, b""))
+
+        def log_message(self, *_):
+            pass
+
+    http = HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=http.serve_forever, daemon=True).start()
+    yield f"http://127.0.0.1:{http.server_port}"
+    http.shutdown()
+
+
+@pytest.mark.parametrize("name", ["x.csv", "x.tsv.gz", "x.parquet", "x.avro"])
+def test_http(engine, spark, server, name):
+    given = spark.range(20).selectExpr("id", "cast(id as string) s")
+    assert engine.copy_to(given, f"{server}/{name}") == 20
+    assert engine.read(f"{server}/{name}", schema="id bigint, s text").exceptAll(given).count() == 0
+
+
+def test_functions_by_other_names(engine):
+    got = engine.query("SELECT replaceRegexpOne('a1b2', '[0-9]', '-'), toString(7), toInt64('8')", "a text, b text, c bigint").first()
+    assert tuple(got) == ("a-b2", "7", 8)
+
+
+def test_coercions_that_raise(engine, spark, folder):
+    engine.copy_to(spark.createDataFrame([(1, 70000)], "id int, n int"), f"{folder}/x.parquet")
+    with pytest.raises(Exception, match="CAST_OVERFLOW|out of range|overflow"):
+        engine.read(f"{folder}/x.parquet", schema="id int, n smallint", structure="id Int32, n Int32").collect()
+    with pytest.raises(Exception, match="Tuple requires 2 values, got 3"):
+        engine.copy_to(spark.createDataFrame([(["a", "b", "c"],)], "t array<string>"), f"{folder}/y", format="TSV", structure="t Tuple(String, String)")
+    with pytest.raises(ValueError, match="structure declares 1 columns, copy has 2"):
+        engine.read(f"{folder}/x.parquet", schema="id int, n int", structure="id Int32")
+
+
+def test_geometry(engine, spark, folder):
+    given = spark.sql("SELECT 1 AS id, array(named_struct('x', 1.5D, 'y', double('nan')), named_struct('x', 0D, 'y', -2D)) AS line")
+    for format in ("TSV", "JSONEachRow", "RowBinary", "Native", "MsgPack"):
+        engine.copy_to(given, f"{folder}/g", format=format, structure="id Int32, line LineString")
+        got = engine.read(f"{folder}/g", schema=given.schema, format=format, structure="id Int32, line LineString")
+        assert repr(got.collect()) == repr(given.collect()), format
