@@ -78,7 +78,7 @@ def op6_bradley_terry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shard_digest(out: DataFrame) -> DataFrame:
-    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("int").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op7_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
