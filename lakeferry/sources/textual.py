@@ -34,6 +34,8 @@ def _lines(spark: SparkSession, texts: list[str]) -> DataFrame:
 
 def _framed(rows: DataFrame, before: list[str], after: list[str] = (), comma: bool = False) -> DataFrame:
     """Lines with others before and after; with ``comma`` a comma leads all rows but the first."""
+    if not before and not after and not comma:
+        return rows
     spark = rows.sparkSession
     rows = rows.coalesce(1)
     if comma:

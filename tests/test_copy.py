@@ -166,3 +166,12 @@ def test_geometry(engine, spark, folder):
         engine.copy_to(given, f"{folder}/g", format=format, structure="id Int32, line LineString")
         got = engine.read(f"{folder}/g", schema=given.schema, format=format, structure="id Int32, line LineString")
         assert repr(got.collect()) == repr(given.collect()), format
+
+
+@pytest.mark.parametrize("format", ["TSV", "CSV", "JSONEachRow", "Parquet", "ORC"])
+def test_many_files_at_once(engine, spark, folder, format):
+    given = spark.range(0, 1000, 1, 5).selectExpr("id", "cast(id as string) s")
+    assert engine.copy_to(given, f"{folder}/many", format=format, single_file=False) == 1000
+    got = engine.read(f"{folder}/many", schema="id bigint, s text", format=format)
+    assert got.exceptAll(given).count() == 0 and got.count() == 1000
+    assert len([f for f in __import__("os").listdir(path_of(folder) + "/many") if f.startswith("part-")]) == 5
