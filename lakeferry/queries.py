@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeferry.engine import Engine
-from lakeferry.runtime import shared_folder
+from lakeferry.runtime import scratch
 from lakeferry.sources.binary import BINARY_FORMATS
 from lakeferry.sources.textual import TEXT_FORMATS
 
@@ -35,7 +35,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def folder(spark: SparkSession) -> str:
     """A new folder's URL in the shared folder."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/lakeferry/q-{uuid.uuid4().hex}")
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{scratch(spark)}/q-{uuid.uuid4().hex}")
     url = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
     return re.sub("^file:/+", "file:///", url)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
 import tempfile
 import uuid
@@ -10,7 +12,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-_SHIPPED = "_lakeferry_shipped"
+_SHIPPED, _SCRATCH = "_lakeferry_shipped", "_lakeferry_scratch"
 
 
 def ship(spark: SparkSession) -> None:
@@ -36,9 +38,25 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def scratch(spark: SparkSession) -> str:
+    """This application's own folder in the shared one. It goes when the driver's Python ends in order."""
+    context = spark.sparkContext
+    folder = f"{shared_folder(spark)}/lakeferry-{context.applicationId}"
+    if getattr(context, _SCRATCH, None) != folder:
+        setattr(context, _SCRATCH, folder)
+        atexit.register(_remove, spark._jvm, spark._jsc.hadoopConfiguration(), folder)
+    return folder
+
+
+def _remove(jvm, conf, folder: str) -> None:
+    with contextlib.suppress(Exception):  # the JVM may be gone by now
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
+
+
 def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: lineage ends there, and a lost executor costs no recomputation."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/lakeferry/{name}-{uuid.uuid4().hex}"
+    path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -13,7 +13,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from lakeferry.functions.coerce import to_wire
 from lakeferry.functions.text import interval_units, units_interval
 from lakeferry.plans.options import CopyOptions, bare_name, codec_of
-from lakeferry.runtime import shared_folder, ship
+from lakeferry.runtime import scratch, ship
 from lakeferry.sources import files
 from lakeferry.sources.binary import BINARY_FORMATS, codec_type, from_codec, to_codec
 from lakeferry.sources.textual import TEXT_FORMATS
@@ -124,7 +124,7 @@ def _qualified(spark: SparkSession, path: str) -> str:
 
 
 def _scratch(spark: SparkSession) -> str:
-    return shared_folder(spark) + "/unpacked"
+    return scratch(spark) + "/unpacked"
 
 
 def _stored(c, have: S.DataType, t: FileType):
