@@ -2,7 +2,8 @@
 
 A token's score is the log-odds of toxic over clean labelled text under a Dirichlet prior whose means are the token's share of
 the whole corpus, moved towards 0 by Z standard deviations, less a drift that makes the mean score of clean text negative. A
-token without a score of its own has that of its stem, its first STEM bytes, which are counted in the same way. In
+token without a score of its own has that of its stem, its first STEM bytes. Tokens are counted once for each labelled document, stems once for
+each different token, so that neither a text that repeats itself nor one frequent word speaks for more than it is. In
 a text, one pass over the scores finds all maximal scoring segments. For clean text of n tokens the best segment's score x has
 chance 1 - exp(-K n e^(-lambda x)) of arising; lambda solves E[e^(lambda s)] = 1 and K is fitted. A segment is significant if K n e^(-lambda x)
 is below E_VALUE. A document's evidence is the sum of -log of that over its significant segments, and a logistic curve fitted to labelled
@@ -20,8 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakeferry.llm.docstats import held_out, labelled_sample, text_rows
-from lakeferry.llm.textcore import LOWER, find_words, hash_spans, slices
-from lakeferry.runtime import ship
+from lakeferry.llm.textcore import LOWER, find_words, hash_spans, mix, segment_ids, slices
+from lakeferry.runtime import materialize, ship
 
 #: Labelled documents that training sees, and tokens that have scores, at most.
 TRAIN_ROWS, VOCABULARY = 20_000, 1 << 17
@@ -29,7 +30,9 @@ TRAIN_ROWS, VOCABULARY = 20_000, 1 << 17
 PRIOR, FLOOR, Z, LEAST = 1000.0, 0.5, 3.0, 5
 STEM = 4
 #: Clean text's mean score is this far below 0 at least.
-DRIFT = 0.25
+DRIFT = 1.0
+#: A token that stands again within so many tokens has no log-odds there.
+AGAIN = 8
 E_VALUE = 0.05
 PREDICT_AT = 0.5
 
@@ -69,6 +72,8 @@ class Odds:
         own = self._find(h)
         bare = own == 0
         own[bare] = self._find(stem[bare])
+        for lag in range(1, min(AGAIN + 1, len(h))):
+            own[lag:][h[lag:] == h[:-lag]] = 0
         return own - self.drift
 
     def log_e(self, score: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -136,13 +141,13 @@ def _partial(rows, limit: int = 1 << 20):
 
 
 def _merge(keys, counts):
-    k, at = np.unique(np.concatenate(keys), return_inverse=True)
+    k, at = np.unique(np.concatenate(keys), axis=0, return_inverse=True)
     c = np.concatenate(counts)
-    return k, np.column_stack([np.bincount(at, weights=c[:, j], minlength=len(k)).astype(np.int64) for j in range(c.shape[1])])
+    return np.ascontiguousarray(k), np.column_stack([np.bincount(at.ravel(), weights=c[:, j], minlength=len(k)).astype(np.int64) for j in range(c.shape[1])])
 
 
-def class_counts(sample: DataFrame) -> DataFrame:
-    """``token, clean, toxic``: how often each token stands in the sample's documents of either label."""
+def class_counts(sample: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``token, clean, toxic``: in how many of the sample's documents of either label each token stands; the same for stems, by tokens that have them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
@@ -150,14 +155,17 @@ def class_counts(sample: DataFrame) -> DataFrame:
                 label = batch.column(2).to_numpy(zero_copy_only=False)
                 for i, j, buf, bounds in slices(batch.column(1)):
                     h, stem, _, _, per = tokens(buf, bounds)
-                    one = np.repeat(label[i:j] == 1, np.diff(per))
-                    yield np.concatenate([h, stem]), np.tile(np.column_stack([~one, one]).astype(np.int64), (2, 1))
+                    own = np.unique(mix(h + segment_ids(per).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), return_index=True)[1]
+                    one = np.repeat(label[i:j] == 1, np.diff(per))[own]
+                    yield np.column_stack([h, stem])[own], np.column_stack([~one, one]).astype(np.int64)
 
         for k, c in _partial(rows()):
-            yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(c[:, 0]), pa.array(c[:, 1])], ["token", "clean", "toxic"])
+            yield pa.RecordBatch.from_arrays([pa.array(k[:, 0].view(np.int64)), pa.array(k[:, 1].view(np.int64)), pa.array(c[:, 0]), pa.array(c[:, 1])], ["token", "stem", "clean", "toxic"])
 
-    rows = text_rows(sample, "label").mapInArrow(run, "token long, clean long, toxic long")
-    return rows.groupBy("token").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    rows = text_rows(sample, "label").mapInArrow(run, "token long, stem long, clean long, toxic long")
+    words = materialize(rows.groupBy("token", "stem").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")), "tokens")
+    stems = words.groupBy(F.col("stem").alias("token")).agg(F.count_if(F.col("clean") > 0).alias("clean"), F.count_if(F.col("toxic") > 0).alias("toxic"))
+    return words.drop("stem"), stems
 
 
 def corpus_counts(docs: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarray, int]:
@@ -213,17 +221,23 @@ def fit_odds(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS) -> Odd
     ship(docs.sparkSession)
     # of texts that the sample has more than once one counts, so that copies don't pass for evidence
     sample = labelled_sample(docs, labels, "toxic", limit).withColumn("_text", F.xxhash64("text")).dropDuplicates(["_text", "label"]).drop("_text")
-    counted = class_counts(sample)
-    table = counted.filter(F.col("clean") + F.col("toxic") >= LEAST).orderBy(F.desc(F.col("clean") + F.col("toxic")), "token").limit(VOCABULARY).toPandas()
-    sums = counted.agg(F.sum("clean"), F.sum("toxic")).first()
-    n_clean, n_toxic = (int(x or 0) // 2 for x in sums)  # tokens and their stems are counted both
-    if not n_clean or not n_toxic or not len(table):
+    found = []
+    for counted in class_counts(sample):
+        both = F.col("clean") + F.col("toxic")
+        table = counted.filter(both >= LEAST).orderBy(F.desc(both), "token").limit(VOCABULARY // 2).toPandas()
+        sums = [int(x or 0) for x in counted.agg(F.sum("clean"), F.sum("toxic")).first()]
+        found.append((table["token"].to_numpy(np.int64).view(np.uint64), table["clean"].to_numpy(float), table["toxic"].to_numpy(float), *sums))
+    if not all(f[3] and f[4] for f in found) or not any(len(f[0]) for f in found):
         return Odds(np.zeros(0, np.uint64), np.zeros(0))
-    keys = table["token"].to_numpy(np.int64).view(np.uint64)
+    keys = np.concatenate([f[0] for f in found])
     order = np.argsort(keys)
-    keys, clean, toxic = keys[order], table["clean"].to_numpy(float)[order], table["toxic"].to_numpy(float)[order]
-    corpus, total = corpus_counts(docs, keys)
-    model = Odds(keys, np.round(token_odds(clean, toxic, corpus, total, n_clean, n_toxic), 2), 0.0)
+    place = np.empty(len(keys), np.int64)
+    place[order] = np.arange(len(keys))
+    corpus, total = corpus_counts(docs, keys[order])
+    corpus = corpus[place]
+    cut = len(found[0][0])
+    scores = np.concatenate([token_odds(f[1], f[2], c, total, f[3], f[4]) for f, c in zip(found, (corpus[:cut], corpus[cut:]), strict=True)])
+    model = Odds(keys[order], np.round(scores[order], 2), 0.0)
     values, weight = _clean_scores(sample, model)
     model.drift = DRIFT + max(0.0, float((values * weight).sum() / weight.sum()))
     model.lam = _solve_lambda(values - model.drift, weight)
