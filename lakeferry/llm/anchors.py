@@ -32,6 +32,8 @@ _M_INV = _U(pow(int(_M), -1, 1 << 64))
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * _U(0x9E3779B97F4A7C15))
 #: Bytes of a document that are looked at in one piece; windows that cross pieces belong to the first.
 PIECE_BYTES = 1 << 22
+#: Bytes of text whose runs are settled among themselves before they are sent.
+SETTLE_BYTES = 1 << 23
 FILTER_BITS = 1 << 23
 #: Flags of a run: settled in its batch; its windows are known to be repeated.
 SETTLED, REPEATED = 1, 2
@@ -219,7 +221,9 @@ def settle(docs: DataFrame, spec: Windows, spare_first: bool) -> DataFrame:
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch_runs(batch, spec, spare_first)
+            # some texts at a time, so that a worker's memory follows their bytes and not the batch's rows
+            for i, j, _, _ in slices(batch.column(1), SETTLE_BYTES):
+                yield batch_runs(batch.slice(i, j - i), spec, spare_first)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state = Settler(spare_first)
