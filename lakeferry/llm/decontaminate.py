@@ -1,12 +1,11 @@
-"""Benchmark decontamination by SimHash over item-sized windows.
+"""Benchmark decontamination by the overlap of item-sized windows.
 
-Windows have an item's number of words, and are laid where a shingle that the document shares with the item would put it; a
-window without such a shingle has similarity 0. A window's fingerprint has BITS signs of sums of its shingles' hash bits, each
-as often as it stands. Fingerprints are cut into BLOCKS blocks; if two differ in RADIUS bits at most, some block differs in RADIUS // BLOCKS at most, so
-looking up every such neighbour of every block of a window in the items' block tables finds all items within the radius. Those
-are verified: the weighted Jaccard similarity of the two bags of shingles, sum of lesser over sum of greater counts, must be SIMILARITY or more.
+Windows have an item's number of words and any start. The weighted Jaccard similarity of the two bags of shingles, sum of lesser over sum
+of greater counts, must be SIMILARITY or more. Of a shingle that the item has c times, an occurrence in the document counts in those windows
+that hold it and fewer than c of the occurrences before it, so the starts at which it counts are an interval; sums of intervals
+give an item's overlap with the windows of all starts at once. Items with too few places in the document are left out before.
 
-Two bags with a similarity of 0.8 differ in 39 of 256 bits on average, with a deviation under 6; RADIUS is four deviations beyond.
+What is found must have a fingerprint, BITS signs of sums of the shingles' hash bits, that differs in RADIUS bits at most.
 Items come in blocks of up to ITEM_WORDS words, so what is sent to executors is bounded; each block is a pass over the documents.
 """
 
@@ -63,12 +62,13 @@ class Items:
                     self.ids.append(ids[i + k])
                     self.bags.append(s[at[k] : at[k + 1]])
                     self.words.append(int(per[k + 1] - per[k]))
-        size = [len(b) for b in self.bags]
-        grams = np.concatenate([np.zeros(0, np.uint64), *self.bags])
-        order = np.argsort(grams, kind="stable")
-        self.grams = grams[order]
-        self.owner = np.repeat(np.arange(len(size)), size)[order]
-        self.offset = np.concatenate([np.zeros(0, np.int64), *[np.arange(n) for n in size]])[order]
+        self.n_words, self.n_shingles = np.array(self.words, np.int64), np.array([len(b) for b in self.bags], np.int64)
+        # of each shingle the items that have it, and how often
+        grams, owner = np.concatenate([np.zeros(0, np.uint64), *self.bags]), np.repeat(np.arange(len(self.bags)), self.n_shingles)
+        order = np.lexsort((owner, grams))
+        grams, owner = grams[order], owner[order]
+        new = np.flatnonzero(np.concatenate([[True], (grams[1:] != grams[:-1]) | (owner[1:] != owner[:-1])])) if len(grams) else np.zeros(0, np.int64)
+        self.grams, self.owner, self.count = grams[new], owner[new], np.diff(np.concatenate([new, [len(grams)]]))
         self.prints = np.array([fingerprint(b) for b in self.bags]).reshape(-1, BLOCKS)
         # of each block the items sorted by its value
         self.by_value = np.argsort(self.prints, axis=0, kind="stable")
@@ -87,7 +87,10 @@ class Items:
         return hit[np.bitwise_count(self.prints[hit] ^ blocks).sum(axis=1) <= RADIUS]
 
     def search(self, h: np.ndarray, shingles: np.ndarray) -> dict[int, tuple[float, int, int]]:
-        """item -> (similarity, first word, words) of the window most like it; of equals the first. ``h``: the document's word hashes."""
+        """item -> (similarity, first word, words) of the window most like it. ``h``: the document's word hashes.
+
+        All starts are looked at. Of equals one goes first that is laid where a shared shingle would put it, then the first.
+        """
         if not len(self.grams) or not len(shingles):
             return {}
         at = np.minimum(np.searchsorted(self.grams, shingles), len(self.grams) - 1)
@@ -97,18 +100,51 @@ class Items:
         low, high = np.searchsorted(self.grams, shingles[place], "left"), np.searchsorted(self.grams, shingles[place], "right")
         n = high - low
         entry = np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        length = np.array(self.words)[self.owner[entry]]
-        start = np.clip(np.repeat(place, n) - self.offset[entry], 0, np.maximum(len(h) - length, 0))
+        place = np.repeat(place, n)
+        owner = self.owner[entry]
+        # an item that has fewer places in the whole document than a window of its own needs is out
+        words = np.minimum(self.n_words, len(h))
+        here = np.minimum(np.maximum(words - WORDS + 1, 1), len(shingles))
+        keep = (np.bincount(owner, minlength=len(here)) * (1 + SIMILARITY) > SIMILARITY * (here + self.n_shingles) - 0.5)[owner]
+        if not keep.any():
+            return {}
+        place, owner, entry = place[keep], owner[keep], entry[keep]
+        # of a shingle that the item has c times, an occurrence counts in the windows that hold it and fewer than c before it
+        order = np.lexsort((place, entry))
+        place, owner, entry = place[order], owner[order], entry[order]
+        first = np.searchsorted(entry, entry, "left")
+        back = np.arange(len(entry)) - self.count[entry]
+        begin = np.maximum(place - here[owner] + 1, np.where(back >= first, place[np.maximum(back, 0)] + 1, 0))
+        order = np.argsort(owner, kind="stable")
+        begin, end, owner = np.maximum(begin, 0)[order], place[order] + 1, owner[order]
         best: dict[int, tuple[float, int, int]] = {}
-        for first, words in np.unique(np.column_stack([start, length]), axis=0).tolist():
-            words = min(words, len(h))
-            bag = shingles[first : first + max(words - WORDS + 1, 1)]
-            for k in self.within_radius(fingerprint(bag)).tolist():
-                s = similarity(bag, self.bags[k])
-                if s >= SIMILARITY and s > best.get(k, (0.0, 0, 0))[0]:
-                    best[k] = (s, first, words)
+        for low in np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])).tolist():
+            k = int(owner[low])
+            high = int(np.searchsorted(owner, k, "right"))
+            # starts at which the overlap changes, and the overlap from there on; windows end inside the document
+            starts, at = np.unique(np.concatenate([begin[low:high], end[low:high]]), return_inverse=True)
+            overlap = np.cumsum(np.bincount(at[: high - low], minlength=len(starts)) - np.bincount(at[high - low :], minlength=len(starts)))
+            overlap = overlap[starts <= len(h) - words[k]]
+            most = int(overlap.max()) if len(overlap) else 0
+            s = most / (int(here[k]) + int(self.n_shingles[k]) - most)
+            if s < SIMILARITY:
+                continue
+            laid = self.laid(k, shingles, len(h) - int(words[k]))
+            reached = laid[overlap[np.searchsorted(starts[: len(overlap)], laid, "right") - 1] == most]
+            start = int(reached[0] if len(reached) else starts[np.argmax(overlap)])
+            if np.bitwise_count(fingerprint(shingles[start : start + here[k]]) ^ self.prints[k]).sum() <= RADIUS:
+                best[k] = (s, start, int(words[k]))
         return best
 
+    def laid(self, k: int, shingles: np.ndarray, last: int) -> np.ndarray:
+        """The starts, up to ``last``, at which some shingle of item ``k`` lies in the document as it does in the item, in order."""
+        bag = np.sort(self.bags[k])
+        offset = np.argsort(self.bags[k], kind="stable")
+        low, high = np.searchsorted(bag, shingles, "left"), np.searchsorted(bag, shingles, "right")
+        n = high - low
+        at = np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+        return np.unique(np.clip(np.repeat(np.arange(len(shingles)), n) - offset[at], 0, last))
+
 
 def item_blocks(benchmark: DataFrame) -> Iterator[Items]:
     """The items in blocks whose words are bounded; null and empty items match nothing. An item alone may exceed the bound."""

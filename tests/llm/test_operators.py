@@ -383,6 +383,18 @@ def test_leaks(spark):
     assert {r.doc_id for r in decontaminate.drop_leaks(df, bench).collect()} == set(range(8)) - {d for d, _ in got}
 
 
+def test_leaks_with_parts_in_another_order(spark):
+    rng = random.Random(29)
+    item = [f"i{k}" for k in range(100)]
+    around = lambda w: " ".join([*prose(rng, 50, 5000).split(), *w, *prose(rng, 50, 5000).split()])
+    texts = [around(item[50:] + item[:50]), around(item[20:] + item[:20]), around(item[70:] + item[:70]), around(item[:50])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame([(0, " ".join(item))], "item_id long, text string")
+    got = {r.doc_id: (round(r.similarity, 3), r.first_word) for r in decontaminate.find_leaks(df, bench).collect()}
+    assert got == {d: (0.92, 50) for d in range(3)}
+    assert [r.doc_id for r in decontaminate.drop_leaks(df, bench).collect()] == [3]
+
+
 def test_multi_index_finds_all_within_the_radius():
     rng = np.random.default_rng(5)
     items = decontaminate.Items(list(range(300)), [" ".join(f"v{x}" for x in rng.integers(0, 30, 40)) for _ in range(300)])
