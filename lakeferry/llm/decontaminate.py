@@ -4,14 +4,15 @@ Windows have an item's number of words and any start. The weighted Jaccard simil
 of greater counts, must be SIMILARITY or more. Of a shingle that the item has c times, an occurrence in the document counts in those windows
 that hold it and fewer than c of the occurrences before it, so the starts at which it counts are an interval; sums of intervals
 give an item's overlap with the windows of all starts at once. Items with too few places in the document are left out before.
+Nothing depends on fingerprints: with shingles that repeat, bags alike enough differ in more bits than any useful radius.
 
-What is found must have a fingerprint, BITS signs of sums of the shingles' hash bits, that differs in RADIUS bits at most.
 Items come in blocks of up to ITEM_WORDS words, so what is sent to executors is bounded; each block is a pass over the documents.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
 from itertools import combinations
 
 import numpy as np
@@ -49,7 +50,7 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
 
 
 class Items:
-    """Benchmark items with their shingles, and the block tables of their fingerprints."""
+    """Benchmark items with their shingles."""
 
     def __init__(self, ids: list[int], texts: list[str | None]):
         column = pa.array([(t or "").encode("utf-8", "replace") for t in texts], pa.binary())
@@ -69,10 +70,20 @@ class Items:
         grams, owner = grams[order], owner[order]
         new = np.flatnonzero(np.concatenate([[True], (grams[1:] != grams[:-1]) | (owner[1:] != owner[:-1])])) if len(grams) else np.zeros(0, np.int64)
         self.grams, self.owner, self.count = grams[new], owner[new], np.diff(np.concatenate([new, [len(grams)]]))
-        self.prints = np.array([fingerprint(b) for b in self.bags]).reshape(-1, BLOCKS)
-        # of each block the items sorted by its value
-        self.by_value = np.argsort(self.prints, axis=0, kind="stable")
-        self.values = np.take_along_axis(self.prints, self.by_value, axis=0)
+
+    @cached_property
+    def prints(self) -> np.ndarray:
+        """The items' fingerprints; ``search`` doesn't ask for them."""
+        return np.array([fingerprint(b) for b in self.bags]).reshape(-1, BLOCKS)
+
+    @cached_property
+    def by_value(self) -> np.ndarray:
+        """Of each block the items sorted by its value."""
+        return np.argsort(self.prints, axis=0, kind="stable")
+
+    @cached_property
+    def values(self) -> np.ndarray:
+        return np.take_along_axis(self.prints, self.by_value, axis=0)
 
     def within_radius(self, blocks: np.ndarray) -> np.ndarray:
         """All items whose fingerprints differ in RADIUS bits at most."""
@@ -132,8 +143,7 @@ class Items:
             laid = self.laid(k, shingles, len(h) - int(words[k]))
             reached = laid[overlap[np.searchsorted(starts[: len(overlap)], laid, "right") - 1] == most]
             start = int(reached[0] if len(reached) else starts[np.argmax(overlap)])
-            if np.bitwise_count(fingerprint(shingles[start : start + here[k]]) ^ self.prints[k]).sum() <= RADIUS:
-                best[k] = (s, start, int(words[k]))
+            best[k] = (s, start, int(words[k]))
         return best
 
     def laid(self, k: int, shingles: np.ndarray, last: int) -> np.ndarray:

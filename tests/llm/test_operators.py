@@ -395,6 +395,25 @@ def test_leaks_with_parts_in_another_order(spark):
     assert [r.doc_id for r in decontaminate.drop_leaks(df, bench).collect()] == [3]
 
 
+@pytest.mark.parametrize("times", [5, 8, 10])
+def test_leaks_with_a_shingle_that_repeats(times):
+    """The item has one shingle ``times`` over that the document has once."""
+    import pyarrow as pa
+
+    missed = 0
+    for k in range(20):
+        # a run of one word has times equal shingles
+        body = [f"r{k}x{i}" for i in range(99)]
+        item, text = ["run"] * (times + 4) + body, ["run"] * 5 + body
+        items = decontaminate.Items([0], [" ".join(item)])
+        found = dict(decontaminate._searches(pa.RecordBatch.from_arrays([pa.array([" ".join(text).encode()], pa.binary())], ["text"]), 0, items))
+        bags = [collections.Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4)) for w in (item, text)]
+        want = sum((bags[0] & bags[1]).values()) / sum((bags[0] | bags[1]).values())
+        assert want >= 0.8
+        missed += 0 not in found.get(0, {}) or found[0][0][0] != pytest.approx(want)
+    assert missed == 0
+
+
 def test_multi_index_finds_all_within_the_radius():
     rng = np.random.default_rng(5)
     items = decontaminate.Items(list(range(300)), [" ".join(f"v{x}" for x in rng.integers(0, 30, 40)) for _ in range(300)])
