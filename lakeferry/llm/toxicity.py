@@ -31,7 +31,7 @@ PRIOR, FLOOR, Z, LEAST = 1000.0, 0.5, 3.0, 5
 STEM = 4
 #: Clean text's mean score is this far below 0 at least.
 DRIFT = 1.0
-#: A token that stands again within so many tokens has no log-odds there.
+#: A token that stands again within so many tokens of its document has no log-odds there.
 AGAIN = 8
 E_VALUE = 0.05
 PREDICT_AT = 0.5
@@ -65,15 +65,16 @@ class Odds:
         i = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
         return np.where(self.keys[i] == h, self.scores[i], 0.0)
 
-    def of(self, h: np.ndarray, stem: np.ndarray) -> np.ndarray:
-        """The tokens' scores."""
+    def of(self, h: np.ndarray, stem: np.ndarray, per: np.ndarray) -> np.ndarray:
+        """The tokens' scores; ``per``: first token of each document and one more."""
         if not len(self.keys):
             return np.full(len(h), -self.drift)
         own = self._find(h)
         bare = own == 0
         own[bare] = self._find(stem[bare])
+        doc = segment_ids(per)
         for lag in range(1, min(AGAIN + 1, len(h))):
-            own[lag:][h[lag:] == h[:-lag]] = 0
+            own[lag:][(h[lag:] == h[:-lag]) & (doc[lag:] == doc[:-lag])] = 0
         return own - self.drift
 
     def log_e(self, score: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -259,8 +260,8 @@ def _clean_scores(sample: DataFrame, model: Odds) -> tuple[np.ndarray, np.ndarra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, _, buf, bounds in slices(batch.column(1)):
-                h, stem, *_ = tokens(buf, bounds)
-                v, n = np.unique(np.round(held.value.of(h, stem) * 100), return_counts=True)
+                h, stem, _, _, per = tokens(buf, bounds)
+                v, n = np.unique(np.round(held.value.of(h, stem, per) * 100), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(v.astype(np.int64)), pa.array(n)], ["v", "n"])
 
     got = text_rows(sample.filter("label = 0")).mapInArrow(run, "v long, n long").groupBy("v").agg(F.sum("n").alias("n")).toPandas()
@@ -274,7 +275,7 @@ def _training_evidence(sample: DataFrame, model: Odds, limit: int):
         for batch in batches:
             for i, j, buf, bounds in slices(batch.column(1)):
                 h, stem, _, _, per = tokens(buf, bounds)
-                total, best, _ = held.value.evidence(held.value.of(h, stem), per)
+                total, best, _ = held.value.evidence(held.value.of(h, stem, per), per)
                 yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], pa.array(best), pa.array(np.diff(per)), pa.array(total), batch.column(2)[i:j]], ["doc_id", "best", "n", "evidence", "label"])
 
     kind = sample.schema["doc_id"].dataType.simpleString()
@@ -312,7 +313,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS)
         for batch in batches:
             for i, j, buf, bounds in slices(batch.column(1)):
                 h, stem, starts, ends, per = tokens(buf, bounds)
-                total, _, found = held.value.evidence(held.value.of(h, stem), per)
+                total, _, found = held.value.evidence(held.value.of(h, stem, per), per)
                 score = held.value.score(total)
                 passages = [[{"start": int(starts[per[d] + a] - bounds[d]), "end": int(ends[per[d] + b - 1] - bounds[d]), "score": x} for a, b, x in parts] for d, parts in enumerate(found)]
                 arrays = [batch.column(0)[i:j], batch.column(2)[i:j], pa.array(score), pa.array((score >= PREDICT_AT).astype(np.int32)), pa.array(total), pa.array(passages, spans)]

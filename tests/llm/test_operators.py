@@ -211,6 +211,24 @@ def test_toxic_passages(spark):
     assert passage and set(passage) <= {"vile", "foul", "nasty"}
 
 
+def test_copies_in_adjacent_rows_score_alike():
+    import pyarrow as pa
+
+    texts = [b"vile foul", b"vile foul", b"foul vile good", b"", b"vile", b"vile vile foul"]
+    odds = toxicity.Odds(*[x[np.argsort(toxicity.tokens(np.frombuffer(b"vilefoul", np.uint8), np.array([0, 4, 8]))[0])] for x in (toxicity.tokens(np.frombuffer(b"vilefoul", np.uint8), np.array([0, 4, 8]))[0], np.array([5.0, 4.0]))])
+
+    def scores(rows):
+        for _, _, buf, bounds in textcore.slices(pa.array(rows, pa.binary())):
+            h, stem, _, _, per = toxicity.tokens(buf, bounds)
+            s = odds.of(h, stem, per)
+            return [s[per[d] : per[d + 1]].tolist() for d in range(len(rows))], odds.evidence(s, per)[0].tolist()
+
+    apart = [scores([t]) for t in texts if t]
+    parts, evidence = scores(texts)
+    assert [p for p in parts if p] == [a[0][0] for a in apart] and evidence[:2] == [apart[0][1][0]] * 2
+    assert parts[0] == parts[1] == [4.0, 3.0] and parts[5] == [4.0, -1.0, 3.0]
+
+
 # substring dedup
 
 
