@@ -15,6 +15,7 @@ are never looked for, so a large group of near copies costs as many links as it
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import gcd, lcm
 
 import numpy as np
 import pyarrow as pa
@@ -175,7 +176,7 @@ def linked_components(docs: DataFrame, words: int = WORDS, similarity: int = SIM
     # a row whose prefix shares too little with all others together can't link; without it some shingles are shared no more
     per = shared.groupBy("id").agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n"))
     least, most = F.ceil(F.col("n") * similarity / 100), F.floor(F.col("n") * 100 / similarity)
-    able = per.filter(_may_link(F.col("n"), least, F.col("c"), similarity) | _may_link(F.col("n"), most, F.col("c"), similarity)).select("id")
+    able = per.filter(_may_link_some(F.col("n"), least, most, F.col("c"), similarity)).select("id")
     shared = shared.join(able, "id", "left_semi").withColumn("rows", F.count(F.lit(1)).over(Window.partitionBy("tok"))).filter("rows > 1")
     shared = materialize(shared, "able")
     edges = _span(docs, shared, words, similarity)
@@ -196,6 +197,20 @@ def _may_link(n: Column, m: Column, common: Column, similarity: int) -> Column:
     return (common + F.greatest(rest(n), rest(m))) * (100 + similarity) >= (n + m) * similarity
 
 
+def _may_link_some(n: Column, low: Column, high: Column, common: Column, similarity: int) -> Column:
+    """Whether ``_may_link`` holds for some size from ``low`` to ``high``; they may be the wrong way round if no size is in range.
+
+    What n has beyond its prefix helps most at ``low``. What the other has grows with its size but for steps of both roundings, which
+    come again after ``period`` sizes; over a period the bound rises (or falls) by the same everywhere, so one period at that end has the best size.
+    """
+    period = lcm(EXTRA, 100 // gcd(similarity, 100))
+    rises = (100 + similarity) * (similarity * EXTRA - 100) >= 100 * EXTRA * similarity
+    low, high = low.cast("long"), high.cast("long")
+    first, last = (F.greatest(low, high - (period - 1)), high) if rises else (low, F.least(high, low + (period - 1)))
+    other = F.exists(F.sequence(first, F.greatest(first, last)), lambda m: _may_link(n, m, common, similarity))
+    return _may_link(n, low, common, similarity) | other
+
+
 def _span(docs: DataFrame, shared: DataFrame, words: int, similarity: int) -> DataFrame:
     """Links u, v that connect all linked rows."""
     # family: the prefix shingle that most rows share; central: the larger the share of the prefix that others share
@@ -250,10 +265,9 @@ def _span(docs: DataFrame, shared: DataFrame, words: int, similarity: int) -> Da
         & (F.col("n1") * 100 >= F.col("n") * similarity)
     )
     sent = sent.groupBy("id", "blk", "blk2").agg(F.first("comp").alias("comp"), F.first("n").alias("n"), F.count(F.lit(1)).alias("c"), F.min("n0").alias("n0"), F.max("n1").alias("n1"))
-    # what is asked of the overlap is least at the ends of the other rows' range of sizes
     low = F.greatest(F.col("n0"), F.ceil(F.col("n") * similarity / 100))
     high = F.least(F.col("n1"), F.floor(F.col("n") * 100 / similarity))
-    sent = sent.filter(_may_link(F.col("n"), low, F.col("c"), similarity) | _may_link(F.col("n"), high, F.col("c"), similarity))
+    sent = sent.filter(_may_link_some(F.col("n"), low, high, F.col("c"), similarity))
     sent = sent.select("id", "comp", "n", F.least("blk", "blk2").alias("x"), F.greatest("blk", "blk2").alias("y"), (F.col("blk") < F.col("blk2")).alias("is_x"))
     sides = sent.groupBy("x", "y").agg(F.min("is_x").alias("lo"), F.max("is_x").alias("hi")).filter("lo <> hi").select("x", "y")
     # pairs of blocks are gathered at the least block that either side has to do with, so that a row isn't sent once for each pair

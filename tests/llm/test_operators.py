@@ -118,6 +118,26 @@ def test_components_are_those_of_all_pairs(docs, texts, small, rows, monkeypatch
     assert kept == {i for i, (_, c) in got.items() if i == c}
 
 
+@pytest.mark.parametrize("similarity", [80, 70, 20])
+def test_a_row_is_sent_if_any_size_in_the_range_may_link(spark, similarity):
+    def may(n, m, c):
+        rest = lambda x: -(-x * similarity // 100) - 1 - x // ngram_join.EXTRA
+        return (c + max(rest(n), rest(m))) * (100 + similarity) >= (n + m) * similarity
+
+    rng = random.Random(17)
+    rows = [(16, 18, 20, 1)]
+    for _ in range(3000):
+        n = rng.randint(1, 150)
+        low, high = sorted(rng.randint(-(-n * similarity // 100), n * 100 // similarity) for _ in range(2))
+        rows.append((n, low, high, rng.randint(1, 1 + n // 5)))
+    want = [any(may(n, m, c) for m in range(low, high + 1)) for n, low, high, c in rows]
+    ends = [may(n, low, c) or may(n, high, c) for n, low, high, c in rows]
+    assert (want[0] and not ends[0]) or similarity != 80
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, n long, low long, high long, c long")
+    got = df.select("i", ngram_join._may_link_some(F.col("n"), F.col("low"), F.col("high"), F.col("c"), similarity).alias("x")).orderBy("i").collect()
+    assert [r.x for r in got] == want
+
+
 def test_components_of_chains(spark):
     edges = [(i, i + 1) for i in range(100)] + [(200, 201), (203, 202), (202, 202)]
     got = {r.node: r.component for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}
