@@ -1,15 +1,10 @@
 """Exact search for repeated windows of fixed length over a whole corpus, without shuffling every window.
 
 Every window of W units (bytes, or words) has one anchor, the least of the k-unit grams that it holds; equal windows have
-equal anchors at equal places. Consecutive windows of one anchor are a run. So:
-
-1. Each run goes to its anchor's task with a hash of all the units that its windows hold. Runs that agree in that hash have the same
-   windows; they are settled at once, in the batch that reads them as far as it can.
-2. Of runs that share an anchor but differ, one of each kind stays open. These are split in two, by whether a window reaches far to the
-   anchor's left or to its right, and get a key from about W / 2 units on that side, which all windows of that half hold.
-3. Halves that share a key are compared window by window.
-
-An anchor that many documents have thus costs each batch a row for each kind, and is divided by the longer key where the kinds are many.
+equal anchors at equal places. Consecutive windows of one anchor are a run, whose key is the anchor. Only runs whose key stands more
+than once are looked at further. Keys are counted by a grouping, which adds up before it shuffles, and rows meet their key's count by a join,
+which may be split where a key is hot. Rows of one key that many documents have are then dealt to parts of about
+``KEY_ROWS``, so that no task gathers a key.
 """
 
 from __future__ import annotations
@@ -23,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakeferry.llm.docstats import text_rows
-from lakeferry.llm.textcore import minimizers, mix, run_hashes, slices, word_hashes
+from lakeferry.llm.textcore import column_bytes, minimizers, mix, run_hashes, slices, word_hashes
 from lakeferry.runtime import materialize
 
 _U = np.uint64
@@ -32,16 +27,17 @@ _M_INV = _U(pow(int(_M), -1, 1 << 64))
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * _U(0x9E3779B97F4A7C15))
 #: Bytes of a document that are looked at in one piece; windows that cross pieces belong to the first.
 PIECE_BYTES = 1 << 22
-#: Bytes of text whose runs are settled among themselves before they are sent.
-SETTLE_BYTES = 1 << 23
-FILTER_BITS = 1 << 23
-#: Flags of a run: settled in its batch; its windows are known to be repeated.
-SETTLED, REPEATED = 1, 2
+#: Rows of one key that one task compares, about; a key of more rows is dealt to parts.
+KEY_ROWS = 2048
+#: A filter has FILTER_SPARE bits for each document in it, from FILTER_LEAST up to FILTER_MOST; for more documents none is made.
+FILTER_LEAST, FILTER_MOST, FILTER_SPARE = 1 << 16, 1 << 26, 16
+#: Bytes of text, and rows, that a worker has in hand at a time.
+TAKE_BYTES = 1 << 18
 
 
 @dataclass(frozen=True)
 class Windows:
-    """``length`` units a window, ``gram`` units an anchor; ``words``: units are words, else bytes."""
+    """``length`` units a window, up to 4095, ``gram`` units an anchor; ``words``: units are words, else bytes."""
 
     length: int
     gram: int
@@ -83,7 +79,7 @@ class SpanHash:
 
 def unit_pieces(column: pa.Array, spec: Windows) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(unit values, first unit of each stretch and one more, row of each stretch, first unit of the stretch in its document)."""
-    for i, j, buf, bounds in slices(column, 1 << 18):
+    for i, j, buf, bounds in slices(column, TAKE_BYTES):
         if spec.words:
             h, per = word_hashes(buf, bounds)
             yield h, per, np.arange(i, j), np.zeros(j - i, np.int64)
@@ -96,11 +92,11 @@ def unit_pieces(column: pa.Array, spec: Windows) -> Iterator[tuple[np.ndarray, n
 
 
 def find_runs(values: np.ndarray, per: np.ndarray, spec: Windows) -> tuple[np.ndarray, ...]:
-    """(stretch, anchor's unit, first window, windows, anchor's hash, hash of all units held) of every run."""
+    """(stretch, anchor's unit, first window, windows, anchor's hash) of every run."""
     none = np.zeros(0, np.int64)
     starts = len(values) - spec.length + 1
     if starts <= 0:
-        return none, none, none, none, none.view(np.uint64), none.view(np.uint64)
+        return none, none, none, none, none.view(np.uint64)
     grams = run_hashes(values, spec.gram)
     anchor = minimizers(grams, spec.reach)
     owner = np.repeat(np.arange(len(per) - 1), np.diff(per))
@@ -111,146 +107,56 @@ def find_runs(values: np.ndarray, per: np.ndarray, spec: Windows) -> tuple[np.nd
     # a run ends before the next one, or where windows stop being valid
     stop = np.flatnonzero(np.concatenate([(new | ~valid)[1:], [True]])) + 1
     n = stop[np.searchsorted(stop, first, "right")] - first
-    span = SpanHash(values)
-    return owner[first], anchor[first], first, n, grams[anchor[first]], span(first, first + n + spec.length - 1)
-
+    return owner[first], anchor[first], first, n, grams[anchor[first]]
 
-def pack(start: np.ndarray, offset: np.ndarray, n: np.ndarray, flags: np.ndarray) -> np.ndarray:
-    return (start << 18) | (offset << 10) | (n << 2) | flags
 
+def pack(start: np.ndarray, offset: np.ndarray, n: np.ndarray) -> np.ndarray:
+    return (start << 24) | (offset << 12) | n
 
-def unpack(pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(first window, anchor's distance from it, windows, flags)"""
-    return pos >> 18, (pos >> 10) & 255, (pos >> 2) & 255, pos & 3
 
+def unpack(pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first window, anchor's distance from it, windows)"""
+    return pos >> 24, (pos >> 12) & 4095, pos & 4095
 
-def batch_runs(batch: pa.RecordBatch, spec: Windows, spare_first: bool) -> pa.RecordBatch:
-    """anchor, kind, doc, pos of the batch's runs, those that agree settled among themselves.
-
-    With ``spare_first`` the earliest stays open and the others are settled as removed; else all that agree are removed and the earliest goes on, marked as
-    repeated, to tell others. Settled runs get a key of their own, so that none gathers at an anchor.
-    """
-    ids = batch.column(0).to_numpy()
-    cols: list[list[np.ndarray]] = [[], [], [], []]
-    for values, per, row, base in unit_pieces(batch.column(1), spec):
-        stretch, a, s, n, g, k = find_runs(values, per, spec)
-        cols[0].append(g)
-        cols[1].append(k)
-        cols[2].append(ids[row[stretch]])
-        cols[3].append(pack(s - per[stretch] + base[stretch], a - s, n, np.zeros(len(s), np.int64)))
-    anchor, kind = (np.concatenate([np.zeros(0, np.uint64), *c]) for c in cols[:2])
-    doc, pos = (np.concatenate([np.zeros(0, np.int64), *c]) for c in cols[2:])
-    both = mix(anchor ^ (kind * _U(0x9E3779B97F4A7C15)))
-    order = np.lexsort((pos, doc, both))
-    both, anchor, kind, doc, pos = both[order], anchor[order], kind[order], doc[order], pos[order]
-    same = np.zeros(len(both), bool)
-    same[1:] = both[1:] == both[:-1]
-    again = same.copy()  # a row that repeats another's document and place is the same occurrence
-    again[1:] &= (doc[1:] == doc[:-1]) & (pos[1:] == pos[:-1])
-    keep = ~again
-    both, anchor, kind, doc, pos, same = both[keep], anchor[keep], kind[keep], doc[keep], pos[keep], same[keep]
-    after = np.concatenate([same[1:], [False]])[: len(same)]
-    settled = same
-    flags = np.where(settled, SETTLED, 0)
-    if not spare_first:
-        flags = flags | np.where(same | after, REPEATED, 0)
-    anchor = np.where(settled, mix(doc.astype(np.uint64) ^ _U(0xA5A5A5A5A5A5A5A5)), anchor)
-    return pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(kind.view(np.int64)), pa.array(doc), pa.array(pos | flags)], ["anchor", "kind", "doc", "pos"])
-
-
-class Settler:
-    """Reads runs sorted by anchor, kind, document and place; returns those removed and those that stay open.
-
-    Keeps one row and a few flags between batches, however many rows an anchor has.
-    """
 
-    def __init__(self, spare_first: bool):
-        self.spare_first = spare_first
-        self.rows = np.zeros((0, 4), np.int64)  # the last row, held until the next is known
-        self.new_kind = self.new_anchor = True
-        self.lone: np.ndarray | None = None  # the one kind so far of the anchor at hand
-
-    def feed(self, rows: np.ndarray, last: bool = False) -> tuple[np.ndarray, np.ndarray]:
-        """(removed, open): rows of doc, pos. ``rows``: anchor, kind, doc, pos."""
-        settled = (rows[:, 3] & SETTLED) != 0
-        out = [rows[settled][:, 2:]]
-        rows = np.concatenate([self.rows, rows[~settled]])
-        n = len(rows)
-        none = rows[:0, 2:]
-        if not n:
-            return np.concatenate(out), none
-        anchor = np.concatenate([[self.new_anchor], (rows[1:, 0] != rows[:-1, 0])])
-        kind = np.concatenate([[self.new_kind], anchor[1:] | (rows[1:, 1] != rows[:-1, 1])])
-        again = np.zeros(n, bool)
-        again[1:] = ~kind[1:] & (rows[1:, 2] == rows[:-1, 2]) & (rows[1:, 3] >> 2 == rows[:-1, 3] >> 2)
-        if not last:
-            # a held row that repeats its predecessor stands where that one stood
-            like = int(np.flatnonzero(~again)[-1])
-            self.rows, self.new_anchor, self.new_kind = rows[-1:], bool(anchor[like]), bool(kind[like])
-        body = n if last else n - 1
-        keep = ~again[:body]
-        follows = np.concatenate([~kind[1:] & ~again[1:], [False]])[:body]  # the next row is another occurrence of this kind
-        rows, anchor, kind, follows = rows[:body][keep], anchor[:body][keep], kind[:body][keep], follows[keep]
-        if not len(rows):
-            return np.concatenate(out), none
-        repeated = ~kind | follows | ((rows[:, 3] & REPEATED) != 0)
-        if self.spare_first:
-            out.append(rows[~kind][:, 2:])
-        else:
-            out.append(rows[repeated][:, 2:])
-            rows = rows.copy()
-            rows[:, 3] |= np.where(repeated, REPEATED, 0)
-        # kinds after an anchor's first make all its kinds open
-        opened = [rows[kind & ~anchor][:, 2:]]
-        group = np.cumsum(anchor)
-        more = np.zeros(group[-1] + 1, bool)
-        more[group[kind & ~anchor]] = True
-        if self.lone is not None and more[0]:
-            opened.append(self.lone)
-            self.lone = None
-        if group[-1] > 0:
-            heads = rows[anchor][:, 2:]
-            opened.append(heads[more[1:]])
-            self.lone = None if more[-1] or last else heads[-1:]
-        return np.concatenate(out), np.concatenate(opened)
-
-
-def settle(docs: DataFrame, spec: Windows, spare_first: bool) -> DataFrame:
-    """doc, pos, open: runs all of whose windows are removed, and (open) those to be looked at window by window. Rows without a doc_id don't count."""
-    docs = docs.filter("doc_id IS NOT NULL")
+def run_rows(docs: DataFrame, spec: Windows) -> DataFrame:
+    """key, doc, pos of every run of ``docs(doc_id, text)``. Rows without a doc_id don't count."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            # some texts at a time, so that a worker's memory follows their bytes and not the batch's rows
-            for i, j, _, _ in slices(batch.column(1), SETTLE_BYTES):
-                yield batch_runs(batch.slice(i, j - i), spec, spare_first)
+            ids = batch.column(0).to_numpy()
+            for values, per, row, base in unit_pieces(batch.column(1), spec):
+                stretch, a, s, n, g = find_runs(values, per, spec)
+                pos = pack(s - per[stretch] + base[stretch], a - s, n)
+                yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(ids[row[stretch]]), pa.array(pos)], ["key", "doc", "pos"])
 
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state = Settler(spare_first)
-        for batch in batches:
-            yield told(*state.feed(np.column_stack([c.to_numpy() for c in batch.columns])))
-        yield told(*state.feed(np.zeros((0, 4), np.int64), last=True))
+    return text_rows(docs.filter("doc_id IS NOT NULL")).mapInArrow(read, "key long, doc long, pos long")
 
-    def told(removed: np.ndarray, opened: np.ndarray) -> pa.RecordBatch:
-        both = np.concatenate([removed, opened])
-        return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(np.arange(len(both)) >= len(removed))], ["doc", "pos", "open"])
 
-    rows = text_rows(docs).mapInArrow(read, "anchor long, kind long, doc long, pos long")
-    rows = rows.repartition("anchor").sortWithinPartitions("anchor", "kind", "doc", "pos")
-    return materialize(rows.mapInArrow(judge, "doc long, pos long, open boolean"), "settled")
+def repeated(rows: DataFrame) -> DataFrame:
+    """Those of rows(key, doc, pos) whose key stands more than once, with ``part``: -1, or of keys of more than KEY_ROWS rows the part that the row is dealt to."""
+    counts = rows.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1")
+    parts = F.ceil(F.col("rows") / F.lit(KEY_ROWS)).cast("long")
+    part = F.when(parts > 1, F.pmod(F.xxhash64("doc", "pos"), parts)).otherwise(F.lit(-1).cast("long"))
+    return rows.join(counts, "key").select("key", "doc", "pos", part.alias("part"))
 
 
 def filtered(docs: DataFrame, wanted: DataFrame, inside: bool = True) -> DataFrame:
     """Rows of ``docs(doc_id, ...)`` that may be in ``wanted(doc)``; with ``inside`` False those that are certainly not.
 
-    A bitmap of fixed size tells; what it lets through wrongly does no harm to a join that follows.
+    A bitmap with FILTER_SPARE bits a document tells; what it lets through wrongly does no harm to a join that follows. For more documents than
+    FILTER_MOST bits serve there is no bitmap: all rows may be wanted.
     """
-    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
+    size = wanted.count() * FILTER_SPARE
+    if size > FILTER_MOST:
+        return docs if inside else docs.filter("doc_id IS NULL")
+    bits = max(FILTER_LEAST, 1 << size.bit_length())
+    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
     cells = wanted.select(F.floor(bit("doc") / 32).cast("int").alias("cell"), F.call_function("shiftleft", F.lit(1).cast("long"), (bit("doc") % 32).cast("int")).alias("b"))
-    cells = cells.groupBy("cell").agg(F.bit_or("b").alias("b")).toPandas()  # FILTER_BITS / 32 rows at most
-    table = np.zeros(FILTER_BITS // 32, np.uint32)
+    cells = cells.groupBy("cell").agg(F.bit_or("b").alias("b")).toPandas()  # bits / 32 rows at most
+    table = np.zeros(bits // 32, np.uint32)
     table[cells["cell"].to_numpy(int)] = cells["b"].to_numpy(np.int64).astype(np.uint32)
-    held = docs.sparkSession.sparkContext.broadcast(table)
+    held = docs.sparkSession.sparkContext.broadcast(table)  # 2 x FILTER_MOST bits at most
     names = docs.columns
     columns = len(names)
 
@@ -258,16 +164,24 @@ def filtered(docs: DataFrame, wanted: DataFrame, inside: bool = True) -> DataFra
         for batch in batches:
             at = batch.column(columns).to_numpy()
             keep = ((held.value[at // 32] >> (at % 32).astype(np.uint32)) & 1) == int(inside)
+            if not inside:
+                keep |= batch.column(0).is_null().to_numpy(zero_copy_only=False)
             yield pa.RecordBatch.from_arrays(batch.columns[:columns], names=names).filter(pa.array(keep))
 
     return docs.withColumn("_lf_at", bit("doc_id")).mapInArrow(run, docs.schema)
 
 
-def with_runs(docs: DataFrame, runs: DataFrame) -> DataFrame:
-    """doc_id, text, runs: documents that have runs(doc, pos), with the list of theirs."""
-    listed = runs.groupBy("doc").agg(F.collect_list("pos").alias("runs"))
-    rows = filtered(text_rows(docs), listed.select("doc"))
-    return rows.join(listed, rows["doc_id"] == listed["doc"]).select("doc_id", "text", "runs")
+def with_rows(docs: DataFrame, rows: DataFrame, *columns: str) -> DataFrame:
+    """doc_id, text and a list of each of ``columns``: documents that have rows(doc, ...), with theirs, each different one once."""
+    listed = materialize(rows.groupBy("doc").agg(F.collect_set(F.struct(*columns)).alias("_r")).select("doc", *[F.col(f"_r.{c}").alias(f"_{c}") for c in columns]), "listed")
+    texts = filtered(text_rows(docs.filter("doc_id IS NOT NULL")), listed.select("doc"))
+    return texts.join(listed, F.col("doc_id") == F.col("doc")).select("doc_id", "text", *[f"_{c}" for c in columns])
+
+
+def flat_lists(batch: pa.RecordBatch, columns: list[int]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(first item of each row and one more, the values of each of the list columns, which are of one length in a row)."""
+    at = batch.column(columns[0]).offsets.to_numpy()
+    return at, [batch.column(c).values.to_numpy() for c in columns]
 
 
 def run_lists(column: pa.Array) -> Iterator[np.ndarray]:
@@ -291,8 +205,54 @@ def halves(spec: Windows, start: np.ndarray, offset: np.ndarray, n: np.ndarray)
     yield left, start[left], (stop - start)[left], anchor[left] - spec.half - 1, anchor[left] + spec.gram
 
 
+def column_bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    data, at = column_bytes(column)
+    return data[at[0] : at[-1]], at - at[0]
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], weight, limit: int) -> Iterator[pa.Table]:
+    """Rows sorted by their first two columns, cut between groups of these as soon as ``weight(batch)``, added up, reaches ``limit``."""
+    held: list[pa.RecordBatch] = []
+    heavy = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        heavy += weight(batch)
+        if heavy < limit:
+            continue
+        key, part = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        change = np.flatnonzero((key[1:] != key[:-1]) | (part[1:] != part[:-1]))
+        if not len(change):
+            # rows of one group alone, or the end of what is held
+            before = held[-2] if len(held) > 1 else None
+            if before is not None and (before.column(0)[-1].as_py(), before.column(1)[-1].as_py()) != (int(key[0]), int(part[0])):
+                yield pa.Table.from_batches(held[:-1])
+                held, heavy = [batch], weight(batch)
+            continue
+        cut = int(change[-1]) + 1
+        yield pa.Table.from_batches([*held[:-1], batch.slice(0, cut)])
+        held = [batch.slice(cut)]
+        heavy = weight(held[0])
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def stretches(doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(doc, start, n) of the maximal stretches of consecutive starts, which need not be in order or different."""
+    order = np.lexsort((start, doc))
+    doc, start = doc[order], start[order]
+    first = np.ones(len(doc), bool)
+    first[1:] = (doc[1:] != doc[:-1]) | (start[1:] > start[:-1] + 1)
+    head = np.flatnonzero(first)
+    if not len(head):
+        return doc, start, start
+    last = np.concatenate([head[1:], [len(doc)]]) - 1
+    return doc[head], start[head], start[last] - start[head] + 1
+
+
 def finish(docs: DataFrame, removed: DataFrame, judge, schema: str) -> DataFrame:
-    """``judge(batch of doc_id, text, starts, counts)`` over all rows of ``docs``, with their stretches of removed windows(doc, start, n).
+    """``judge(part of a batch of doc_id, text, starts, counts)`` over all rows of ``docs``, with their stretches of removed windows(doc, start, n).
 
     Only documents that have some are shuffled, to meet their list; the others are judged where they are read.
     """
@@ -300,12 +260,13 @@ def finish(docs: DataFrame, removed: DataFrame, judge, schema: str) -> DataFrame
     listed = materialize(listed, "removed")
     rows = text_rows(docs)
     none = F.array().cast("array<long>")
-    some = filtered(rows, listed.select("doc")).join(listed, F.col("doc_id") == F.col("doc"), "left")
+    some = filtered(rows.filter("doc_id IS NOT NULL"), listed.select("doc")).join(listed, F.col("doc_id") == F.col("doc"), "left")
     some = some.select("doc_id", "text", F.coalesce("starts", none).alias("starts"), F.coalesce("counts", none).alias("counts"))
     rest = filtered(rows, listed.select("doc"), inside=False).select("doc_id", "text", none.alias("starts"), none.alias("counts"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield judge(batch)
+            for i, j, _, _ in slices(batch.column(1)):
+                yield judge(batch.slice(i, j - i))
 
     return some.mapInArrow(run, schema).unionByName(rest.mapInArrow(run, schema))

@@ -1,36 +1,33 @@
 """Substring dedup over bytes, with suffix arrays.
 
 A byte is removed if a string of LENGTH bytes that covers it also starts earlier, in a document of smaller id or farther ahead in
-the same one. Runs of such strings meet by content (see ``anchors``), and those that are alike throughout are settled as one.
-What differs is dealt to shards by content, so that equal strings share a shard. A shard builds the suffix array of its bytes by
+the same one. Runs of such strings whose anchor stands more than once (see ``anchors``) are dealt to shards by that anchor, so that equal strings share
+a shard. A shard builds the suffix array of its bytes by
 Larsson-Sadakane refinement (sort by eight bytes, then by the ranks found, doubling the depth, unsorted groups alone), gets
-the common prefixes of neighbours in Kasai's way, and keeps the earliest of strings that have LENGTH bytes in common. Content that
+the common prefixes of neighbours in Kasai's way, and keeps the earliest of strings that have LENGTH bytes in common. An anchor that
 very many documents have is dealt to several shards, whose sorted survivors are merged by binary search. A shard is a range of keys within
-a task, which takes them up one after the other, so a task holds SHARD_BYTES, about, at a time.
+a task, which takes them up one after the other, so a task holds SHARD_BYTES, about, at a time. Every removal is a shard's or a merge's.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from dataclasses import dataclass, fields
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeferry.llm.anchors import _BYTE, PIECE_BYTES, SpanHash, Windows, find_runs, finish, halves, pack, run_lists, settle
-from lakeferry.llm.substring_dedup import column_bytes_of
-from lakeferry.llm.docstats import text_rows
-from lakeferry.llm.textcore import mix, slices
+from lakeferry.llm.anchors import _BYTE, TAKE_BYTES, SpanHash, Windows, column_bytes_of, finish, flat_lists, repeated, run_lists, run_rows, stretches, unpack, whole_groups, with_rows
+from lakeferry.llm.textcore import covered, mix, slices
 from lakeferry.runtime import materialize, ship
 
-LENGTH, GRAM = 100, 16
-#: Bytes of a shard, about, and stretches with one key in a shard at most.
-SHARD_BYTES, KEY_ROWS = 1 << 19, 2048
-#: Bits of the filter that tells open runs when texts are read again; what it lets through wrongly is compared in vain.
-FILTER_BITS = 1 << 25
+LENGTH, GRAM = 100, 32
+#: Bytes of a shard, about, unless one key's part has more.
+SHARD_BYTES = 1 << 19
+#: Runs whose bytes are sent in one batch.
+TAKE_RUNS = 1 << 14
 
 
 def suffix_array(buf: np.ndarray) -> np.ndarray:
@@ -41,7 +38,7 @@ def suffix_array(buf: np.ndarray) -> np.ndarray:
     n = len(buf)
     padded = np.concatenate([buf, np.zeros(8, np.uint8)])
     head = np.ndarray((n,), ">u8", padded, 0, (1,)).astype(np.uint64)
-    order = np.argsort(head, kind="stable")
+    order = np.argsort(head)
     new = np.ones(n, bool)
     new[1:] = head[order][1:] != head[order][:-1]
     first = np.flatnonzero(new)
@@ -55,7 +52,7 @@ def suffix_array(buf: np.ndarray) -> np.ndarray:
             break
         s = order[todo]
         key = (rank[s].astype(np.uint64) << np.uint64(32)) | rank[np.minimum(s + h, n)].astype(np.uint64)
-        by = np.argsort(key, kind="stable")
+        by = np.argsort(key)
         order[todo], key = s[by], key[by]
         fresh = np.ones(len(todo), bool)
         fresh[1:] = key[1:] != key[:-1]
@@ -118,7 +115,7 @@ def later_windows(buf: np.ndarray, sizes: np.ndarray, doc: np.ndarray, start: np
 
 
 def merge_sorted(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """(doc, start) of windows that stand earlier in another shard. ``parts``: sorted digests, doc, start of each shard's survivors."""
+    """(doc, start) of windows that stand earlier in another shard. ``parts``: sorted digests (of two words, high and low), doc, start of each shard's survivors."""
     digest, doc, start = parts[0]
     gone_d, gone_s = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for k, d, s in parts[1:]:
@@ -136,195 +133,87 @@ def merge_sorted(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tupl
     return np.concatenate(gone_d), np.concatenate(gone_s)
 
 
+def sorted_digests(high: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(digests of 16 bytes that numpy can sort and search, their order)"""
+    both = np.ascontiguousarray(np.column_stack([high, low]).astype(np.int64).view(np.uint64).astype(">u8")).view("S16").ravel()
+    order = np.argsort(both, kind="stable")
+    return both[order], order
+
+
 def repeated_strings(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc, start, n: strings of ``length`` bytes of ``docs(doc_id, text)`` that start earlier too, as stretches of n starts from ``start`` on."""
-    spec = Windows(length, min(GRAM, max(1, length // 4)), False)
-    settled = settle(docs, spec, spare_first=True)
-    place = F.col("pos")
-    sure = settled.filter("not open").select("doc", F.shiftright(place, 18).alias("start"), (F.shiftright(place, 2) % 256).alias("n"))
-
-    table = _run_filter(settled.filter("open").select("doc", "pos"))
-    held = docs.sparkSession.sparkContext.broadcast(table)  # FILTER_BITS bits
+    spec = Windows(length, min(GRAM, max(1, length // 3)), False)
+    runs = repeated(run_rows(docs, spec))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy()
-            for i, _, buf, bounds in slices(batch.column(1), 1 << 18):
-                for at in range(0, max(1, len(buf) - length + 1), PIECE_BYTES) if len(bounds) == 2 else [0]:
-                    own, per = (buf, bounds) if len(bounds) > 2 else (buf[at : at + PIECE_BYTES + length - 1], None)
-                    per = np.array([0, len(own)]) if per is None else per
-                    yield _open_halves(own, per, ids[i : i + len(per) - 1], at, spec, held.value)
-
-    def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shards = Shards(length)
-        for batch in batches:
-            yield from shards.feed(batch)
-        yield from shards.close()
+            at, (pos, key, part) = flat_lists(batch, [2, 3, 4])
+            for i, j, buf, bounds in slices(batch.column(1), TAKE_BYTES):
+                row = np.repeat(np.arange(j - i), np.diff(at[i : j + 1]))
+                for a in range(0, len(row), TAKE_RUNS):
+                    own = slice(at[i] + a, min(at[i] + a + TAKE_RUNS, at[j]))
+                    yield _contents(buf, bounds, ids[i:j], row[a : a + TAKE_RUNS], pos[own], key[own], part[own], length)
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, lambda b: len(column_bytes_of(b.column(4))[0]), SHARD_BYTES):
+            yield judge_shard(table, length)
 
-    dealt = text_rows(docs.filter("doc_id IS NOT NULL")).mapInArrow(cut, "key long, doc long, start long, content binary")
-    dealt = dealt.repartition("key").sortWithinPartitions("key", "doc", "start")
-    judged = materialize(dealt.mapInArrow(shard, "doc long, start long, n long, key long, part long, digest long"), "judged")
+    dealt = with_rows(docs, runs, "pos", "key", "part").mapInArrow(cut, "key long, part long, doc long, start long, content binary")
+    dealt = dealt.repartition("key", "part").sortWithinPartitions("key", "part")
+    judged = materialize(dealt.mapInArrow(judge, "doc long, start long, n long, key long, part long, high long, low long"), "judged")
 
     def merge(table: pa.Table) -> pa.Table:
-        part, digest = table.column("part").to_numpy(), table.column("digest").to_numpy().view(np.uint64)
-        doc, start = table.column("doc").to_numpy(), table.column("start").to_numpy()
+        part, high, low, doc, start = (table.column(c).to_numpy() for c in ("part", "high", "low", "doc", "start"))
         parts = []
         for x in np.unique(part):
             at = np.flatnonzero(part == x)
-            at = at[np.argsort(digest[at], kind="stable")]
-            parts.append((digest[at], doc[at], start[at]))
+            digest, order = sorted_digests(high[at], low[at])
+            parts.append((digest, doc[at][order], start[at][order]))
         d, s = merge_sorted(parts)
         return pa.table({"doc": d, "start": s, "n": np.ones(len(d), np.int64)})
 
-    # survivors of content that several shards have meet by key and digest
-    across = judged.filter("part >= 0").withColumn("range", F.shiftright("digest", 56)).groupBy("key", "range").applyInArrow(merge, "doc long, start long, n long")
-    return sure.unionByName(judged.filter("part < 0").select("doc", "start", "n")).unionByName(across)
-
+    # survivors of an anchor that several shards have meet by key and range of digests: as many ranges as shards
+    across = judged.filter("part >= 0")
+    shards = across.groupBy("key").agg((F.max("part") + 1).alias("shards"))
+    across = across.join(shards, "key").withColumn("range", F.pmod("high", "shards")).select("doc", "start", "key", "range", "part", "high", "low")
+    across = across.groupBy("key", "range").applyInArrow(merge, "doc long, start long, n long")
+    return judged.filter("part < 0").select("doc", "start", "n").unionByName(across)
 
-def _bit(doc: np.ndarray, pos: np.ndarray) -> np.ndarray:
-    return (mix(mix(doc.astype(np.uint64)) ^ pos.astype(np.uint64)) % np.uint64(FILTER_BITS)).astype(np.int64)
 
-
-def _run_filter(runs: DataFrame) -> np.ndarray:
-    """A bitmap of runs(doc, pos)."""
-
-    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = _bit(batch.column(0).to_numpy(), batch.column(1).to_numpy() & ~3)
-            yield pa.RecordBatch.from_arrays([pa.array(at >> 6), pa.array((np.uint64(1) << (at & 63).astype(np.uint64)).view(np.int64))], ["cell", "bits"])
-
-    cells = runs.mapInArrow(bits, "cell long, bits long").groupBy("cell").agg(F.bit_or("bits").alias("bits")).toPandas()  # FILTER_BITS / 64 rows at most
-    table = np.zeros(FILTER_BITS // 64, np.uint64)
-    table[cells["cell"].to_numpy(int)] = cells["bits"].to_numpy(np.int64).view(np.uint64)
-    return table
-
-
-def _open_halves(buf: np.ndarray, per: np.ndarray, ids: np.ndarray, base: int, spec: Windows, table: np.ndarray) -> pa.RecordBatch:
-    """key, doc, start, content of the halves of the runs that the filter lets through."""
-    values = _BYTE[buf]
-    stretch, anchor, first, n, _, _ = find_runs(values, per, spec)
-    doc = ids[stretch]
-    inner = first - per[stretch] + base
-    at = _bit(doc, pack(inner, anchor - first, n, np.zeros(len(n), np.int64)))
-    keep = np.flatnonzero((table[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1))
-    doc, first, anchor, n, shift = doc[keep], first[keep], anchor[keep], n[keep], (inner - first)[keep]
-    span = SpanHash(values)
-    cols: list[list[np.ndarray]] = [[], [], [], []]
-    for side, (which, start, m, low, high) in enumerate(halves(spec, first, anchor - first, n)):
-        cols[0].append(mix(span(low, high) + np.uint64(side)).view(np.int64))
-        cols[1].append(doc[which])
-        cols[2].append(start + shift[which])
-        cols[3].append(np.column_stack([start, m + (spec.length - 1)]))
-    key, docs, starts, where = (np.concatenate(c) for c in cols)
-    size = where[:, 1]
+def _contents(buf: np.ndarray, bounds: np.ndarray, ids: np.ndarray, row: np.ndarray, pos: np.ndarray, key: np.ndarray, part: np.ndarray, length: int) -> pa.RecordBatch:
+    """key, part, doc, start, content of runs; ``row``: the document of each."""
+    start, _, n = unpack(pos)
+    size = n + (length - 1)
+    fits = start + size <= np.diff(bounds)[row]  # not so only where rows of one id have unlike texts
+    row, start, size, key, part = row[fits], start[fits], size[fits], key[fits], part[fits]
     offsets = np.concatenate([[0], np.cumsum(size)])
-    content = buf[np.repeat(where[:, 0] - offsets[:-1], size) + np.arange(offsets[-1])]
+    content = buf[np.repeat(start + bounds[row] - offsets[:-1], size) + np.arange(offsets[-1])]
     binary = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(content)])
-    return pa.RecordBatch.from_arrays([pa.array(key), pa.array(docs), pa.array(starts), binary], ["key", "doc", "start", "content"])
-
-
-@dataclass
-class Stretches:
-    """Rows of key, doc, start, and their bytes one after the other."""
-
-    key: np.ndarray
-    doc: np.ndarray
-    start: np.ndarray
-    size: np.ndarray
-    buf: np.ndarray
-
-    def __add__(self, other: Stretches) -> Stretches:
-        return Stretches(*(np.concatenate([getattr(self, f.name), getattr(other, f.name)]) for f in fields(self)))
-
-    def where(self, keep: np.ndarray) -> Stretches:
-        return Stretches(self.key[keep], self.doc[keep], self.start[keep], self.size[keep], self.buf[np.repeat(keep, self.size)])
-
-
-class Shards:
-    """Takes stretches sorted by key and judges them in shards of whole keys; a key of very many rows is a shard for every KEY_ROWS of them."""
-
-    def __init__(self, length: int):
-        self.length = length
-        none = np.zeros(0, np.int64)
-        self.empty = Stretches(none, none, none, none, np.zeros(0, np.uint8))
-        self.tail = self.empty  # rows of the key at hand
-        self.ready: list[Stretches] = []  # whole keys that stand more than once
-        self.bytes = 0
-        self.hot: int | None = None  # the key at hand, if parts of it have been judged
-        self.part = 0
-
-    def feed(self, batch: pa.RecordBatch, last: bool = False) -> Iterator[pa.RecordBatch]:
-        buf, bounds = column_bytes_of(batch.column(3))
-        rows = self.tail + Stretches(*(batch.column(c).to_numpy() for c in range(3)), np.diff(bounds), buf)
-        self.tail = self.empty
-        if not len(rows.key):
-            return
-        first = np.flatnonzero(np.concatenate([[True], rows.key[1:] != rows.key[:-1]]))
-        count = np.diff(np.concatenate([first, [len(rows.key)]]))
-        for k in np.flatnonzero((count >= KEY_ROWS) | (rows.key[first] == self.hot)).tolist():
-            yield from self._parts(rows, int(first[k]), int(count[k]), last or k + 1 < len(first))
-        plain = (count > 1) & (count < KEY_ROWS) & (rows.key[first] != self.hot)
-        if not last and rows.key[-1] != self.hot:
-            plain[-1] = False
-            self.tail = rows.where(np.arange(len(rows.key)) >= first[-1])
-        keep = rows.where(np.repeat(plain, count))
-        if len(keep.key):
-            self.ready.append(keep)
-            self.bytes += len(keep.buf)
-        while self.bytes >= SHARD_BYTES or (last and self.ready):
-            yield from self._shard()
-
-    def close(self) -> Iterator[pa.RecordBatch]:
-        none = pa.array([], pa.int64())
-        yield from self.feed(pa.RecordBatch.from_arrays([none, none, none, pa.array([], pa.binary())], ["key", "doc", "start", "content"]), last=True)
-
-    def _shard(self) -> Iterator[pa.RecordBatch]:
-        rows = self.ready[0]
-        for more in self.ready[1:]:
-            rows = rows + more
-        # as many whole keys as fill a shard
-        first = np.flatnonzero(np.concatenate([[True], rows.key[1:] != rows.key[:-1]]))
-        upto = np.cumsum(np.add.reduceat(rows.size, first))
-        n = min(int(np.searchsorted(upto, SHARD_BYTES)) + 1, len(first))
-        cut = np.arange(len(rows.key)) < (first[n] if n < len(first) else len(rows.key))
-        yield self._judge(rows.where(cut), -1)
-        rest = rows.where(~cut)
-        self.ready, self.bytes = ([rest] if len(rest.key) else []), len(rest.buf)
-
-    def _parts(self, rows: Stretches, first: int, count: int, ended: bool) -> Iterator[pa.RecordBatch]:
-        key = int(rows.key[first])
-        if self.hot != key:
-            self.hot, self.part = key, 0
-        for a in range(first, first + count, KEY_ROWS):
-            at = np.arange(len(rows.key))
-            some = rows.where((at >= a) & (at < min(a + KEY_ROWS, first + count)))
-            yield self._judge(some, self.part)
-            self.part += 1
-        if ended:
-            self.hot = None
-
-    def _judge(self, rows: Stretches, part: int) -> pa.RecordBatch:
-        """Removed windows as stretches; of a part also its survivors, with digests."""
-        d, s, later, _, at = later_windows(rows.buf, rows.size, rows.doc, rows.start, self.length)
-        order = np.lexsort((s[later], d[later]))
-        gd, gs = d[later][order], s[later][order]
-        first = np.ones(len(gd), bool)
-        first[1:] = (gd[1:] != gd[:-1]) | (gs[1:] > gs[:-1] + 1)
-        head = np.flatnonzero(first)
-        last = np.concatenate([head[1:], [len(gd)]]) - 1 if len(head) else head
-        cols = [gd[head], gs[head], gs[last] - gs[head] + 1 if len(head) else gs, np.zeros(len(head), np.int64), np.full(len(head), -1), np.zeros(len(head), np.int64)]
-        if part >= 0:
-            digest = SpanHash(_BYTE[rows.buf])(at, at + self.length)[~later].view(np.int64)
-            k = len(digest)
-            cols = [np.concatenate(x) for x in zip(cols, [d[~later], s[~later], np.ones(k, np.int64), np.full(k, rows.key[0]), np.full(k, part), digest], strict=True)]
-        return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in cols], ["doc", "start", "n", "key", "part", "digest"])
+    return pa.RecordBatch.from_arrays([pa.array(key), pa.array(part), pa.array(ids[row]), pa.array(start), binary], ["key", "part", "doc", "start", "content"])
+
+
+def judge_shard(table: pa.Table, length: int = LENGTH) -> pa.RecordBatch:
+    """A shard's removed windows as stretches, with part -1; of keys in parts also the survivors, with digests. ``table``: key, part, doc, start, content."""
+    key, part, doc, start = (table.column(c).to_numpy() for c in range(4))
+    buf, bounds = column_bytes_of(table.column(4))
+    d, s, later, owner, at = later_windows(buf, np.diff(bounds), doc, start, length)
+    gd, gs, gn = stretches(d[later], s[later])
+    zero = np.zeros(len(gd), np.int64)
+    tell = np.flatnonzero(~later & (part[owner] >= 0)) if len(at) else np.zeros(0, np.int64)
+    cols = [gd, gs, gn, zero, zero - 1, zero, zero]
+    if len(tell):
+        high, low = (SpanHash(v)(at[tell], at[tell] + length).view(np.int64) for v in (_BYTE[buf], mix(_BYTE[buf] ^ np.uint64(0xC2B2AE3D27D4EB4F))))
+        more = [d[tell], s[tell], np.ones(len(tell), np.int64), key[owner[tell]], part[owner[tell]], high, low]
+        cols = [np.concatenate(x) for x in zip(cols, more, strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in cols], ["doc", "start", "n", "key", "part", "high", "low"])
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """``docs(doc_id, text)`` -> doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans; a row per row of ``docs``.
+    """``docs(doc_id, text)`` -> doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans; a row per row of ``docs``. doc_id must be a whole number.
 
     ``spans``: the removed stretches, as (start, end) in bytes. Null texts are empty; they, and texts shorter than ``length``, lose nothing. Rows
-    that repeat a doc_id with its text are one document; a row without a doc_id loses nothing and makes no other lose anything. Very long texts are taken whole, in pieces. An empty table gives no rows.
+    that repeat a doc_id with its text are one document (of rows with one id and unlike texts, strings at one place count as one); a row without a doc_id loses nothing and makes no other lose anything. Very long texts are taken whole, in pieces. An empty table gives no rows.
     Columns other than the two named are not looked at.
     """
     ship(docs.sparkSession)
@@ -341,10 +230,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 gone.append(0), spans.append(0), where.append([])
                 sha.append(hashlib.sha256(own.tobytes()).hexdigest())
                 continue
-            edge = np.zeros(len(own) + 1, np.int32)
-            np.add.at(edge, start, 1)
-            np.add.at(edge, start + count + (length - 1), -1)
-            mask = np.concatenate([[False], np.cumsum(edge[:-1]) > 0, [False]])
+            mask = np.concatenate([[False], covered(start, count + (length - 1), len(own)), [False]])
             turn = np.flatnonzero(mask[1:] != mask[:-1])
             gone.append(int(mask.sum()))
             spans.append(len(turn) // 2)

@@ -177,8 +177,6 @@ def per_document(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def covered(starts: np.ndarray, length: int | np.ndarray, n: int) -> np.ndarray:
-    """Mask of the n items that the stretches cover."""
-    edge = np.zeros(n + 1, np.int64)
-    np.add.at(edge, starts, 1)
-    np.add.at(edge, starts + length, -1)
+    """Mask of the n items that the stretches cover, as far as they reach."""
+    edge = np.bincount(np.minimum(starts, n), minlength=n + 1) - np.bincount(np.minimum(starts + length, n), minlength=n + 1)
     return np.cumsum(edge[:n]) > 0

@@ -272,28 +272,37 @@ def test_repeated_bytes(docs, texts, length):
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in rows} == brute_bytes(texts, length)
 
 
-def test_shards_merge_across_parts(texts, monkeypatch):
-    """One key dealt to many parts gives the same removals as one part."""
-    import pyarrow as pa
+@pytest.mark.parametrize("rows, size", [(2, 1), (3, 1 << 12), (2048, 1 << 12)])
+def test_hot_keys_in_parts_give_the_same(docs, texts, rows, size, monkeypatch):
+    """Keys dealt to many parts, and shards of few bytes, change nothing."""
+    monkeypatch.setattr(anchors, "KEY_ROWS", rows)
+    monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", size)
+    monkeypatch.setattr(substring_dedup, "GROUP_WINDOWS", size)
+    test_repeated_bytes(docs, texts, 100)
+    test_repeated_words(docs, texts, 35)
+
+
+def test_texts_longer_than_a_piece(spark, texts, monkeypatch):
+    """Texts are cut to pieces for their runs alone; what is removed is as in whole texts."""
+    monkeypatch.setattr(anchors, "PIECE_BYTES", 300)
+    monkeypatch.setattr(anchors, "TAKE_BYTES", 200)
+    monkeypatch.setattr(suffix_dedup, "TAKE_RUNS", 3)
+    long = [" ".join(t or "" for t in texts), *texts[:40], " ".join(t or "" for t in texts[30:])]
+    table = spark.createDataFrame(list(enumerate(long)), "doc_id long, text string").repartition(3)
+    test_repeated_bytes(table, long, 100)
+    test_repeated_words(table, long, 35)
+
+
+def test_without_a_filter_the_join_does(docs, texts, monkeypatch):
+    monkeypatch.setattr(anchors, "FILTER_MOST", 1)
+    test_repeated_bytes(docs, texts, 100)
+    test_repeated_words(docs, texts, 35)
 
-    monkeypatch.setattr(suffix_dedup, "KEY_ROWS", 3)
-    base = texts[60].encode()[:150]
-    batch = pa.RecordBatch.from_arrays([pa.array([9] * 10), pa.array(range(10)), pa.array([5] * 10), pa.array([base] * 10, pa.binary())], ["key", "doc", "start", "content"])
-    shards = suffix_dedup.Shards(100)
-    out = [b for b in [*shards.feed(batch), *shards.close()]]
-    later = {(d, s + k) for b in out for d, s, n, _, part, _ in zip(*[c.to_pylist() for c in b.columns], strict=True) if part < 0 for k in range(n)}
-    by_part = collections.defaultdict(list)
-    for b in out:
-        for d, s, _, _, part, digest in zip(*[c.to_pylist() for c in b.columns], strict=True):
-            if part >= 0:
-                by_part[part].append((digest, d, s))
-    parts = []
-    for rows in by_part.values():
-        a = np.array(rows)
-        a = a[np.argsort(a[:, 0].view(np.uint64), kind="stable")]
-        parts.append((a[:, 0].view(np.uint64), a[:, 1], a[:, 2]))
-    d, s = suffix_dedup.merge_sorted(parts)
-    assert len(by_part) == 4 and later | set(zip(d.tolist(), s.tolist(), strict=True)) == {(i, 5 + k) for i in range(1, 10) for k in range(51)}
+
+def test_unlike_texts_of_one_id(spark, texts):
+    """They don't stop the operators; each row is judged."""
+    table = spark.createDataFrame([(1, texts[60]), (1, texts[0]), (1, None), (2, texts[60] + " " + texts[60])], "doc_id long, text string")
+    assert len(suffix_dedup.remove_repeats(table).collect()) == len(substring_dedup.remove_repeats(table).collect()) == 4
 
 
 def test_suffix_arrays():
@@ -320,23 +329,6 @@ def test_repeated_words(docs, texts, window):
         assert (r.n_words, r.n_removed, r.kept_sha256, r.kept) == (len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest(), kept)
 
 
-@pytest.mark.parametrize("spare", [True, False])
-def test_settling_row_by_row_is_settling_at_once(spare):
-    rng = np.random.default_rng(4)
-    rows = np.column_stack([rng.integers(0, 6, 300), rng.integers(0, 3, 300), rng.integers(0, 5, 300), rng.integers(0, 4, 300) << 18])
-    rows = rows[np.lexsort(rows.T[::-1])]
-
-    def run(cuts):
-        state, gone, opened = anchors.Settler(spare), set(), set()
-        for part in [*np.split(rows, cuts), None]:
-            a, b = state.feed(rows[:0] if part is None else part, last=part is None)
-            gone |= {(d, p >> 2) for d, p in a.tolist()}
-            opened |= {(d, p >> 2) for d, p in b.tolist()}
-        return gone, opened
-
-    assert run([]) == run(list(range(1, 300))) == run([50, 51, 200])
-
-
 # sharding and mixing
 
 
