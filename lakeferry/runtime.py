@@ -13,11 +13,18 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED, _SCRATCH = "_lakeferry_shipped", "_lakeferry_scratch"
+#: Bytes of an Arrow batch that a Python worker is sent, in place of Spark's 64 MB, so that its memory follows this and not 10,000 rows.
+_BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
 
 
 def ship(spark: SparkSession) -> None:
-    """Give executors this package once per application, by Spark's own file service, so that functions can be sent by reference."""
+    """Give executors this package once per application, by Spark's own file service, so that functions can be sent by reference.
+
+    Batches sent to Python are bounded in bytes, unless the session has a bound of its own.
+    """
     context = spark.sparkContext
+    if spark.conf.get(_BATCH, "67108864b") == "67108864b":
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
     if getattr(context, _SHIPPED, False):
         return
     root = Path(__file__).resolve().parent
@@ -30,8 +37,10 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a local folder only where the cluster names none."""
+    """``spark.checkpoint.dir`` of the session. Only a driver that is its own executor may do without: others see no folder of its machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not folder and not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not folder:
         folder = getattr(spark.sparkContext, "_lakeferry_folder", None) or "file://" + tempfile.mkdtemp(prefix="lakeferry-shared-")
         spark.sparkContext._lakeferry_folder = folder
