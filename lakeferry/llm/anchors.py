@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakeferry.llm.docstats import text_rows
@@ -141,40 +141,58 @@ def repeated(rows: DataFrame) -> DataFrame:
     return rows.join(counts, "key").select("key", "doc", "pos", part.alias("part"))
 
 
-def filtered(docs: DataFrame, wanted: DataFrame, inside: bool = True) -> DataFrame:
-    """Rows of ``docs(doc_id, ...)`` that may be in ``wanted(doc)``; with ``inside`` False those that are certainly not.
+class Sieve:
+    """A bitmap of documents with FILTER_SPARE bits each; what it lets through wrongly does no harm to a join that follows."""
 
-    A bitmap with FILTER_SPARE bits a document tells; what it lets through wrongly does no harm to a join that follows. For more documents than
-    FILTER_MOST bits serve there is no bitmap: all rows may be wanted.
-    """
+    def __init__(self, wanted: DataFrame, bits: int):
+        self.bits = bits
+        at = self.place("doc")
+        cells = wanted.select(F.floor(at / 32).cast("int").alias("cell"), F.call_function("shiftleft", F.lit(1).cast("long"), (at % 32).cast("int")).alias("b"))
+        cells = cells.groupBy("cell").agg(F.bit_or("b").alias("b")).toPandas()  # bits / 32 rows at most
+        table = np.zeros(bits // 32, np.uint32)
+        table[cells["cell"].to_numpy(int)] = cells["b"].to_numpy(np.int64).astype(np.uint32)
+        self.held = wanted.sparkSession.sparkContext.broadcast(table)  # 2 x FILTER_MOST bits at most
+
+    def place(self, doc: str) -> Column:
+        return F.pmod(F.xxhash64(doc), F.lit(self.bits))
+
+    def __reduce__(self):
+        return _sieve, (self.bits, self.held)
+
+    def holds(self, at: np.ndarray) -> np.ndarray:
+        return ((self.held.value[at // 32] >> (at % 32).astype(np.uint32)) & 1) == 1
+
+
+def _sieve(bits: int, held) -> Sieve:
+    out = Sieve.__new__(Sieve)
+    out.bits, out.held = bits, held
+    return out
+
+
+def sieve(wanted: DataFrame) -> Sieve | None:
+    """Of wanted(doc), or none if it has more documents than FILTER_MOST bits serve."""
     size = wanted.count() * FILTER_SPARE
-    if size > FILTER_MOST:
-        return docs if inside else docs.filter("doc_id IS NULL")
-    bits = max(FILTER_LEAST, 1 << size.bit_length())
-    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
-    cells = wanted.select(F.floor(bit("doc") / 32).cast("int").alias("cell"), F.call_function("shiftleft", F.lit(1).cast("long"), (bit("doc") % 32).cast("int")).alias("b"))
-    cells = cells.groupBy("cell").agg(F.bit_or("b").alias("b")).toPandas()  # bits / 32 rows at most
-    table = np.zeros(bits // 32, np.uint32)
-    table[cells["cell"].to_numpy(int)] = cells["b"].to_numpy(np.int64).astype(np.uint32)
-    held = docs.sparkSession.sparkContext.broadcast(table)  # 2 x FILTER_MOST bits at most
+    return None if size > FILTER_MOST else Sieve(wanted, max(FILTER_LEAST, 1 << size.bit_length()))
+
+
+def filtered(docs: DataFrame, some: Sieve | None) -> DataFrame:
+    """Rows of ``docs`` that may be wanted; all of them without a sieve."""
+    if some is None:
+        return docs
     names = docs.columns
-    columns = len(names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.column(columns).to_numpy()
-            keep = ((held.value[at // 32] >> (at % 32).astype(np.uint32)) & 1) == int(inside)
-            if not inside:
-                keep |= batch.column(0).is_null().to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays(batch.columns[:columns], names=names).filter(pa.array(keep))
+            keep = some.holds(batch.column(len(names)).to_numpy())
+            yield pa.RecordBatch.from_arrays(batch.columns[: len(names)], names=names).filter(pa.array(keep))
 
-    return docs.withColumn("_lf_at", bit("doc_id")).mapInArrow(run, docs.schema)
+    return docs.withColumn("_lf_at", some.place("doc_id")).mapInArrow(run, docs.schema)
 
 
 def with_rows(docs: DataFrame, rows: DataFrame, *columns: str) -> DataFrame:
     """doc_id, text and a list of each of ``columns``: documents that have rows(doc, ...), with theirs, each different one once."""
     listed = materialize(rows.groupBy("doc").agg(F.collect_set(F.struct(*columns)).alias("_r")).select("doc", *[F.col(f"_r.{c}").alias(f"_{c}") for c in columns]), "listed")
-    texts = filtered(text_rows(docs.filter("doc_id IS NOT NULL")), listed.select("doc"))
+    texts = filtered(text_rows(docs.filter("doc_id IS NOT NULL")), sieve(listed.select("doc")))
     return texts.join(listed, F.col("doc_id") == F.col("doc")).select("doc_id", "text", *[f"_{c}" for c in columns])
 
 
@@ -258,15 +276,23 @@ def finish(docs: DataFrame, removed: DataFrame, judge, schema: str) -> DataFrame
     """
     listed = removed.groupBy("doc").agg(F.collect_list(F.struct("start", "n")).alias("_r")).select("doc", F.col("_r.start").alias("starts"), F.col("_r.n").alias("counts"))
     listed = materialize(listed, "removed")
-    rows = text_rows(docs)
+    rows, some = text_rows(docs), sieve(listed.select("doc"))
     none = F.array().cast("array<long>")
-    some = filtered(rows.filter("doc_id IS NOT NULL"), listed.select("doc")).join(listed, F.col("doc_id") == F.col("doc"), "left")
-    some = some.select("doc_id", "text", F.coalesce("starts", none).alias("starts"), F.coalesce("counts", none).alias("counts"))
-    rest = filtered(rows, listed.select("doc"), inside=False).select("doc_id", "text", none.alias("starts"), none.alias("counts"))
+    hit = filtered(rows.filter("doc_id IS NOT NULL"), some).join(listed, F.col("doc_id") == F.col("doc"), "left")
+    hit = hit.select("doc_id", "text", F.coalesce("starts", none).alias("starts"), F.coalesce("counts", none).alias("counts"))
+    # one function for each stage: every one more is a worker more that an executor has memory for
+    rest = rows.select("doc_id", "text", none.alias("starts"), none.alias("counts"), F.lit(0).cast("long").alias("at") if some is None else some.place("doc_id").alias("at"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, _, _ in slices(batch.column(1)):
                 yield judge(batch.slice(i, j - i))
 
-    return some.mapInArrow(run, schema).unionByName(rest.mapInArrow(run, schema))
+    def apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = batch.column(0).is_null().to_numpy(zero_copy_only=False)
+            if some is not None:
+                keep = keep | ~some.holds(batch.column(4).to_numpy())
+            yield from run([batch.filter(pa.array(keep))])
+
+    return hit.mapInArrow(run, schema).unionByName(rest.mapInArrow(apart, schema))

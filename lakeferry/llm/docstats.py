@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -115,5 +114,5 @@ def sample_features(docs: DataFrame, labels: DataFrame, label: str, limit: int)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = text_rows(labelled_sample(docs, labels, label, limit), "label").mapInArrow(run, f"doc_id {kind}, label int, " + ", ".join(f"{f} double" for f in FEATURES))
-    got: pd.DataFrame = rows.toPandas().sort_values("doc_id", kind="stable").head(limit)
+    got = rows.toPandas().sort_values("doc_id", kind="stable").head(limit)
     return got[FEATURES].to_numpy(float), got["label"].to_numpy(int)

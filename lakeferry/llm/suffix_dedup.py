@@ -6,7 +6,8 @@ a shard. A shard builds the suffix array of its bytes by
 Larsson-Sadakane refinement (sort by eight bytes, then by the ranks found, doubling the depth, unsorted groups alone), gets
 the common prefixes of neighbours in Kasai's way, and keeps the earliest of strings that have LENGTH bytes in common. An anchor that
 very many documents have is dealt to several shards, whose sorted survivors are merged by binary search. A shard is a range of keys within
-a task, which takes them up one after the other, so a task holds SHARD_BYTES, about, at a time. Every removal is a shard's or a merge's.
+a task, which takes them up one after the other, so a task holds SHARD_BYTES, about, at a time. Every removal is a shard's or a merge's;
+stretches that a shard has more than once, byte by byte, are one string of its suffix array.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from lakeferry.runtime import materialize, ship
 
 LENGTH, GRAM = 100, 32
 #: Bytes of a shard, about, unless one key's part has more.
-SHARD_BYTES = 1 << 19
+SHARD_BYTES = 1 << 17
 #: Runs whose bytes are sent in one batch.
 TAKE_RUNS = 1 << 14
 
@@ -193,12 +194,38 @@ def _contents(buf: np.ndarray, bounds: np.ndarray, ids: np.ndarray, row: np.ndar
     return pa.RecordBatch.from_arrays([pa.array(key), pa.array(part), pa.array(ids[row]), pa.array(start), binary], ["key", "part", "doc", "start", "content"])
 
 
+def equal_stretches(buf: np.ndarray, bounds: np.ndarray, doc: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """For each stretch the earliest one that has the same bytes, itself or another."""
+    size, digest = np.diff(bounds), SpanHash(_BYTE[buf])(bounds[:-1], bounds[1:])
+    order = np.lexsort((start, doc, digest, size))
+    new = np.ones(len(order), bool)
+    new[1:] = (size[order][1:] != size[order][:-1]) | (digest[order][1:] != digest[order][:-1])
+    first = np.empty(len(order), np.int64)
+    first[order] = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))] if len(order) else order
+    # the hash only says which to compare
+    copy = np.flatnonzero(first != np.arange(len(first)))
+    offsets = np.concatenate([[0], np.cumsum(size[copy])])
+    inner = np.arange(offsets[-1]) - np.repeat(offsets[:-1], size[copy])
+    same = buf[np.repeat(bounds[:-1][copy], size[copy]) + inner] == buf[np.repeat(bounds[:-1][first[copy]], size[copy]) + inner]
+    unlike = copy[np.add.reduceat(~same, offsets[:-1]) > 0] if len(copy) else copy
+    first[unlike] = unlike
+    return first
+
+
 def judge_shard(table: pa.Table, length: int = LENGTH) -> pa.RecordBatch:
-    """A shard's removed windows as stretches, with part -1; of keys in parts also the survivors, with digests. ``table``: key, part, doc, start, content."""
+    """A shard's removed windows as stretches, with part -1; of keys in parts also the survivors, with digests. ``table``: key, part, doc, start, content.
+
+    Stretches that are equal byte by byte are one string of the suffix array, the earliest; all windows of the others are later ones.
+    """
     key, part, doc, start = (table.column(c).to_numpy() for c in range(4))
     buf, bounds = column_bytes_of(table.column(4))
-    d, s, later, owner, at = later_windows(buf, np.diff(bounds), doc, start, length)
-    gd, gs, gn = stretches(d[later], s[later])
+    size, first = np.diff(bounds), equal_stretches(buf, bounds, doc, start)
+    own = first == np.arange(len(first))
+    copies = ~own & ((doc != doc[first]) | (start != start[first]))
+    buf, gone = buf[np.repeat(own, size)], (doc[copies], start[copies], size[copies] - (length - 1))
+    key, part, doc, start, size = key[own], part[own], doc[own], start[own], size[own]
+    d, s, later, owner, at = later_windows(buf, size, doc, start, length)
+    gd, gs, gn = (np.concatenate(x) for x in zip(stretches(d[later], s[later]), gone, strict=True))
     zero = np.zeros(len(gd), np.int64)
     tell = np.flatnonzero(~later & (part[owner] >= 0)) if len(at) else np.zeros(0, np.int64)
     cols = [gd, gs, gn, zero, zero - 1, zero, zero]
