@@ -31,13 +31,13 @@ class Engine:
 
     def query(self, sql: str, schema: str | S.StructType | None = None, params: dict | None = None) -> DataFrame:
         """Rows of a query in an isolated session, as the declared columns."""
-        return query.query(self.spark, sql, schema, params, self.settings, self.version())
+        return query.query(self.spark, sql, schema, params, self.settings, self.version(), lambda url: self._permit(url, "from"))
 
     def copy_from(self, table: str, url: str, *, columns: list[str] | None = None, unique: list[str] | None = None, where: str | None = None, **options) -> int:
         if where is not None:
             raise ValueError("COPY FROM a URL not supported with a WHERE clause")
         self._permit(url, "from")
-        return copy.copy_from(self.spark, table, url, copy_options(**options), columns, unique=unique)
+        return copy.copy_from(self.spark, table, url, copy_options(**options), columns, unique=unique, threads=self.settings.max_parsing_threads)
 
     def copy_into_parts(self, parts: dict[str, str], url: str, *, columns: list[str] | None = None, **options) -> int:
         self._permit(url, "from")

@@ -11,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as S
 
-from lakeferry.functions.text import geo_as_nested, interval_units, literal, nested, parse_scalar, scalar_text
+from lakeferry.functions.text import brain_float, geo_as_nested, interval_units, literal, nested, parse_scalar, scalar_text
 from lakeferry.types.grammar import FileType
 from lakeferry.types.mapping import GEO, logical_type, wire_type
 
@@ -81,11 +81,14 @@ def to_wire(c: Column, have: S.DataType, t: FileType) -> Column:
     elif isinstance(have, S.StringType) and not isinstance(want, S.StringType):
         out = parse_scalar(c, bare)
     elif bare.name == "BFloat16":
-        out = c.cast("float")
+        out = brain_float(c)
     elif isinstance(want, (S.ArrayType, S.MapType, S.StructType)) or want == have:
         out = c
     else:
         out = _number(c, have, want)
+    if bare.name in ("Enum8", "Enum16") and bare.args:
+        labels = [a[0] if isinstance(a, tuple) else a for a in bare.args]
+        out = F.when(out.isNull() | out.isin(*labels), out).otherwise(F.raise_error(F.concat(F.lit("Unknown element '"), out, F.lit(f"' for enum {bare.name}"))).cast("string"))
     return out if t.nullable else F.coalesce(out, default_of(t))
 
 

@@ -90,10 +90,24 @@ def scalar_text(c: Column, t: FileType) -> Column:
     return c.cast("string")
 
 
+def brain_float(c: Column) -> Column:
+    """A number with the upper 16 bits of its single-precision form: the sign, the exponent and seven digits after the point, the others cut off."""
+    x = c.cast("float").cast("double")
+    size = F.abs(x)
+    guess = F.floor(F.log2(size))
+    two = lambda e: F.pow(F.lit(2.0), e.cast("double"))
+    exponent = F.greatest(F.when(two(guess) > size, guess - 1).when(two(guess + 1) <= size, guess + 1).otherwise(guess), F.lit(-126))
+    unit = two(exponent - 7)
+    cut = F.signum(x) * F.floor(size / unit) * unit
+    return F.when((size == 0) | F.isnan(x) | (size == float("inf")), x).otherwise(cut).cast("float")
+
+
 def parse_scalar(c: Column, t: FileType) -> Column:
     """The value of a scalar's text."""
     t = t.plain
     kind = wire_type(t)
+    if t.name == "BFloat16":
+        return brain_float(c)
     if isinstance(kind, (S.FloatType, S.DoubleType)):
         return c.cast(kind)  # which knows nan and inf by any case
     if isinstance(kind, S.BooleanType):

@@ -13,7 +13,7 @@ from lakeferry.functions.coerce import to_column
 from lakeferry.plans import catalog
 from lakeferry.plans.options import CopyOptions
 from lakeferry.runtime import materialize
-from lakeferry.sources import formats
+from lakeferry.sources import files, formats
 from lakeferry.sources.urls import Location, list_files, locate, scheme_of
 from lakeferry.types.grammar import FileType, check_structure
 from lakeferry.types.mapping import structure_of
@@ -46,7 +46,9 @@ def request(spark: SparkSession, schema: S.StructType, url: str, options: CopyOp
     else:
         structure = structure_of(picked, "" if options.format == "auto" else options.format)
     for key, value in location.conf.items():
-        if key.startswith("fs."):
+        if key.startswith("fs.") and value is None:
+            spark._jsc.hadoopConfiguration().unset(key)
+        elif key.startswith("fs."):
             spark._jsc.hadoopConfiguration().set(key, value)
     log.debug("copy %s as %s, %s", location.address.partition("?")[0], structure, options.redacted())
     return Request(location, options, picked, structure)
@@ -60,7 +62,6 @@ def copy_to(df: DataFrame, url: str, options: CopyOptions, columns: list[str] |
     r = request(df.sparkSession, schema, url, options, columns)
     seen = Observation()
     rows = df.select(*[F.col(f"`{f.name}`") for f in r.schema.fields]).observe(seen, F.count(F.lit(1)).alias("n"))
-    rows = df.sparkSession.createDataFrame([], r.schema) if rows is None else rows
     formats.write(rows, r.location, r.structure, options, single_file)
     return int(seen.get["n"] or 0)
 
@@ -90,14 +91,18 @@ def complete(rows: DataFrame, schema: S.StructType) -> DataFrame:
     return rows
 
 
-def copy_from(spark: SparkSession, table: str, url: str, options: CopyOptions, columns: list[str] | None = None, structure: list[tuple[str, FileType]] | None = None, unique: list[str] | None = None) -> int:
-    """Append the rows of the files that the URL names to the table; all of them, or none if one is refused. Returns how many they were."""
+def copy_from(spark: SparkSession, table: str, url: str, options: CopyOptions, columns: list[str] | None = None, structure: list[tuple[str, FileType]] | None = None, unique: list[str] | None = None, threads: int = 0) -> int:
+    """Append the rows of the files that the URL names to the table; all of them, or none if one is refused. Returns how many they were.
+
+    ``threads``: tasks that read and write at a time, at most; 0 for what the cluster has.
+    """
     schema = catalog.table_schema(spark, table)
     r = request(spark, schema, url, options, columns)
     if structure:
         r = Request(r.location, r.options, r.schema, structure)
     seen = Observation()
     rows = complete(read_rows(spark, r), schema)
+    rows = rows.coalesce(threads) if threads else rows
     if unique:
         rows = materialize(rows, "copy")
         both = rows.select(*unique).unionAll(spark.table(table).select(*unique)) if unique else rows
@@ -113,13 +118,25 @@ def copy_into_parts(spark: SparkSession, parts: dict[str, str], url: str, option
     first = next(iter(parts))
     schema = catalog.table_schema(spark, first)
     rows = materialize(complete(read_rows(spark, request(spark, schema, url, options, columns)), schema), "routed")
-    fits = F.lit(False)
-    for predicate in parts.values():
-        fits = fits | F.coalesce(F.expr(predicate), F.lit(False))
+    fits, own = F.lit(False), {}
+    for table, predicate in parts.items():
+        holds = F.coalesce(F.expr(predicate), F.lit(False))
+        own[table], fits = holds & ~fits, fits | holds  # of predicates that overlap the first takes the row
     if rows.filter(~fits).limit(1).count():
         raise ValueError("no partition of relation found for row")
-    for table, predicate in parts.items():
-        rows.filter(predicate).write.insertInto(table)
+    before: dict[str, set[str]] = {}
+    try:
+        for table, mine in own.items():
+            before[table] = set(spark.table(table).inputFiles())
+            rows.filter(mine).write.insertInto(table)
+    except Exception:
+        # what was written so far goes again, so that all parts are loaded or none
+        for table, had in before.items():
+            spark.catalog.refreshTable(table)
+            for path in set(spark.table(table).inputFiles()) - had:
+                files.drop(spark, path)
+            spark.catalog.refreshTable(table)
+        raise
     return rows.count()
 
 

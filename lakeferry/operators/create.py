@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import json
 import logging
+import uuid
 
+import numpy as np
 from pyspark.sql import SparkSession
 from pyspark.sql import types as S
 
 from lakeferry.operators import copy
 from lakeferry.plans import catalog
 from lakeferry.plans.options import CopyOptions, codec_of
+from lakeferry.runtime import scratch
 from lakeferry.sources import files, formats
 from lakeferry.sources.binary import Source, avro_head
 from lakeferry.sources.textual import csv_head, head_lines
@@ -87,19 +90,45 @@ def _inferred(spark: SparkSession, name: str, paths: list[str], codec: str) -> l
         text = spark.read.text(first, wholetext=True).first()[0]
         return [(c["name"], parse_type(c["type"])) for c in json.loads(text)["meta"]]
     if name in ("csv", "csvwithnames"):
-        schema = spark.read.options(header=name != "csv", inferSchema=True, quote='"', escape='"', multiLine=True, nullValue="\\N").csv(paths).schema
+        schema = spark.read.options(header=name != "csv", inferSchema=True, quote='"', escape='"', multiLine=True, nullValue="\\N").csv(_head(spark, first, codec, True)).schema
         return _loose(schema, name == "csv")
     if name in ("tabseparated", "tabseparatedraw", "tabseparatedwithnames", "tabseparatedrawwithnames", "customseparated", "customseparatedwithnames"):
-        schema = spark.read.options(header="names" in name, inferSchema=True, sep="\t", quote="", nullValue="\\N").csv(paths).schema
+        schema = spark.read.options(header="names" in name, inferSchema=True, sep="\t", quote="", nullValue="\\N").csv(_head(spark, first, codec, False)).schema
         return _loose(schema, "names" not in name)
     if name in ("jsoneachrow", "jsonstringseachrow"):
-        schema = spark.read.json(paths).schema
+        schema = spark.read.json(_head(spark, first, codec, False)).schema
         order = list(json.loads(next((x for x in head_lines(spark, first, 1)), "{}")))
         fields = sorted(schema.fields, key=lambda f: order.index(f.name) if f.name in order else len(order))
         return _of_spark(S.StructType(fields))
     raise ValueError(f"columns of format {name} cannot be told; give a structure")
 
 
+#: Rows, and bytes, at a file's beginning that its columns are told from.
+HEAD_ROWS, HEAD_BYTES = 25_000, 32 << 20
+
+
+def _head(spark: SparkSession, first: str, codec: str, quoted: bool) -> str:
+    """A file of the first rows of another, so that telling columns costs the same however large the files are."""
+    if codec == "snappy":
+        return first
+    data = bytearray()
+    with files.reading(first, codec) as stream:
+        while len(data) < HEAD_BYTES and data.count(b"\n") <= HEAD_ROWS and (chunk := stream.read(1 << 20)):
+            data += chunk
+        whole = len(data) < HEAD_BYTES and not stream.read(1)
+    if not whole or data.count(b"\n") > HEAD_ROWS:
+        buf = np.frombuffer(bytes(data), np.uint8)
+        ends = np.flatnonzero((buf == 10) & ((np.cumsum(buf == 34) % 2 == 0) if quoted else True))
+        if len(ends):
+            del data[int(ends[min(HEAD_ROWS, len(ends)) - 1]) + 1 :]
+    path = f"{scratch(spark)}/head-{uuid.uuid4().hex}.txt"
+    fs, p = files.hadoop(spark, path)
+    fs.mkdirs(p.getParent())
+    with files.writing(fs.makeQualified(p).toString()) as out:
+        out.write(bytes(data))
+    return path
+
+
 def _loose(schema: S.StructType, numbered: bool) -> list[tuple[str, FileType]]:
     """Inferred from text: whole numbers are of 64 bits, all may be null, columns without names are c1, c2 and so on."""
     out = []

@@ -73,7 +73,7 @@ def bare_name(path: str) -> str:
 
 @dataclass(frozen=True)
 class Settings:
-    """Limits, 0 for what the session has: memory is advisory, threads bound the partitions of a copy."""
+    """Limits, 0 for what the session has: memory is advisory, threads bound a query's shuffle partitions, parsing threads the tasks of a copy into a table."""
 
     max_memory: int = 0
     max_threads: int = 0

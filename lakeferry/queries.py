@@ -78,6 +78,51 @@ for _c in ("gzip", "zstd", "lz4", "snappy"):
     register(f"codec_{_c}_parquet", EVENTS)(_codec(_c, "parquet", ""))
 
 
+# columns by name: the file has them in another order, and others besides
+
+NAMED = [f for f in TEXT_FORMATS if "withnames" in f] + ["rowbinarywithnames", "rowbinarywithnamesandtypes", "native", "avro", "arrow", "arrowstream", "parquet", "orc"]
+
+
+def _by_name(format: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        e, url = Engine(spark), f"{folder(spark)}/x.dat"
+        rows = table(spark, sf_dir, "orders").select("o_totalprice", "o_orderstatus", "o_custkey", "o_orderkey", "o_orderpriority")
+        # row-binary with names alone has nothing that tells how to pass a column by
+        e.copy_to(rows.drop("o_totalprice") if format == "rowbinarywithnames" else rows, url, format=format)
+        return e.read(url, schema=rows.select("o_orderkey", "o_orderpriority", "o_custkey", "o_orderstatus").schema, format=format)
+
+    return run
+
+
+for _format in NAMED:
+    register(f"copy_by_name_{_format}", "SELECT o_orderkey, o_orderpriority, o_custkey, o_orderstatus FROM orders")(_by_name(_format))
+
+
+@register("copy_subset_parquet", "SELECT o_orderstatus, o_orderkey, NULL::INTEGER AS o_none FROM orders")
+def copy_subset_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file with more columns than are asked for, and without one of them."""
+    e, url, name = Engine(spark), f"{folder(spark)}/x.parquet", new_table()
+    e.copy_to(table(spark, sf_dir, "orders"), url)
+    _table(spark, name, "o_orderstatus text, o_orderkey bigint, o_none integer")
+    e.copy_from(name, url)
+    return spark.table(name)
+
+
+def _two_headers(format: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        """Files of one pattern, each with its columns in an order of its own."""
+        e, at, rows = Engine(spark), folder(spark), table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
+        e.copy_to(rows.filter("n_nationkey < 9"), f"{at}/a.dat", format=format)
+        e.copy_to(rows.filter("n_nationkey >= 9").select("n_name", "n_regionkey", "n_nationkey"), f"{at}/b.dat", format=format)
+        return e.read(f"{at}/*.dat", schema=rows.schema, format=format)
+
+    return run
+
+
+for _format in ("tabseparatedwithnames", "csvwithnames", "csvwithnamesandtypes", "jsoncompacteachrowwithnames", "avro", "parquet"):
+    register(f"copy_two_headers_{_format}", "SELECT n_nationkey, n_name, n_regionkey FROM nation")(_two_headers(_format))
+
+
 # path patterns
 
 
@@ -294,8 +339,8 @@ register("null_into_plain", "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THE
 register("map_to_text2d", "SELECT n_nationkey, [[n_name, n_regionkey::VARCHAR]] AS m FROM nation")(
     _coerced(lambda s, d: table(s, d, "nation").select("n_nationkey", F.create_map("n_name", "n_regionkey").alias("m")), "n Int32, m Map(String, Int32)", "n_nationkey integer, m text[][]")
 )
-register("tuple_to_text", "SELECT n_nationkey, '(''' || n_name || ''',' || n_regionkey || ')' AS t FROM nation WHERE position('''' IN n_name) = 0")(
-    _coerced(lambda s, d: table(s, d, "nation").filter(~F.col("n_name").contains("'")).select("n_nationkey", F.struct(F.col("n_name").alias("a"), F.col("n_regionkey").alias("b")).alias("t")), "n Int32, t Tuple(a String, b Int32)", "n_nationkey integer, t text")
+register("tuple_to_text", "SELECT n_nationkey, '(''' || n_name || ''',' || n_regionkey || ')' AS t FROM nation")(
+    _coerced(lambda s, d: table(s, d, "nation").select("n_nationkey", F.struct(F.col("n_name").alias("a"), F.col("n_regionkey").alias("b")).alias("t")), "n Int32, t Tuple(a String, b Int32)", "n_nationkey integer, t text")
 )
 register("text_to_tuple", "SELECT n_nationkey, [n_name, n_regionkey::VARCHAR] AS t FROM nation")(
     _coerced(lambda s, d: table(s, d, "nation").select("n_nationkey", F.array("n_name", F.col("n_regionkey").cast("string")).alias("t")), "n Int32, t Tuple(a String, b Int32)", "n_nationkey integer, t text[]", "Native")
@@ -303,6 +348,24 @@ register("text_to_tuple", "SELECT n_nationkey, [n_name, n_regionkey::VARCHAR] AS
 register("wide_uint64", "SELECT o_orderkey, (18446744073709551615::HUGEINT - o_orderkey)::VARCHAR AS v FROM orders")(
     _coerced(lambda s, d: table(s, d, "orders").select("o_orderkey", (F.lit("18446744073709551615").cast("decimal(20,0)") - F.col("o_orderkey")).cast("decimal(20,0)").alias("v")), "o_orderkey Int64, v UInt64", "o_orderkey bigint, v numeric(20,0)", "RowBinary", "string")
 )
+register("bfloat16", "SELECT l_orderkey, l_linenumber, max(CASE WHEN l_extendedprice = 0 THEN 0 ELSE floor(abs(x) / 2 ** (e - 7)) * 2 ** (e - 7) * sign(x) END)::FLOAT AS v FROM (SELECT *, l_extendedprice::FLOAT::DOUBLE AS x, floor(log2(nullif(abs(l_extendedprice::FLOAT::DOUBLE), 0))) AS e FROM lineitem) GROUP BY 1, 2")(
+    _coerced(lambda s, d: table(s, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_extendedprice").cast("float").alias("v")).groupBy("l_orderkey", "l_linenumber").agg(F.max("v").alias("v")), "l_orderkey Int64, l_linenumber Int32, v BFloat16", "l_orderkey bigint, l_linenumber integer, v real", "CSV")
+)
+
+
+@register("enum_label_reject", "SELECT 'refused' AS error")
+def enum_label_reject(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A value that is no label of the file's enum."""
+    e, url = Engine(spark), f"{folder(spark)}/x.tsv"
+    seen = "refused"
+    try:
+        e.copy_to(table(spark, sf_dir, "orders").select("o_orderstatus"), url, structure="o_orderstatus Enum8('F' = 1, 'O' = 2)")
+        seen = "written"
+    except Exception as error:
+        seen = seen if "Unknown element" in str(error) else str(error)
+    return spark.createDataFrame([(seen,)], "error string")
+
+
 register("wide_int128_text", "SELECT o_orderkey, (170141183460469231731687303715884105727::HUGEINT - o_orderkey)::VARCHAR AS v FROM orders")(
     _coerced(lambda s, d: table(s, d, "orders").select("o_orderkey", F.concat(F.lit("17014118346046923173168730"), F.lpad((F.lit(3715884105727) - F.col("o_orderkey")).cast("string"), 13, "0")).alias("v")), "o_orderkey Int64, v Int128", "o_orderkey bigint, v numeric(39,0)", "Native")
 )
@@ -390,6 +453,26 @@ def query_table_function_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.query(f"SELECT r_name, r_regionkey FROM url('{url}', 'CSVWithNamesAndTypes') WHERE r_regionkey <> 2", "name text, k int")
 
 
+@register("query_ddl_gone", "SELECT 0::BIGINT AS tables")
+def query_ddl_gone(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table that a query makes is gone after it, and so is the database that it was in."""
+    e, name = Engine(spark), new_table()
+    e.query(f"CREATE TABLE {name} AS SELECT 1 AS a", "a int")
+    left = [t.name for d in spark.catalog.listDatabases() for t in spark.catalog.listTables(d.name)] + [d.name for d in spark.catalog.listDatabases()]
+    return spark.createDataFrame([(sum(x == name or x.startswith("lakeferry_query_") for x in left),)], "tables bigint")
+
+
+@register("query_file_refused", "SELECT 'permission denied to COPY from a file' AS error")
+def query_file_refused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    url = f"{folder(spark)}/r.csv"
+    Engine(spark).copy_to(table(spark, sf_dir, "region"), url, format="CSVWithNames")
+    return _refusal(spark, lambda: Engine(spark, allow_files=False).query(f"SELECT r_name FROM file('{url}', 'CSVWithNames')", "name text"), "permission denied to COPY from a file")
+
+
+ask("query_literals", "SELECT 'numbers(5)' AS a, 'WHERE 0' AS b, 'toString(1) -- it''s' AS c /* FROM file('x') */", "a text, b text, c text", oracle="SELECT 'numbers(5)' AS a, 'WHERE 0' AS b, 'toString(1) -- it''s' AS c")
+ask("query_names", "SELECT r_regionkey % 2 AS k, countIf(r_regionkey > 1) AS c, uniq(r_name) AS u, size(groupArray(r_name)) AS g FROM region GROUP BY 1", "k int, c bigint, u bigint, g int", "region", "SELECT r_regionkey % 2 AS k, count(*) FILTER (r_regionkey > 1) AS c, count(DISTINCT r_name) AS u, count(*)::INTEGER AS g FROM region GROUP BY 1")
+
+
 ask("settings_view", "SELECT name, value FROM system.settings WHERE name LIKE 'max%'", "name text, value text", oracle="SELECT * FROM (VALUES ('max_memory_usage', '0'), ('max_threads', '0'), ('max_parsing_threads', '0')) v(name, value)")
 
 

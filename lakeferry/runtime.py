@@ -13,8 +13,9 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED, _SCRATCH = "_lakeferry_shipped", "_lakeferry_scratch"
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Bytes of an Arrow batch that a Python worker is sent, in place of Spark's 64 MB, so that its memory follows this and not 10,000 rows.
-_BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
+_BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
 
 
 def ship(spark: SparkSession) -> None:
@@ -64,8 +65,16 @@ def _remove(jvm, conf, folder: str) -> None:
 
 
 def materialize(df: DataFrame, name: str = "t") -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back: lineage ends there, and a lost executor costs no recomputation."""
+    """Write ``df`` as Parquet to the shared folder and read it back: lineage ends there, and a lost executor costs no recomputation.
+
+    What was shuffled for it is of no more use then, and goes as soon as the write has ended.
+    """
     spark = df.sparkSession
     path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEAN, "false")
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before)
     return spark.read.schema(df.schema).parquet(path)

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as S
 
 from lakeferry.functions.text import geo_as_nested, interval_units, precision, units_interval
+from lakeferry.sources.naming import places
 from lakeferry.types.grammar import FileType, parse_type, render_type
 from lakeferry.types.mapping import GEO, wire_type
 
@@ -292,14 +293,24 @@ def row_binary(head: int):
 
     def decode(columns: Columns, schema: pa.Schema):
         def read(stream):
-            s, codecs = Source(stream), [Codec(t) for _, t in columns]
+            s, kinds, at = Source(stream), [t for _, t in columns], list(range(len(columns)))
             if head and not s.ended():
-                for _ in range(s.varint() * head):
-                    s.take(s.varint())
+                n = s.varint()
+                names = [s.take(s.varint()).decode() for _ in range(n)]
+                at = places(names, columns)
+                known = dict(columns)
+                if head > 1:
+                    kinds = [_strip(parse_type(s.take(s.varint()).decode())) for _ in range(n)]
+                elif unknown := [x for x in names if x not in known]:
+                    raise ValueError(f"column {unknown[0]} of the file has no type here, so it cannot be passed by")
+                else:
+                    kinds = [known[x] for x in names]
+            codecs = [Codec(t) for t in kinds]
 
             def rows():
                 while not s.ended():
-                    yield tuple(c.get(s) for c in codecs)
+                    row = [c.get(s) for c in codecs]
+                    yield tuple(None if i is None else row[i] for i in at)
 
             yield from _batches(rows(), schema)
 
@@ -380,11 +391,14 @@ def native_decode(columns: Columns, schema: pa.Schema):
         s = Source(stream)
         while not s.ended():
             n_columns, n = s.varint(), s.varint()
-            cols = []
+            names, cols = [], []
             for _ in range(n_columns):
-                s.take(s.varint())
+                names.append(s.take(s.varint()).decode())
                 cols.append(_get_column(parse_type(s.take(s.varint()).decode()), s, n))
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
+            if not n_columns:
+                continue
+            at = places(names, columns)
+            yield pa.RecordBatch.from_arrays([pa.nulls(n, f.type) if i is None else pa.array(cols[i], f.type) for i, f in zip(at, schema, strict=True)], schema=schema)
 
     return read
 
@@ -691,6 +705,7 @@ def avro_decode(columns: Columns, schema: pa.Schema):
         s = Source(stream)
         record, codec = avro_head(s)
         row = _avro_get(record)
+        at = places([f["name"] for f in record["fields"]], columns)
         fits = [fit(t) for _, t in columns]
 
         def rows():
@@ -706,7 +721,8 @@ def avro_decode(columns: Columns, schema: pa.Schema):
                     body = zstandard.ZstdDecompressor().decompressobj().decompress(body)
                 block = Source(_Bytes(body))
                 for _ in range(n):
-                    yield tuple(f(v) for f, v in zip(fits, row(block), strict=True))
+                    values = row(block)
+                    yield tuple(None if i is None else f(values[i]) for f, i in zip(fits, at, strict=True))
                 s.take(16)
 
         yield from _batches(rows(), schema)
@@ -851,7 +867,8 @@ def arrow(streamed: bool):
                 file = pa.ipc.open_file(io.BytesIO(stream.read()))
                 parts = (file.get_batch(i) for i in range(file.num_record_batches))
             for batch in parts:
-                yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(batch.columns, schema, strict=True)], schema=schema)
+                at = places(batch.schema.names, columns)
+                yield pa.RecordBatch.from_arrays([pa.nulls(batch.num_rows, f.type) if i is None else batch.column(i).cast(f.type) for i, f in zip(at, schema, strict=True)], schema=schema)
 
         return read
 

@@ -15,6 +15,7 @@ from lakeferry.functions.text import interval_units, units_interval
 from lakeferry.plans.options import CopyOptions, bare_name, codec_of
 from lakeferry.runtime import scratch, ship
 from lakeferry.sources import files
+from lakeferry.sources.naming import places
 from lakeferry.sources.binary import BINARY_FORMATS, codec_type, from_codec, to_codec
 from lakeferry.sources.textual import TEXT_FORMATS
 from lakeferry.sources.urls import Location, list_files
@@ -91,7 +92,10 @@ def _storable(c, t: FileType):
 
 
 def read(spark: SparkSession, location: Location, columns: Columns, options: CopyOptions, paths: list[str] | None = None) -> DataFrame:
-    """The rows of all files at the location, in the types that hold the structure's; columns are matched by place."""
+    """The rows of all files at the location, in the types that hold the structure's.
+
+    Columns are matched by name in formats that name them, in each file anew: what a file lacks is null, what else it has is passed by. In others they go by place.
+    """
     ship(spark)
     paths = paths or list_files(spark, location)
     name = format_name(options, paths[0])
@@ -102,9 +106,11 @@ def read(spark: SparkSession, location: Location, columns: Columns, options: Cop
         options = replace(options, compression="none", format=name)
     if name in SPARK_FORMATS:
         got = spark.read.format(name).load(paths)
-        if len(got.columns) != len(columns):
-            raise ValueError(f"the file returned {len(got.columns)} columns, expected {len(columns)}")
-        return got.select(*[_stored(F.col(f"`{have}`"), got.schema[have].dataType, t).alias(n) for have, (n, t) in zip(got.columns, columns, strict=True)])
+        if len(paths) > 1 and not {n for n, _ in columns} <= set(got.columns):
+            got = spark.read.format(name).option("mergeSchema", "true").load(paths)  # another file may have what the first lacks
+        at = places(got.columns, columns)
+        have = [F.lit(None).cast(wire_type(t)) if i is None else _stored(F.col(f"`{n}`"), got.schema[n].dataType, t) for i, (n, t) in zip(at, columns, strict=True)]
+        return got.select(*[c.alias(n) for c, (n, _) in zip(have, columns, strict=True)])
     codec = codec_of(paths[0], options.compression)
     if name in TEXT_FORMATS:
         known = codec in files.SPARK_CODECS and (codec == "none" or paths[0].lower().endswith(files.suffix_of(codec)))

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -12,6 +14,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as S
 
 from lakeferry.functions.text import escapable, escape, from_text, geo_as_nested, literal, nested, parse_cell, read_literal, scalar_text, text_type, unescape
+from lakeferry.plans.options import codec_of
+from lakeferry.sources.files import hadoop
+from lakeferry.sources.naming import csv_names, heads, json_names, places
 from lakeferry.types.grammar import FileType, parse_type, render_type
 from lakeferry.types.mapping import GEO
 
@@ -71,24 +76,43 @@ def _tsv(head: int, raw: bool) -> TextFormat:
         return _framed(rows, names[:head])
 
     def decode(spark: SparkSession, files: list[str], columns: Columns) -> DataFrame:
-        lines = spark.read.option("lineSep", "\n").text(files)
-        if head:
-            lines = _without_head(spark, lines, files, head)
-        parts = F.split("value", "\t", -1)
-        rows = lines.select(parts.alias("p"))
-        cell = lambda i, t: F.when(F.col("p")[i] != NULL, unescape(F.col("p")[i]) if not raw and escapable(t) else F.col("p")[i])
-        return rows.select(*[parse_cell(cell(i, t), t).alias(n) for i, (n, t) in enumerate(columns)])
+        def rows(files: list[str], first: list[str], at: list[int | None]) -> DataFrame:
+            lines = _without_head(spark.read.option("lineSep", "\n").text(files), first)
+            lines = lines.select(F.split("value", "\t", -1).alias("p"))
+            cell = lambda i, t: F.when(F.col("p")[i] != NULL, unescape(F.col("p")[i]) if not raw and escapable(t) else F.col("p")[i])
+            return lines.select(*[parse_cell(_none() if i is None else cell(i, t), t).alias(n) for i, (n, t) in zip(at, columns, strict=True)])
+
+        return _by_name(spark, files, columns, head, False, lambda line: [x if raw else _plain_unescape(x) for x in line.split("\t")], rows)
 
     return TextFormat(encode, decode, head)
 
 
-def _without_head(spark: SparkSession, lines: DataFrame, files: list[str], head: int) -> DataFrame:
-    """All lines but the first ``head`` of each file. Only lines like them, in a file's first block, are numbered; the others pass by."""
-    firsts = head_lines(spark, files[0], head)
+def _none() -> Column:
+    return F.lit(None).cast("string")
+
+
+def _plain_unescape(text: str) -> str:
+    return re.sub(r"\\(.)", lambda m: {"t": "\t", "n": "\n"}.get(m[1], m[1]), text, flags=re.S)
+
+
+def _by_name(spark: SparkSession, files: list[str], columns: Columns, head: int, quoted: bool, names: Callable[[str], list[str]], rows: Callable) -> DataFrame:
+    """``rows(files, their first lines, place of each wanted column)`` of files that begin alike; by place if the format names no columns."""
+    if not head:
+        return rows(files, [], list(range(len(columns))))
+    found = heads(spark, files, head, quoted, lambda path: codec_of(path, "auto"))
+    if not found:
+        return rows(files[:1], [], list(range(len(columns)))).limit(0)
+    return reduce(DataFrame.unionAll, [rows(own, first, places(names(first[0]), columns)) for own, first in found])
+
+
+def _without_head(lines: DataFrame, firsts: list[str]) -> DataFrame:
+    """All lines but the first of each file, which are ``firsts`` in all. Only lines like them, in a file's first block, are numbered; the others pass by."""
+    if not firsts:
+        return lines
     marked = lines.select("value", F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_s")).withColumn("_id", F.monotonically_increasing_id())
     suspect = F.col("value").isin(*firsts) & (F.col("_s") == 0)
     place = F.row_number().over(Window.partitionBy("_f", "value").orderBy("_id"))
-    later = marked.filter(suspect).withColumn("_k", place).filter(F.col("_k") > (1 if len(set(firsts)) == len(firsts) else head))
+    later = marked.filter(suspect).withColumn("_k", place).filter(F.col("_k") > (1 if len(set(firsts)) == len(firsts) else len(firsts)))
     return marked.filter(~suspect).select("value").unionAll(later.select("value"))
 
 
@@ -111,17 +135,36 @@ def _csv(head: int) -> TextFormat:
         return _framed(df.select(F.concat_ws(",", *_row(columns, one)).alias("value")), names[:head])
 
     def decode(spark: SparkSession, files: list[str], columns: Columns) -> DataFrame:
-        schema = S.StructType([S.StructField(f"_c{i}", S.StringType()) for i in range(len(columns))])
-        reader = spark.read.schema(schema).options(quote='"', escape='"', multiLine=True, nullValue=NULL, emptyValue="", header=head > 0, enforceSchema=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
-        rows = reader.csv(files)
-        if head > 1:
-            types = [render_type(t) for t in csv_head(spark, files[0], 2)[1]]
-            rows = rows.filter(~F.array(*[F.coalesce(F.col(f"_c{i}"), F.lit("")) for i in range(len(columns))]).eqNullSafe(F.array(*[F.lit(t) for t in types])))
-        return rows.select(*[parse_cell(F.col(f"_c{i}"), t).alias(n) for i, (n, t) in enumerate(columns)])
+        def rows(files: list[str], first: list[str], at: list[int | None]) -> DataFrame:
+            width = len(csv_names(first[0])) if first else len(columns)
+            schema = S.StructType([S.StructField(f"_c{i}", S.StringType()) for i in range(width)])
+            options = {"quote": '"', "escape": '"', "nullValue": NULL, "emptyValue": "", "enforceSchema": True, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+            read = spark.read.schema(schema).options(**options, header=head > 0, multiLine=_quoted_ends(spark, files)).csv(files)
+            if len(first) > 1:
+                types = csv_names(first[1])
+                read = read.filter(~F.array(*[F.coalesce(F.col(f"_c{i}"), F.lit("")) for i in range(width)]).eqNullSafe(F.array(*[F.lit(t) for t in types])))
+            return read.select(*[parse_cell(_none() if i is None else F.col(f"_c{i}"), t).alias(n) for i, (n, t) in zip(at, columns, strict=True)])
+
+        return _by_name(spark, files, columns, head, True, csv_names, rows)
 
     return TextFormat(encode, decode, head)
 
 
+#: Files that are no larger are read in one piece each, whatever they hold.
+WHOLE_BYTES = 32 << 20
+
+
+def _quoted_ends(spark: SparkSession, files: list[str]) -> bool:
+    """Whether files must be read in one piece each, as some line may end within quotes: such a line has an odd number of them.
+
+    It costs a pass over large files, in pieces, and lets them be parsed in pieces.
+    """
+    if max(hadoop(spark, f)[0].getFileStatus(hadoop(spark, f)[1]).getLen() for f in files[:64]) <= WHOLE_BYTES:
+        return True
+    odd = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    return not spark.read.text(files).filter(odd % 2 == 1).limit(1).isEmpty()
+
+
 def csv_head(spark: SparkSession, file: str, head: int) -> tuple[list[str], list[FileType]]:
     rows = spark.read.options(quote='"', escape='"', multiLine=True).csv(file).limit(head).collect()
     return list(rows[0]), [parse_type(x) for x in rows[1]] if head > 1 else []
@@ -206,9 +249,10 @@ def _from_object(rows: DataFrame, columns: Columns, strings: bool = False) -> Da
     return rows.select(*[pick(F.col("o")[n], t).alias(n) for n, t in columns])
 
 
-def _from_array(rows: DataFrame, columns: Columns, strings: bool = False) -> DataFrame:
+def _from_array(rows: DataFrame, columns: Columns, strings: bool = False, at: list[int | None] | None = None) -> DataFrame:
     rows = rows.select(F.from_json("value", "array<string>", {"mode": "FAILFAST"}).alias("a"))
-    return rows.select(*[_element(F.col("a")[i], t, strings).alias(n) for i, (n, t) in enumerate(columns)])
+    at = list(range(len(columns))) if at is None else at
+    return rows.select(*[_element(_none() if i is None else F.col("a")[i], t, strings).alias(n) for i, (n, t) in zip(at, columns, strict=True)])
 
 
 def _element(c: Column, t: FileType, strings: bool = False) -> Column:
@@ -238,8 +282,8 @@ def _compact_each_row(strings: bool, head: int) -> TextFormat:
         return _framed(rows, names[:head])
 
     def decode(spark: SparkSession, files: list[str], columns: Columns) -> DataFrame:
-        lines = spark.read.text(files)
-        return _from_array(_without_head(spark, lines, files, head) if head else lines, columns, strings)
+        rows = lambda files, first, at: _from_array(_without_head(spark.read.text(files), first), columns, strings, at)
+        return _by_name(spark, files, columns, head, False, json_names, rows)
 
     return TextFormat(encode, decode, head)
 

@@ -22,7 +22,7 @@ class Location:
     kind: str
     address: str
     path: str
-    conf: dict[str, str] = field(default_factory=dict)
+    conf: dict[str, str | None] = field(default_factory=dict)
     account: str = ""
     container: str = ""
 
@@ -54,30 +54,40 @@ def locate(url: str, options: CopyOptions | None = None) -> Location:
     return _azure(url.partition("://")[0], rest, options)
 
 
-def _credentials(options: CopyOptions, token: bool) -> dict[str, str]:
-    """Without a key requests are anonymous; a key without a secret has an empty one."""
-    if not options.access_key:
-        return {"fs.s3a.aws.credentials.provider": "org.apache.hadoop.fs.s3a.AnonymousAWSCredentialsProvider"}
-    out = {"fs.s3a.access.key": options.access_key, "fs.s3a.secret.key": options.access_secret or ""}
-    if token and options.session_token:
-        out["fs.s3a.session.token"] = options.session_token
-        out["fs.s3a.aws.credentials.provider"] = "org.apache.hadoop.fs.s3a.TemporaryAWSCredentialsProvider"
-    return out
+def _credentials(options: CopyOptions, bucket: str, endpoint: str | None, token: bool) -> dict[str, str | None]:
+    """Settings of one bucket, so that no other call's requests are signed by them; those that must not be left from an earlier call are None.
+
+    Without a key requests are anonymous; a key without a secret has an empty one.
+    """
+    of, aws = f"fs.s3a.bucket.{bucket}.", "org.apache.hadoop.fs.s3a."
+    session = options.session_token if token and options.access_key else None
+    provider = "AnonymousAWSCredentialsProvider" if not options.access_key else "TemporaryAWSCredentialsProvider" if session else "SimpleAWSCredentialsProvider"
+    secret = (options.access_secret or "") if options.access_key else None
+    return {
+        of + "aws.credentials.provider": aws + provider,
+        of + "access.key": options.access_key,
+        of + "secret.key": secret,
+        of + "session.token": session,
+        of + "endpoint": endpoint,
+        of + "connection.timeout": str(options.timeout),
+        "fs.s3a.impl.disable.cache": "true",  # a client kept from an earlier call has that call's keys
+    }
 
 
 def _s3(rest: str, options: CopyOptions) -> Location:
     host, _, path = rest.partition("/")
-    conf = _credentials(options, True) | {"fs.s3a.connection.timeout": str(options.timeout)}
     found = re.fullmatch(r"(.+)\.(s3[.-][a-z0-9-]+\.amazonaws\.com|s3\.amazonaws\.com)", host)
     if found:
-        return Location("s3", f"https://{rest}", f"s3a://{found[1]}/{path}", conf | {"fs.s3a.endpoint": found[2]})
-    return Location("s3", f"s3://{rest}", f"s3a://{rest}", conf)
+        return Location("s3", f"https://{rest}", f"s3a://{found[1]}/{path}", _credentials(options, found[1], found[2], True))
+    return Location("s3", f"s3://{rest}", f"s3a://{rest}", _credentials(options, host, None, True))
 
 
 def _gcs(rest: str, options: CopyOptions) -> Location:
+    """The store's interface for access keys is the other one's, at an address of its own."""
     host = "storage.googleapis.com"
-    bucket = rest.removeprefix(host + "/")
-    return Location("gcs", f"https://{host}/{bucket}", f"gs://{bucket}", _credentials(options, False) | {"fs.s3a.connection.timeout": str(options.timeout)})
+    rest = rest.removeprefix(host + "/")
+    bucket = rest.partition("/")[0]
+    return Location("gcs", f"https://{host}/{rest}", f"s3a://{rest}", _credentials(options, bucket, f"https://{host}", False) | {f"fs.s3a.bucket.{bucket}.path.style.access": "true"})
 
 
 def _azure(scheme: str, rest: str, options: CopyOptions) -> Location:

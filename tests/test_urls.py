@@ -10,8 +10,8 @@ from lakeferry.sources.urls import expand_ranges, list_files, locate, scheme_of
         ("file:///tmp/x.csv", "/tmp/x.csv", "file:///tmp/x.csv"),
         ("s3://b.s3.us-east-2.amazonaws.com/d/x.csv", "https://b.s3.us-east-2.amazonaws.com/d/x.csv", "s3a://b/d/x.csv"),
         ("s3://b/d/x.csv", "s3://b/d/x.csv", "s3a://b/d/x.csv"),
-        ("gs://b/x.csv", "https://storage.googleapis.com/b/x.csv", "gs://b/x.csv"),
-        ("gcs://storage.googleapis.com/b/x.csv", "https://storage.googleapis.com/b/x.csv", "gs://b/x.csv"),
+        ("gs://b/x.csv", "https://storage.googleapis.com/b/x.csv", "s3a://b/x.csv"),
+        ("gcs://storage.googleapis.com/b/x.csv", "https://storage.googleapis.com/b/x.csv", "s3a://b/x.csv"),
         ("az://acc.blob.core.windows.net/cont/d/x.csv", "https://acc.blob.core.windows.net", "wasbs://cont@acc.blob.core.windows.net/d/x.csv"),
         ("az://acc.blob.core.windows.net/cont/x.csv?sv=1", "https://acc.blob.core.windows.net?sv=1", "wasbs://cont@acc.blob.core.windows.net/x.csv"),
         ("abfss://cont@acc/x.csv", "https://acc.blob.core.windows.net", "wasbs://cont@acc.blob.core.windows.net/x.csv"),
@@ -33,10 +33,14 @@ def test_bad_addresses(url, text):
 
 
 def test_credentials():
-    assert "Anonymous" in locate("s3://b/x").conf["fs.s3a.aws.credentials.provider"]
+    of = "fs.s3a.bucket.b."
+    plain = locate("s3://b/x").conf
+    assert "Anonymous" in plain[of + "aws.credentials.provider"]
     conf = locate("s3://b/x", copy_options(access_key="k", session_token="t")).conf
-    assert (conf["fs.s3a.access.key"], conf["fs.s3a.secret.key"], conf["fs.s3a.session.token"]) == ("k", "", "t")
-    assert "fs.s3a.session.token" not in locate("gs://b/x", copy_options(access_key="k", session_token="t")).conf
+    assert (conf[of + "access.key"], conf[of + "secret.key"], conf[of + "session.token"]) == ("k", "", "t")
+    assert plain[of + "access.key"] is plain[of + "session.token"] is None  # so that a later call doesn't sign with them
+    conf = locate("gs://b/x", copy_options(access_key="k", session_token="t")).conf
+    assert conf[of + "session.token"] is None and conf[of + "endpoint"] == "https://storage.googleapis.com" and conf[of + "access.key"] == "k"
     assert locate("https://h/x", copy_options(timeout=1500)).conf["seconds"] == "2"
     assert scheme_of("S3://b") is None and scheme_of("plain") is None
 
