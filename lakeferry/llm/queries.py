@@ -126,7 +126,7 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP9_SQL = """
-WITH RECURSIVE d AS (
+WITH d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents
 ), b AS (
   SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS ws FROM benchmark
@@ -134,21 +134,21 @@ WITH RECURSIVE d AS (
 ds AS (SELECT doc_id, n, p, array_to_string(ws[p:p + 4], ' ') AS g FROM s),
 t AS (SELECT item_id, len(ws) AS n, unnest(range(1, len(ws) - 3)) AS p, ws FROM b WHERE len(ws) >= 5),
 bs AS (SELECT item_id, n, p, array_to_string(ws[p:p + 4], ' ') AS g FROM t),
-w AS (
-  SELECT DISTINCT ds.doc_id, bs.item_id, bs.n AS len, greatest(1, least(ds.p - bs.p + 1, ds.n - bs.n + 1)) AS f FROM ds JOIN bs USING (g)
-), inside AS (
-  SELECT w.doc_id, w.item_id, w.f, w.len, ds.g, count(*) AS c FROM w JOIN ds ON ds.doc_id = w.doc_id AND ds.p >= w.f AND ds.p <= w.f + w.len - 5 GROUP BY ALL
-), own AS (SELECT item_id, g, count(*) AS c FROM bs GROUP BY ALL),
+pairs AS (SELECT DISTINCT ds.doc_id, ds.n AS words, bs.item_id, bs.n AS len FROM ds JOIN bs USING (g)),
+w AS (SELECT doc_id, item_id, len, least(len, words) AS size, unnest(range(1, greatest(words - len, 0) + 2)) AS f FROM pairs),
+v AS (SELECT doc_id, item_id, size, f, unnest(range(0, size - 4)) AS j FROM w),
+inside AS (SELECT v.doc_id, v.item_id, v.f, v.size, ds.g, count(*) AS c FROM v JOIN ds ON ds.doc_id = v.doc_id AND ds.p = v.f + v.j GROUP BY ALL),
+own AS (SELECT item_id, g, count(*) AS c FROM bs GROUP BY ALL),
 total AS (SELECT item_id, sum(c) AS c FROM own GROUP BY item_id),
 scored AS (
-  SELECT i.doc_id, i.item_id, i.f, i.len, sum(least(i.c, coalesce(o.c, 0)))::DOUBLE AS lesser, sum(i.c)::DOUBLE AS here
+  SELECT i.doc_id, i.item_id, i.f, i.size, sum(least(i.c, coalesce(o.c, 0)))::DOUBLE AS lesser, sum(i.c)::DOUBLE AS here
   FROM inside i LEFT JOIN own o ON o.item_id = i.item_id AND o.g = i.g GROUP BY ALL
 ), best AS (
-  SELECT doc_id, item_id, lesser / (here + total.c - lesser) AS similarity, f, len,
+  SELECT doc_id, item_id, lesser / (here + total.c - lesser) AS similarity, f, size,
          row_number() OVER (PARTITION BY doc_id, item_id ORDER BY lesser / (here + total.c - lesser) DESC, f) AS k
   FROM scored JOIN total USING (item_id)
 )
-SELECT doc_id, item_id, similarity, (f - 1)::BIGINT AS first_word, len::BIGINT AS n_words FROM best WHERE k = 1 AND similarity >= 0.8
+SELECT doc_id, item_id, similarity, (f - 1)::BIGINT AS first_word, size::BIGINT AS n_words FROM best WHERE k = 1 AND similarity >= 0.8
 """
 
 
