@@ -75,7 +75,7 @@ def common_shingles(docs: DataFrame, words: int = WORDS) -> np.ndarray:
 
 
 def _signatures(docs: DataFrame, common: np.ndarray, words: int, similarity: int) -> DataFrame:
-    """doc_id, n, digest of the set, prefix: a row per row of ``docs``."""
+    """doc_id, hash of the text, n, digest of the set, prefix: a row per row of ``docs``."""
     late = docs.sparkSession.sparkContext.broadcast(common)  # COMMON_MAX hashes at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,9 +91,9 @@ def _signatures(docs: DataFrame, common: np.ndarray, words: int, similarity: int
                 prefixes.append(x[: prefix_length(len(x), similarity)] if len(x) else x)
             at = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype(np.int32)
             values = np.concatenate([np.zeros(0, np.uint64), *prefixes]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.ListArray.from_arrays(pa.array(at), pa.array(values))], ["doc_id", "n", "digest", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.ListArray.from_arrays(pa.array(at), pa.array(values))], ["doc_id", "like", "n", "digest", "prefix"])
 
-    return text_rows(docs).mapInArrow(run, "doc_id long, n long, digest binary, prefix array<long>")
+    return text_rows(docs, F.xxhash64(F.coalesce("text", F.lit(""))).alias("like")).mapInArrow(run, "doc_id long, like long, n long, digest binary, prefix array<long>")
 
 
 def product_links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, group: np.ndarray, similarity: int = SIMILARITY) -> list[tuple[int, int]]:
@@ -157,13 +157,18 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
 
 
 def linked_components(docs: DataFrame, words: int = WORDS, similarity: int = SIMILARITY) -> DataFrame:
-    """``docs(doc_id, text)`` -> doc_id, n_shingles, component_id; a row per row of ``docs``.
+    """``docs(doc_id, text)`` -> doc_id, n_shingles, component_id; a row per row of ``docs``. doc_id must be a whole number.
 
     A document of fewer words than a shingle has its whole sequence as one; one without words, or a null text, has an empty set and is linked with
-    nothing. Rows that repeat an id are taken as one document if their sets agree (each is returned). Very long texts are taken
+    nothing. Rows that repeat an id are taken as one document (each is returned), which links as any of its rows does. Very long texts are taken
     whole. Of equal sets the least doc_id stands for all; a row without a doc_id has the component of
     documents with an equal set, or none. An empty table gives no rows. Other columns are not looked at.
     """
+    return _members(docs, words, similarity).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+
+
+def _members(docs: DataFrame, words: int, similarity: int) -> DataFrame:
+    """doc_id, hash of the text, n, digest, component_id: a row per row of ``docs``."""
     ship(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     common = common_shingles(docs, words)
@@ -181,11 +186,11 @@ def linked_components(docs: DataFrame, words: int = WORDS, similarity: int = SIM
     shared = materialize(shared, "able")
     edges = _span(docs, shared, words, similarity)
     joined = components(edges)
-    named = signed.select("doc_id", "n", "digest")
+    named = signed.select("doc_id", "like", "n", "digest")
     rows = named.filter("n > 0").groupBy("digest", "n").agg(F.min("doc_id").alias("id"))
     rows = rows.join(joined.select(F.col("node").alias("id"), "component"), "id", "left").select("digest", "n", F.coalesce("component", "id").alias("component_id"))
     out = named.join(rows, ["digest", "n"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return out.select("doc_id", "like", "n", "digest", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def _may_link(n: Column, m: Column, common: Column, similarity: int) -> Column:
@@ -297,8 +302,20 @@ def _span(docs: DataFrame, shared: DataFrame, words: int, similarity: int) -> Da
     return first.unionByName(second)
 
 
-def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` whose document is the least of its component; of rows with one id and text, one stays."""
-    found = linked_components(docs, **options)
-    keep = found.filter("doc_id = component_id").select(F.col("doc_id").alias("_lf_id")).distinct()
-    return docs.dropDuplicates(["doc_id"]).join(keep, F.col("doc_id") == F.col("_lf_id"), "left_semi")
+def keep_one(docs: DataFrame, words: int = WORDS, similarity: int = SIMILARITY) -> DataFrame:
+    """One row of ``docs`` for each group, with all its columns: of each component the document of least id.
+
+    Of rows with that id and equal sets the one whose text has the least hash stays, and of rows equal in id and text the first by their other columns;
+    rows of that id with unlike sets all stay. A row without an id goes if a document has its set, else one row for each set stays. Texts without words
+    are like no others: they all stay, but for rows equal in id and text. An empty table gives no rows. Columns may have any names.
+    """
+    names = docs.columns
+    found = _members(docs, words, similarity).filter("doc_id <=> component_id")
+    # the null id has a key of its own, so that the join need not ask for nulls
+    key = [F.coalesce(F.col("doc_id").cast("string"), F.lit("none")).alias("_id"), F.col("like")]
+    keep = found.groupBy("doc_id", "digest", F.when(F.col("n") == 0, F.col("like")).alias("alone")).agg(F.min("like").alias("like")).select(*key).distinct()
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("none")).alias("_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("like"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("_doc"))
+    other = [F.col("_doc").getField(f.name).asc_nulls_last() for f in docs.schema.fields if f.name not in ("doc_id", "text") and f.dataType.typeName() not in ("map", "variant")]
+    first = F.row_number().over(Window.partitionBy("_id", "like").orderBy(*(other or [F.lit(1)])))
+    rows = rows.join(keep, ["_id", "like"], "left_semi").withColumn("_first", first).filter("_first = 1")
+    return rows.select(*[F.col("_doc").getField(c).alias(c) for c in names])
