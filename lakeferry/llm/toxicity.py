@@ -101,29 +101,29 @@ class Odds:
 def maximal_segments(s: np.ndarray) -> list[tuple[int, int, float]]:
     """[(first, after the last, score)] of all maximal scoring segments of ``s``, in linear time.
 
-    Neighbours of one sign are summed first; then each positive run either extends candidates on a stack or joins them.
+    Neighbours of one sign are summed first; then each positive run either is a candidate or joins earlier ones.
     """
     positive = s > 0
     edge = np.flatnonzero(np.concatenate([[True], positive[1:] != positive[:-1]]))
     sums = np.add.reduceat(s, edge)
     ends = np.concatenate([edge[1:], [len(s)]])
-    stack: list[tuple[int, int, float, float]] = []  # (first, end, total before it, total to its end)
+    found: list[tuple[int, int, float, float]] = []  # (first, end, total before it, total to its end)
+    rising: list[int] = []  # of ``found`` those with no later one that starts as low or lower; each is put in and taken out once
     before = 0.0
     for i, e, x in zip(edge.tolist(), ends.tolist(), sums.tolist(), strict=True):
         if x > 0:
-            first, left, right, held = i, before, before + x, []
-            while True:
-                # candidates that start no lower than this one can't be joined by it
-                while stack and stack[-1][2] >= left:
-                    held.append(stack.pop())
-                if not stack or stack[-1][3] >= right:
-                    stack.extend(reversed(held))
-                    stack.append((first, e, left, right))
-                    break
-                first, _, left, _ = stack.pop()
-                held = []
+            first, left, right = i, before, before + x
+            while rising and found[rising[-1]][2] >= left:
+                rising.pop()
+            # the last one that starts lower is joined, with all between, unless it ends as high
+            while rising and found[rising[-1]][3] < right:
+                j = rising.pop()
+                first, left = found[j][0], found[j][2]
+                del found[j:]
+            rising.append(len(found))
+            found.append((first, e, left, right))
         before += x
-    return [(i, e, r - b) for i, e, b, r in stack]
+    return [(i, e, r - b) for i, e, b, r in found]
 
 
 def _partial(rows, limit: int = 1 << 20):
