@@ -2,8 +2,8 @@
 
 Every window of W units (bytes, or words) has one anchor, the least of the k-unit grams that it holds; equal windows have
 equal anchors at equal places. Consecutive windows of one anchor are a run, whose key is the anchor. Only runs whose key stands more
-than once are looked at further. Keys are counted by a grouping, which adds up before it shuffles, and rows meet their key's count by a join,
-which may be split where a key is hot. Rows of one key that many documents have are then dealt to parts of about
+than once are looked at further. Keys are counted by a grouping, which adds up before it shuffles, and rows meet their key's count by a join, or by a
+broadcast of the commonest keys' counts. Rows of one key that many documents have are then dealt to parts of about
 ``KEY_ROWS``, so that no task gathers a key.
 """
 
@@ -26,9 +26,11 @@ _M = _U(0xD1342543DE82EF95)
 _M_INV = _U(pow(int(_M), -1, 1 << 64))
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * _U(0x9E3779B97F4A7C15))
 #: Bytes of a document that are looked at in one piece; windows that cross pieces belong to the first.
-PIECE_BYTES = 1 << 22
+PIECE_BYTES = 1 << 20
 #: Rows of one key that one task compares, about; a key of more rows is dealt to parts.
 KEY_ROWS = 2048
+#: Keys whose counts are broadcast at most, 16 bytes each.
+HOT_KEYS = 1 << 16
 #: A filter has FILTER_SPARE bits for each document in it, from FILTER_LEAST up to FILTER_MOST; for more documents none is made.
 FILTER_LEAST, FILTER_MOST, FILTER_SPARE = 1 << 16, 1 << 26, 16
 #: Bytes of text, and rows, that a worker has in hand at a time.
@@ -134,11 +136,18 @@ def run_rows(docs: DataFrame, spec: Windows) -> DataFrame:
 
 
 def repeated(rows: DataFrame) -> DataFrame:
-    """Those of rows(key, doc, pos) whose key stands more than once, with ``part``: -1, or of keys of more than KEY_ROWS rows the part that the row is dealt to."""
-    counts = rows.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1")
+    """Those of rows(key, doc, pos) whose key stands more than once, with ``part``: -1, or of keys of more than KEY_ROWS rows the part that the row is dealt to.
+
+    The counts of the HOT_KEYS commonest of the latter are broadcast, so that their rows need not meet to learn them.
+    """
+    counts = materialize(rows.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1"), "counts")
+    hot = counts.filter(F.col("rows") > KEY_ROWS).orderBy(F.desc("rows"), "key").limit(HOT_KEYS).select("key", F.col("rows").alias("hot"))
+    marked = rows.join(F.broadcast(hot), "key", "left")
+    marked = marked.withColumn("at", F.when(F.col("hot").isNull(), F.col("key")).otherwise(F.xxhash64("doc", "pos")))
+    marked = marked.join(counts.select(F.col("key").alias("at"), "rows"), "at", "left").withColumn("rows", F.coalesce("hot", "rows")).filter("rows > 1")
     parts = F.ceil(F.col("rows") / F.lit(KEY_ROWS)).cast("long")
     part = F.when(parts > 1, F.pmod(F.xxhash64("doc", "pos"), parts)).otherwise(F.lit(-1).cast("long"))
-    return rows.join(counts, "key").select("key", "doc", "pos", part.alias("part"))
+    return marked.select("key", "doc", "pos", part.alias("part"))
 
 
 class Sieve:
