@@ -214,6 +214,20 @@ def test_maximal_segments():
         assert [x for _, _, x in got] == [x for _, _, x in want] and got == want
 
 
+def test_segments_take_time_in_proportion():
+    """Twice the text, about twice the time, where each candidate ends lower than the one before."""
+    import time
+
+    def seconds(n):
+        s = np.tile([1.0, -1.5], n)
+        t = time.perf_counter()
+        assert len(toxicity.maximal_segments(s)) == n
+        return time.perf_counter() - t
+
+    seconds(1000)
+    assert min(seconds(40_000) for _ in range(3)) < 8 * min(seconds(10_000) for _ in range(3))
+
+
 def test_toxic_passages(spark):
     rng = random.Random(5)
     rows, labels = [], []
@@ -344,16 +358,69 @@ def test_shards(docs, texts):
         assert sorted(r.slot for r in rows if r.shard == s) == list(range(sum(r.shard == s for r in rows)))
 
 
-def test_a_hot_text_is_cut_and_others_stay_whole(spark):
+def test_texts_stay_whole_if_a_shard_has_room(spark):
+    """Of texts of very different weight only that above a shard is cut, and the shards are near equal."""
     rng = random.Random(9)
-    texts = ["the same text over and over"] * 600 + [prose(rng, 40) for _ in range(300)] * 2
-    rows = kd_sharding.shard_documents(spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string")).collect()
+    heavy = [(prose(rng, 40), n) for n in (1500, 200, 180, 60, 33, 20, 12)]
+    texts = [t for t, n in heavy for _ in range(n)] + [prose(rng, 40) for _ in range(600)] * 2
+    rows = kd_sharding.shard_documents(spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string").repartition(5)).collect()
     sizes, where = collections.Counter(), collections.defaultdict(set)
     for r in rows:
         sizes[r.shard] += r.size
         where[r.text_crc32, r.size].add(r.shard)
-    assert len(sizes) == 16 and max(sizes.values()) < 1.3 * min(sizes.values())
-    assert sum(len(s) > 1 for s in where.values()) == 1
+    shard = sum(sizes.values()) / 16
+    b = heavy[0][0].encode()
+    assert len(sizes) == 16 and max(sizes.values()) < 1.1 * min(sizes.values())
+    assert [k for k, s in where.items() if len(s) > 1] == [(zlib.crc32(b), len(b) + 1)] and len(where[zlib.crc32(b), len(b) + 1]) == -(-1500 * (len(b) + 1) // shard)
+
+
+def brute_tree(units, room):
+    """The k-d tree by sorting: [(keys, weight)] -> shard of each."""
+    spread = lambda rows, d: (lambda w, total: next(k for k, c in w if c >= 0.95 * total) - next(k for k, c in w if c >= 0.05 * total))(*running(rows, d))
+
+    def running(rows, d):
+        total, out = 0, []
+        for keys, weight in sorted(rows, key=lambda r: r[0][d]):
+            total += weight
+            out.append((keys[d] >> 20, total))
+        return out, total
+
+    root = {d: max(spread(units, d), 1) for d in units[0][0]}
+    found = {}
+
+    def split(rows, first, s):
+        if s == 1 or not rows:
+            found.update({tuple(sorted(k.items())): first for k, _ in rows})
+            return
+        d = max(sorted(root), key=lambda x: spread(rows, x) / root[x])
+        half, seen, cut = sum(w for _, w in rows) * sum(room[first : first + s // 2]) / sum(room[first : first + s]), 0, 0
+        rows = sorted(rows, key=lambda r: r[0][d])
+        while seen < half:
+            seen += rows[cut][1]
+            cut += 1
+        split(rows[:cut], first, s // 2)
+        split(rows[cut:], first + s // 2, s - s // 2)
+
+    split(units, 0, len(room))
+    return found
+
+
+@pytest.mark.parametrize("room", [[1.0] * 8, [1.0, 3.0, 0.5], [2.0, 1.0, 1.0, 1.0, 0.25]])
+def test_the_tree_is_that_of_sorting(spark, room):
+    rng = random.Random(41)
+    low = rng.sample(range(1 << 19, 1 << 20), 3 * 400)
+    units = [({"x": (int(rng.random() ** 2 * 1000) << 20) + low[3 * i], "y": (rng.choice([0, 0, 0, 300, 700]) << 20) + low[3 * i + 1], "z": (rng.randrange(20) << 20) + low[3 * i + 2]}, rng.choice([1, 1, 5, 40])) for i in range(400)]
+    df = spark.createDataFrame([(k["x"], k["y"], k["z"], w) for k, w in units], "x long, y long, z long, _weight long").repartition(3)
+    got, splits = kd_sharding.split_tree(df, {c: F.col(c) for c in "xyz"}, room)
+    assert {(("x", r.x), ("y", r.y), ("z", r.z)): r._node for r in got.collect()} == brute_tree(units, room)
+    assert len(splits) == len(room) - 1 and len({x["dimension"] for x in splits}) > 1
+
+
+def test_places_keep_the_order_of_values(spark):
+    names = ["", "a", "a/very/long/head/1", "a/very/long/head/2", "b", "é", "日本"]
+    df = spark.createDataFrame([(n, i) for i, n in enumerate(names) for _ in range(3)], "_source string, i int").repartition(4)
+    got = {r._source: r._at_source for r in kd_sharding.with_places(df, "_source").collect()}
+    assert [got[n] for n in names] == pytest.approx([i / 6 for i in range(7)])
 
 
 @pytest.mark.parametrize("shards", [1, 3, 7])
@@ -396,6 +463,30 @@ def test_mix(spark):
     assert collections.Counter(r.doc_id for r in mixing.mixed(df).collect()) == collections.Counter({i: n for i, n in drawn.items() if n})
 
 
+def test_rows_that_repeat_are_mixed_within_the_cap(spark):
+    """Rows with one id, alike and unlike, and null ids; columns named as the operator's own."""
+    rng = random.Random(17)
+    rows = [(1, "a b c", "s", 7, "x"), (1, "a b c", "s", 7, "x"), (1, "d e", "s", 8, "x"), (None, "f g h", "s", 9, None), (None, None, None, 1, None)]
+    rows += [(i, prose(rng, 50), "t", i, "y") for i in range(10, 60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, _n long, size string").repartition(3)
+    got = collections.Counter(tuple(r) for r in mixing.mixed(df).collect())
+    have = collections.Counter(rows)
+    assert set(got) <= set(have) and all(n <= 3 * have[r] for r, n in got.items()) and max(got[r] for r in rows[:4]) == 3 * max(1, have[rows[0]])
+    drawn = mixing.mix_sources(df)
+    assert sum(got.values()) == drawn.agg(F.sum("copies")).first()[0] and drawn.filter("copies > 3").count() == 0
+
+
+def test_one_row_of_each_group_stays(spark):
+    """Null ids, ids that repeat with like and unlike texts, and columns named as the operator's own."""
+    base = " ".join(f"b{k}" for k in range(60))
+    near, other = base.replace("b59", "c"), " ".join(f"o{k}" for k in range(30))
+    rows = [(5, base, 1), (5, base, 2), (5, other, 3), (7, near, 4), (None, base, 5), (None, "lone one text that no other row has here", 6), (None, "lone one text that no other row has here", 7), (8, "", 8), (9, None, 9), (None, "", 10)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, like long").repartition(4)
+    got = sorted(ngram_join.keep_one(df).collect(), key=lambda r: r.like)
+    assert got[0]._fields if hasattr(got[0], "_fields") else got[0].__fields__ == ["doc_id", "text", "like"]
+    assert [r.like for r in got] == [1, 3, 6, 8, 9, 10]
+
+
 # leaks and tokens
 
 
@@ -444,16 +535,66 @@ def test_leaks_with_a_shingle_that_repeats(times):
     assert missed == 0
 
 
-def test_multi_index_finds_all_within_the_radius():
+@pytest.mark.parametrize("entries", [300, 4000])
+def test_multi_index_finds_all_within_the_radius(entries):
+    """With fewer entries than values near one, and with more."""
     rng = np.random.default_rng(5)
-    items = decontaminate.Items(list(range(300)), [" ".join(f"v{x}" for x in rng.integers(0, 30, 40)) for _ in range(300)])
-    for k in range(40):
-        bits = np.unpackbits(items.prints[k].astype(">u2").view(np.uint8))
-        flip = rng.choice(256, rng.integers(0, 80), replace=False)
-        bits[flip] ^= 1
-        blocks = np.packbits(bits).view(">u2").astype(np.uint32)
-        distance = np.bitwise_count(items.prints ^ blocks).sum(axis=1)
-        assert items.within_radius(blocks).tolist() == np.flatnonzero(distance <= decontaminate.RADIUS).tolist()
+    blocks = rng.integers(0, 1 << 16, (entries, decontaminate.BLOCKS), dtype=np.uint16)
+    windows = blocks[:8].copy()
+    for k, n in enumerate((0, 20, 60, 78, 79, 80, 90, 120)):
+        bits = np.unpackbits(windows[k].astype(">u2").view(np.uint8))
+        bits[rng.choice(256, n, replace=False)] ^= 1
+        windows[k] = np.packbits(bits).view(">u2")
+    distance = np.bitwise_count(windows[:, None] ^ blocks[None]).sum(axis=2)
+    want = set(zip(*(x.tolist() for x in np.nonzero(distance <= decontaminate.RADIUS)), strict=True))
+    assert set(zip(*(x.tolist() for x in decontaminate.Prints(blocks).within(windows)), strict=True)) == want
+
+
+def test_fingerprints_of_all_windows():
+    """Running sums give each window what its own bag has, with shingles that repeat."""
+    rng = np.random.default_rng(6)
+    for n, kinds, size in ((60, 1000, 20), (60, 4, 15), (40, 1, 12), (9, 3, 9)):
+        shingles = textcore.mix(rng.integers(0, kinds, n).astype(np.uint64))
+        starts = np.unique(rng.integers(0, n - size + 1, 12))
+        got = decontaminate.window_prints(shingles, starts, size)
+        assert got.tolist() == [decontaminate.fingerprint(shingles[s : s + size]).tolist() for s in starts]
+
+
+def test_no_window_above_the_similarity_is_lost(spark):
+    """All windows of all documents against all items, edited, cut, with words that repeat, next to what the operator finds."""
+    rng = random.Random(31)
+    items = [prose(rng, rng.choice([5, 8, 15, 15, 40, 60, 61]), rng.choice([12, 300, 3000])) for _ in range(40)]
+    texts = []
+    for _ in range(220):
+        w = rng.choice(items).split()
+        for _ in range(rng.choice([0, 0, 1, 1, 2, 4])):
+            k = rng.randrange(len(w))
+            w[k : k + rng.choice([0, 1, 1])] = [rng.choice(["new", w[k]])]
+        cut = rng.choice([0, 0, 0, 2, 5])
+        texts.append(" ".join([*prose(rng, rng.choice([0, 3, 40]), 300).split(), *w[cut:], *prose(rng, rng.choice([0, 3, 40]), 300).split()]))
+    grams = lambda w: collections.Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else collections.Counter([tuple(w)] if w else [])
+    want = {}
+    for d, t in enumerate(texts):
+        words = t.split()
+        for i, item in enumerate(items):
+            own = grams(item.split())
+            n = min(len(item.split()), len(words))
+            best = max(sum((x & own).values()) / sum((x | own).values()) for x in (grams(words[f : f + n]) for f in range(len(words) - n + 1)))
+            if best >= 0.8:
+                want[d, i] = pytest.approx(best)
+    df, bench = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    assert {(r.doc_id, r.item_id): r.similarity for r in decontaminate.find_leaks(df, bench).collect()} == want and len(want) > 100
+
+
+def test_items_in_blocks_and_ids_of_text(spark, monkeypatch):
+    rng = random.Random(33)
+    items = [prose(rng, 30, 4000) for _ in range(12)]
+    df = spark.createDataFrame([(f"d{i}", prose(rng, 9) + " " + t) for i, t in enumerate(items)] + [("none", prose(rng, 50)), (None, items[0])], "doc_id string, text string")
+    bench = spark.createDataFrame([(f"i{i}", t) for i, t in enumerate(items)], "item_id string, text string")
+    whole = sorted(map(str, decontaminate.find_leaks(df, bench).collect()))
+    monkeypatch.setattr(decontaminate, "ITEM_WORDS", 50)
+    assert sorted(map(str, decontaminate.find_leaks(df, bench).collect())) == whole and len(whole) == 13
+    assert [r.doc_id for r in decontaminate.drop_leaks(df, bench).collect()] == ["none"]
 
 
 def test_tokens_are_those_of_the_library(spark, docs, texts):
