@@ -245,22 +245,90 @@ def test_toxic_passages(spark):
     assert passage and set(passage) <= {"vile", "foul", "nasty"}
 
 
-def test_copies_in_adjacent_rows_score_alike():
-    import pyarrow as pa
+TOKEN = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
+
+
+def hash_of(token):
+    return int(toxicity.tokens(np.frombuffer(token, np.uint8), np.array([0, len(token)])).h[0])
+
+
+def prefix_hash(token, k):
+    """The hash of a token's first k characters, as a longer token has it."""
+    t = toxicity.tokens(np.frombuffer(token, np.uint8), np.array([0, len(token)]))
+    return int(t.prefixes(np.array([0]))[0, toxicity.PREFIXES.index(k)])
+
 
-    texts = [b"vile foul", b"vile foul", b"foul vile good", b"", b"vile", b"vile vile foul"]
-    odds = toxicity.Odds(*[x[np.argsort(toxicity.tokens(np.frombuffer(b"vilefoul", np.uint8), np.array([0, 4, 8]))[0])] for x in (toxicity.tokens(np.frombuffer(b"vilefoul", np.uint8), np.array([0, 4, 8]))[0], np.array([5.0, 4.0]))])
+def lowered(text):
+    return bytes(c + 32 if 65 <= c <= 90 else c for c in (text or "").encode())
 
-    def scores(rows):
-        for _, _, buf, bounds in textcore.slices(pa.array(rows, pa.binary())):
-            h, stem, _, _, per = toxicity.tokens(buf, bounds)
-            s = odds.of(h, stem, per)
-            return [s[per[d] : per[d + 1]].tolist() for d in range(len(rows))], odds.evidence(s, per)[0].tolist()
 
-    apart = [scores([t]) for t in texts if t]
-    parts, evidence = scores(texts)
-    assert [p for p in parts if p] == [a[0][0] for a in apart] and evidence[:2] == [apart[0][1][0]] * 2
-    assert parts[0] == parts[1] == [4.0, 3.0] and parts[5] == [4.0, -1.0, 3.0]
+def slow_scores(odds, text):
+    """A token's own score, else that of its longest beginning that has one, less the drift."""
+    table = dict(zip(odds.keys.tolist(), odds.scores.tolist(), strict=True))
+    out = []
+    for w in TOKEN.findall(lowered(text)):
+        tries = [hash_of(w)] + [prefix_hash(w, k) for k in sorted(toxicity.PREFIXES, reverse=True) if len(w.decode()) > k]
+        out.append(next((table[h] for h in tries if table.get(h)), 0.0) - odds.drift)
+    return out
+
+
+def test_token_counts_and_odds(spark, texts):
+    """The counts of labelled documents and of the corpus, and what follows from them, against plain dictionaries."""
+    rows = [(i, t, i % 2) for i, t in enumerate(texts) if t]
+    sample = spark.createDataFrame(rows, "doc_id long, text string, label int").repartition(3)
+    words, beginnings = toxicity.class_counts(sample)
+    want = collections.defaultdict(lambda: [0, 0])
+    for _, t, y in rows:
+        for w in set(TOKEN.findall(lowered(t))):
+            want[w][y] += 1
+    assert {r.token: (r.clean, r.toxic) for r in words.collect()} == {int(np.uint64(hash_of(w)).astype(np.int64)): tuple(c) for w, c in want.items()}
+    begin = collections.defaultdict(lambda: [0, 0])
+    for w, c in want.items():
+        for k in toxicity.PREFIXES:
+            if len(w.decode()) > k:
+                for y in (0, 1):
+                    begin[prefix_hash(w, k)][y] += c[y] > 0
+    assert {int(np.int64(r.token).astype(np.uint64)): (r.clean, r.toxic) for r in beginnings.collect()} == {h: tuple(c) for h, c in begin.items()}
+    vocabulary = np.sort(np.array([hash_of(w) for w in want] + list(begin), np.uint64))
+    counts, total = toxicity.corpus_counts(sample.select("doc_id", "text"), vocabulary)
+    seen = collections.Counter(w for _, t, _ in rows for w in TOKEN.findall(lowered(t)))
+    plain = collections.Counter({hash_of(w): n for w, n in seen.items()})
+    for w, n in seen.items():
+        for k in toxicity.PREFIXES:
+            if len(w.decode()) > k:
+                plain[prefix_hash(w, k)] += n
+    assert total == sum(seen.values()) and dict(zip(vocabulary.tolist(), counts.tolist(), strict=True)) == plain
+    prior = toxicity.PRIOR * np.array([seen[w] for w in want]) / total + toxicity.FLOOR
+    n0, n1 = (sum(c[y] for c in want.values()) for y in (0, 1))
+    got = toxicity.token_odds(np.array([c[1] * 0 + c[0] for c in want.values()], float), np.array([c[1] for c in want.values()], float), np.array([seen[w] for w in want]), total, n0, n1)
+    for g, (c0, c1), p in zip(got, want.values(), prior, strict=True):
+        a, b, w = c1 + p, c0 + p, prior.sum()
+        x = np.log(a / max(n1 + w - a, toxicity.FLOOR)) - np.log(b / max(n0 + w - b, toxicity.FLOOR))
+        assert g == pytest.approx(np.sign(x) * max(abs(x) - toxicity.Z * (1 / a + 1 / b) ** 0.5, 0))
+
+
+def test_scores_and_evidence_against_a_slow_version(spark):
+    """Whole documents, copies next to each other, repeats, compounds, nulls: evidence, passages and scores by the definitions."""
+    rng = random.Random(5)
+    texts = []
+    for i in range(240):
+        words = prose(rng, rng.choice([1, 5, 80, 200]), 60).split()
+        if i % 3 == 0:
+            words[len(words) // 2 : len(words) // 2] = [w + rng.choice(["", "", "ish", "keit"]) for w in rng.choices(["vilest", "Foulness", "näßtier"], k=4)]
+        texts += [" ".join(words)] * rng.choice([1, 1, 2])
+    texts += ["", None, "vilest", "vilest vilest vilest"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, int(bool(re.search("(?i)vile|foul|näß", t or "")))) for i, t in enumerate(texts)], "doc_id long, toxic int")
+    model = toxicity.fit_odds(df, labels)
+    for r in toxicity.score_toxicity(df, labels).collect():
+        s = slow_scores(model, texts[r.doc_id])
+        limit = np.log(toxicity.E_VALUE)
+        parts = [(i, j, x, np.log(model.k * len(s)) - model.lam * x) for i, j, x in brute_segments(np.array(s))] if s else []
+        evidence = -sum(e for *_, e in parts if e < limit)
+        assert r.evidence == pytest.approx(evidence) and len(r.passages) == sum(e < limit for *_, e in parts)
+        score = 1 / (1 + np.exp(-np.clip(model.slope * (np.log1p(evidence) - model.at), -40, 40)))
+        assert r.score == pytest.approx(score) and r.predicted == int(score >= 0.5)
+        assert [round(p.score, 6) for p in sorted(r.passages)] == [round(x, 6) for i, j, x, e in sorted(parts) if e < limit]
 
 
 # substring dedup
