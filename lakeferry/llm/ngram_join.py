@@ -3,7 +3,8 @@
 Texts with one set of shingles are one row of the incidence matrix. Rows i and j link when 100 |i & j| >= SIMILARITY |i | j|. In any one
 order of all shingles, linked rows share one among the first n - ceil(0.8 n) + 1 of each; that prefix is what is shuffled, and the order
 puts the shingles last that many documents of some batch have, so that common passages stay out of prefixes. A shingle that stands in
-one prefix only is dropped. A row's family is the shingle of its prefix that most rows share.
+one prefix only is dropped. So is one that more than HOT_ROWS rows have, for rows whose hot shingles are too few to make a link: all their links have
+another shingle in common too, by which they meet. A row's family is the shingle of its prefix that most rows share.
 
 First product: each family is dealt to blocks of up to BLOCK_ROWS rows, to each of which the family's few most central rows are
 added; a block multiplies its part of the incidence by its transpose, n-gram by n-gram, adding up the overlaps, discards pairs below the
@@ -23,6 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lakeferry.llm.anchors import sieve
 from lakeferry.llm.components import components
 from lakeferry.llm.docstats import text_rows
 from lakeferry.llm.textcore import shingle_hashes, slices, word_hashes
@@ -39,8 +41,10 @@ BLOCK_GRAMS = 1 << 22
 SMALL = 64
 #: A shingle is common if this share of some batch's documents has it, and COMMON_LEAST of them; as many common shingles are known at most.
 COMMON_SHARE, COMMON_LEAST, COMMON_MAX = 1 / 400, 8, 1 << 18
-#: Bits of the filter that keeps documents without a shared shingle from being read a third time; false passes do no harm.
-FILTER_BITS = 1 << 23
+#: A shingle of more prefixes is hot.
+HOT_ROWS = 256
+#: Blocks of a family whose central rows are compared at a time.
+LEADER_BLOCKS = 512
 
 
 def prefix_length(n, similarity: int = SIMILARITY):
@@ -132,30 +136,32 @@ def _to_sets(column: pa.ChunkedArray | pa.Array) -> list[np.ndarray]:
 
 
 def _full_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """id, grams: the whole sets of the documents in ``wanted(id)``. Others are kept out by a filter of fixed size, then a join."""
-    bit = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
-    cells = wanted.select((F.floor(bit / 32)).cast("int").alias("cell"), F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 32).cast("int")).alias("b"))
-    cells = cells.groupBy("cell").agg(F.bit_or("b").alias("b")).toPandas()  # FILTER_BITS / 32 rows at most
-    table = np.zeros(FILTER_BITS // 32, np.uint32)
-    table[cells["cell"].to_numpy(int)] = cells["b"].to_numpy(np.int64).astype(np.uint32)
-    held = docs.sparkSession.sparkContext.broadcast(table)
+    """id, grams: the whole sets of the documents in ``wanted(id)``. Others are kept out by a sieve, as far as one can be had, and a join that follows."""
+    some = sieve(wanted.select(F.col("id").alias("doc")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.column(2).to_numpy()
-            keep = (held.value[at // 32] >> (at % 32).astype(np.uint32)) & 1
-            batch = batch.filter(pa.array(keep == 1))
-            if not batch.num_rows:
-                continue
-            sets = [x for _, x in shingle_sets(batch.column(1), words)]
-            offsets = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
-            values = np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], ["id", "grams"])
-
-    rows = text_rows(docs.filter("doc_id IS NOT NULL")).select(F.col("doc_id").alias("id"), "text").withColumn("at", bit)
+            if some is not None:
+                batch = batch.filter(pa.array(some.holds(batch.column(2).to_numpy())))
+            for i, j, _, _ in slices(batch.column(1)):
+                sets = [x for _, x in shingle_sets(batch.column(1).slice(i, j - i), words)]
+                offsets = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
+                values = np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], ["id", "grams"])
+
+    rows = text_rows(docs.filter("doc_id IS NOT NULL"))
+    if some is None:
+        rows = rows.join(wanted, F.col("doc_id") == F.col("id"), "left_semi")
+    rows = rows.withColumn("at", F.lit(0).cast("long") if some is None else some.place("doc_id"))
     return rows.mapInArrow(run, "id long, grams array<long>")
 
 
+def _in_several(rows: DataFrame) -> DataFrame:
+    """Those of ``rows`` whose tok stands more than once, with the number of ``rows`` that have it. Counts are added up before they are shuffled."""
+    counts = rows.groupBy("tok").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1")
+    return rows.drop("rows").join(counts, "tok")
+
+
 def linked_components(docs: DataFrame, words: int = WORDS, similarity: int = SIMILARITY) -> DataFrame:
     """``docs(doc_id, text)`` -> doc_id, n_shingles, component_id; a row per row of ``docs``. doc_id must be a whole number.
 
@@ -176,14 +182,17 @@ def _members(docs: DataFrame, words: int, similarity: int) -> DataFrame:
     # rows of the incidence matrix: one for each set, named by its least document
     rows = signed.filter("n > 0").groupBy("digest", "n").agg(F.min("doc_id").alias("id"), F.first("prefix").alias("prefix"))
     entries = rows.filter("id IS NOT NULL").select("id", "n", F.size("prefix").alias("p"), F.explode("prefix").alias("tok"))
-    shared = entries.withColumn("rows", F.count(F.lit(1)).over(Window.partitionBy("tok"))).filter("rows > 1")
-    shared = materialize(shared, "shared")
+    shared = materialize(_in_several(entries), "shared")
     # a row whose prefix shares too little with all others together can't link; without it some shingles are shared no more
     per = shared.groupBy("id").agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n"))
     least, most = F.ceil(F.col("n") * similarity / 100), F.floor(F.col("n") * 100 / similarity)
     able = per.filter(_may_link_some(F.col("n"), least, most, F.col("c"), similarity)).select("id")
-    shared = shared.join(able, "id", "left_semi").withColumn("rows", F.count(F.lit(1)).over(Window.partitionBy("tok"))).filter("rows > 1")
-    shared = materialize(shared, "able")
+    shared = materialize(_in_several(shared.join(able, "id", "left_semi")), "able")
+    # hot shingles go from rows that can't link by them alone; how many went is reckoned with as if all were common
+    hot = shared.filter(F.col("rows") > HOT_ROWS).groupBy("id").agg(F.count(F.lit(1)).alias("gone"), F.first("n").alias("n"))
+    hot = hot.filter(~_may_link_some(F.col("n"), least, most, F.col("gone"), similarity)).select("id", "gone")
+    shared = shared.join(hot, "id", "left").withColumn("gone", F.coalesce("gone", F.lit(0).cast("long"))).filter((F.col("gone") == 0) | (F.col("rows") <= HOT_ROWS))
+    shared = materialize(_in_several(shared), "cool")
     edges = _span(docs, shared, words, similarity)
     joined = components(edges)
     named = signed.select("doc_id", "like", "n", "digest")
@@ -232,14 +241,15 @@ def _span(docs: DataFrame, shared: DataFrame, words: int, similarity: int) -> Da
     # the most central rows of a family of several blocks: the best of each block first, so that no task sees the family
     best = Window.partitionBy("family", "block").orderBy(F.desc("central"), "id")
     best = big.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= LEADERS)
-    best = best.withColumn("r", F.row_number().over(Window.partitionBy("family").orderBy(F.desc("central"), "id"))).filter(F.col("r") <= LEADERS)
+    for part in (F.pmod("block", F.lit(LEADER_BLOCKS)), F.lit(0)):
+        best = best.withColumn("r", F.row_number().over(Window.partitionBy("family", part).orderBy(F.desc("central"), "id"))).filter(F.col("r") <= LEADERS)
     leaders = best.select("id", "family", "blocks", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
     # of small families those rows whose overlap within the prefixes leaves a link possible
     small = row.filter(F.col("members").between(2, SMALL)).select("id", "family")
-    post = shared.select("tok", "id", "n").join(small, "id")
-    left, right = post.select("tok", "family", F.col("id").alias("a"), F.col("n").alias("na")), post.select("tok", "family", F.col("id").alias("b"), F.col("n").alias("nb"))
+    post = shared.select("tok", "id", "n", "gone").join(small, "id")
+    left, right = (post.select("tok", "family", F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("gone").alias(f"g{x}")) for x in "ab")
     pairs = left.join(right, ["tok", "family"]).filter("a < b").filter((F.least("na", "nb") * 100 >= F.greatest("na", "nb") * similarity))
-    pairs = pairs.groupBy("a", "b", "family").agg(F.count(F.lit(1)).alias("c"), F.first("na").alias("na"), F.first("nb").alias("nb"))
+    pairs = pairs.groupBy("a", "b", "family").agg((F.count(F.lit(1)) + F.first(F.greatest("ga", "gb"))).alias("c"), F.first("na").alias("na"), F.first("nb").alias("nb"))
     pairs = pairs.filter(_may_link(F.col("na"), F.col("nb"), F.col("c"), similarity))
     hopeful = pairs.select(F.explode(F.array("a", "b")).alias("id"), "family", F.lit(0).cast("long").alias("block"))
     large = row.filter(F.col("members") > SMALL).select("id", "family", "block")
@@ -258,18 +268,18 @@ def _span(docs: DataFrame, shared: DataFrame, words: int, similarity: int) -> Da
     # what a shingle still has apart: rows of other blocks whose component is another
     at = row.select("id", "family", "block", "members").join(joined.select(F.col("node").alias("id"), "component"), "id", "left")
     at = at.select("id", F.when(F.col("members") > SMALL, F.xxhash64("family", "block")).otherwise(F.xxhash64("id")).alias("blk"), F.coalesce("component", "id").alias("comp"))
-    same = Window.partitionBy("tok")
-    live = shared.select("tok", "id", "n").join(at, "id").withColumn("a", F.min("comp").over(same)).withColumn("b", F.max("comp").over(same))
-    live = materialize(live.filter("a <> b").select("tok", "id", "n", "blk", "comp"), "live")
-    cells = live.groupBy("tok", "blk").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min("n").alias("n0"), F.max("n").alias("n1"))
-    other = cells.select("tok", F.col("blk").alias("blk2"), "c0", "c1", "n0", "n1")
+    live = materialize(shared.select("tok", "id", "n", "gone").join(at, "id").select("tok", "id", "n", "gone", "blk", "comp"), "placed")
+    apart = live.groupBy("tok").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a <> b").select("tok")
+    live = materialize(live.join(apart, "tok"), "live")
+    cells = live.groupBy("tok", "blk").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min("n").alias("n0"), F.max("n").alias("n1"), F.max("gone").alias("g1"))
+    other = cells.select("tok", F.col("blk").alias("blk2"), "c0", "c1", "n0", "n1", "g1")
     sent = live.join(other, "tok").filter(
         (F.col("blk") != F.col("blk2"))
         & ((F.col("c0") != F.col("comp")) | (F.col("c1") != F.col("comp")))
         & (F.col("n") * 100 >= F.col("n0") * similarity)
         & (F.col("n1") * 100 >= F.col("n") * similarity)
     )
-    sent = sent.groupBy("id", "blk", "blk2").agg(F.first("comp").alias("comp"), F.first("n").alias("n"), F.count(F.lit(1)).alias("c"), F.min("n0").alias("n0"), F.max("n1").alias("n1"))
+    sent = sent.groupBy("id", "blk", "blk2").agg(F.first("comp").alias("comp"), F.first("n").alias("n"), (F.count(F.lit(1)) + F.greatest(F.first("gone"), F.max("g1"))).alias("c"), F.min("n0").alias("n0"), F.max("n1").alias("n1"))
     low = F.greatest(F.col("n0"), F.ceil(F.col("n") * similarity / 100))
     high = F.least(F.col("n1"), F.floor(F.col("n") * 100 / similarity))
     sent = sent.filter(_may_link_some(F.col("n"), low, high, F.col("c"), similarity))

@@ -108,9 +108,10 @@ def brute_components(texts, words=5, similarity=80):
     return {i: (len(s), root(i)) for i, s in enumerate(sets)}
 
 
-@pytest.mark.parametrize("small, rows", [(ngram_join.SMALL, ngram_join.BLOCK_ROWS), (4, 8)])
-def test_components_are_those_of_all_pairs(docs, texts, small, rows, monkeypatch):
+@pytest.mark.parametrize("small, rows, hot", [(ngram_join.SMALL, ngram_join.BLOCK_ROWS, ngram_join.HOT_ROWS), (4, 8, 256), (4, 8, 3), (64, 256, 2)])
+def test_components_are_those_of_all_pairs(docs, texts, small, rows, hot, monkeypatch):
     monkeypatch.setattr(ngram_join, "SMALL", small)
+    monkeypatch.setattr(ngram_join, "HOT_ROWS", hot)
     monkeypatch.setattr(ngram_join, "BLOCK_ROWS", rows)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.linked_components(docs).collect()}
     assert got == brute_components(texts)
@@ -118,6 +119,24 @@ def test_components_are_those_of_all_pairs(docs, texts, small, rows, monkeypatch
     assert kept == {i for i, (_, c) in got.items() if i == c}
 
 
+@pytest.mark.parametrize("hot", [2, 5, 256])
+def test_components_where_many_share_some_shingles(spark, hot, monkeypatch):
+    """Near copies of texts that also share common passages of several lengths, chains among them, against all pairs."""
+    monkeypatch.setattr(ngram_join, "HOT_ROWS", hot)
+    rng = random.Random(37)
+    common = [prose(rng, n, 3000) for n in (5, 6, 9, 30)]
+    texts = []
+    for _ in range(60):
+        base = [*prose(rng, rng.choice([3, 12, 40, 110]), 3000).split(), *rng.choice(common).split(), *(rng.choice(common).split() if rng.random() < 0.4 else [])]
+        for _ in range(rng.choice([1, 1, 2, 4, 8])):
+            w = list(base)
+            for _ in range(rng.choice([0, 1, 1, 2])):
+                w[rng.randrange(len(w))] = f"e{rng.randrange(999)}"
+            texts.append(" ".join(w[rng.choice([0, 0, 1]) :]))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.linked_components(df).collect()} == brute_components(texts)
+
+
 @pytest.mark.parametrize("similarity", [80, 70, 20])
 def test_a_row_is_sent_if_any_size_in_the_range_may_link(spark, similarity):
     def may(n, m, c):
