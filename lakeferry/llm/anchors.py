@@ -34,7 +34,7 @@ HOT_KEYS = 1 << 16
 #: A filter has FILTER_SPARE bits for each document in it, from FILTER_LEAST up to FILTER_MOST; for more documents none is made.
 FILTER_LEAST, FILTER_MOST, FILTER_SPARE = 1 << 16, 1 << 26, 16
 #: Bytes of text, and rows, that a worker has in hand at a time.
-TAKE_BYTES = 1 << 18
+TAKE_BYTES = 1 << 17
 
 
 @dataclass(frozen=True)

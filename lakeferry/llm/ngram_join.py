@@ -162,6 +162,11 @@ def _in_several(rows: DataFrame) -> DataFrame:
     return rows.drop("rows").join(counts, "tok")
 
 
+def _by_row(shared: DataFrame) -> DataFrame:
+    """id, n, p, of: each row with a list of its shingles and how many rows have each."""
+    return shared.groupBy("id").agg(F.first("n").alias("n"), F.first("p").alias("p"), F.collect_list(F.struct("tok", "rows")).alias("of"))
+
+
 def linked_components(docs: DataFrame, words: int = WORDS, similarity: int = SIMILARITY) -> DataFrame:
     """``docs(doc_id, text)`` -> doc_id, n_shingles, component_id; a row per row of ``docs``. doc_id must be a whole number.
 
@@ -184,15 +189,15 @@ def _members(docs: DataFrame, words: int, similarity: int) -> DataFrame:
     entries = rows.filter("id IS NOT NULL").select("id", "n", F.size("prefix").alias("p"), F.explode("prefix").alias("tok"))
     shared = materialize(_in_several(entries), "shared")
     # a row whose prefix shares too little with all others together can't link; without it some shingles are shared no more
-    per = shared.groupBy("id").agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n"))
     least, most = F.ceil(F.col("n") * similarity / 100), F.floor(F.col("n") * 100 / similarity)
-    able = per.filter(_may_link_some(F.col("n"), least, most, F.col("c"), similarity)).select("id")
-    shared = materialize(_in_several(shared.join(able, "id", "left_semi")), "able")
+    able = _by_row(shared).filter(_may_link_some(F.col("n"), least, most, F.size("of").cast("long"), similarity))
+    shared = materialize(_in_several(able.select("id", "n", "p", F.explode("of.tok").alias("tok"))), "able")
     # hot shingles go from rows that can't link by them alone; how many went is reckoned with as if all were common
-    hot = shared.filter(F.col("rows") > HOT_ROWS).groupBy("id").agg(F.count(F.lit(1)).alias("gone"), F.first("n").alias("n"))
-    hot = hot.filter(~_may_link_some(F.col("n"), least, most, F.col("gone"), similarity)).select("id", "gone")
-    shared = shared.join(hot, "id", "left").withColumn("gone", F.coalesce("gone", F.lit(0).cast("long"))).filter((F.col("gone") == 0) | (F.col("rows") <= HOT_ROWS))
-    shared = materialize(_in_several(shared), "cool")
+    cool = F.filter("of", lambda x: x["rows"] <= HOT_ROWS)
+    hot = (F.size("of") - F.size(cool)).cast("long")
+    rows = _by_row(shared).withColumn("gone", F.when(_may_link_some(F.col("n"), least, most, hot, similarity), 0).otherwise(hot).cast("long"))
+    rows = rows.select("id", "n", "p", "gone", F.explode(F.when(F.col("gone") > 0, cool).otherwise(F.col("of"))["tok"]).alias("tok"))
+    shared = materialize(_in_several(rows), "cool")
     edges = _span(docs, shared, words, similarity)
     joined = components(edges)
     named = signed.select("doc_id", "like", "n", "digest")

@@ -201,6 +201,86 @@ def test_ranker_orders_pairs():
     assert ((model.score(x) >= 0.3) == (y == 1)).mean() > 0.95
 
 
+def slow_features(text):
+    """The features of a text, counted one by one."""
+    t = text or ""
+    words = WORD.findall(t)
+    n, chars, symbols, dups, repeats = brute_base(text)
+    lines = sum(bool(WORD.search(x)) for x in t.split("\n"))
+    upper = sum("A" <= c <= "Z" or "\u00c0" <= c <= "\u00de" for c in t)
+    lower = sum("a" <= c <= "z" or "\u00df" <= c <= "\u00ff" for c in t)
+    ascii_ = [c for c in t if c < "\x80" and not c.isspace() or c in "\x1c\x1d\x1e\x1f"]
+    digits, letters = sum(c.isdigit() for c in ascii_), sum(c.isalpha() for c in ascii_)
+    w, k = max(n, 1), max(chars, 1)
+    return [np.log1p(n), chars / w, symbols / k, dups / max(lines, 1), repeats / w, upper / max(upper + lower, 1), t.count("!") / k, digits / k, (len(ascii_) - digits - letters) / k, len(set(words)) / w, np.log1p(n / max(lines, 1))]
+
+
+MIXED = ["Ünïcode ÀÉÞ ßþÿ! A1 b2; c3... [x]", "UPPER lower\nUPPER lower\n\nx#y $5 & <b>", "a! " * 30 + "\nx y\nx y", "\x1c \x1f a\u00a0b \u2003 c"]
+
+
+@pytest.fixture(scope="module")
+def judged(spark, texts):
+    """Documents, labels of quality, and the features by counting."""
+    every = [*texts, *MIXED]
+    rows = [(i, t) for i, t in enumerate(every)]
+    labels = [(i, int(i % 3 != 0)) for i in range(len(every))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    return df, spark.createDataFrame(labels, "doc_id long, quality int"), {i: slow_features(t) for i, t in rows}, dict(labels)
+
+
+def training_rows(judged):
+    df, _, features, labels = judged
+    keep = [i for i in sorted(features) if zlib.crc32(str(i).encode()) % 5]
+    return np.array([features[i] for i in keep]), np.array([labels[i] for i in keep])
+
+
+def test_verdicts_of_the_trees_one_node_at_a_time(judged):
+    """Which documents stay, by walking each tree of the forest that the training rows give."""
+    df, labels, features, _ = judged
+    x, y = training_rows(judged)
+    got, known = quality_rules.sample_features(df, labels, "quality", 10_000)
+    assert np.allclose(got, x) and known.tolist() == y.tolist()
+    forest = quality_rules.fit_forest(got, known)
+    kept = set()
+    for r in quality_rules.apply_rules(df, labels).collect():
+        f, total = features[r.doc_id], forest.bias
+        for node in forest.roots.tolist():
+            while forest.left[node] != node:
+                node = int(forest.left[node] if f[forest.feature[node]] <= forest.threshold[node] + 1e-12 else forest.right[node])
+            total += forest.value[node]
+        chance = 1 / (1 + np.exp(-total))
+        assert r.chance == pytest.approx(chance) and r.kept == (not r.base_failed and chance >= quality_rules.KEEP_AT)
+        kept |= {r.doc_id} if r.kept else set()
+    assert {r.doc_id for r in quality_rules.keep_good(df, labels).collect()} == kept and 0 < len(kept) < len(features)
+
+
+def test_ranks_by_the_definition(judged):
+    """The weights make the pairs' penalised loss least, and scores follow from strengths and the quantile."""
+    df, labels, features, _ = judged
+    x, y = training_rows(judged)
+    model = bradley_terry.fit_ranker(x, y)
+
+    def strength(f, weights):
+        z = [min(max((v - m) / s, -8), 8) for v, m, s in zip(f, model.mean, model.scale, strict=True)]
+        basis = z + [max(v - k, 0) for k in (-1.0, 0.0, 1.0, 2.0) for v in z]
+        return sum(a * b for a, b in zip(basis, weights, strict=True))
+
+    def loss(weights):
+        each = [strength(f, weights) for f in x]
+        good, bad = bradley_terry.preference_pairs(y)
+        return np.mean([np.log1p(np.exp(-(each[i] - each[j]))) for i, j in zip(good, bad, strict=True)]) + 0.5e-2 * sum(w * w for w in weights)
+
+    least = loss(model.weights)
+    rng = np.random.default_rng(3)
+    assert all(loss(model.weights + step) >= least - 1e-9 for step in rng.normal(0, 0.02, (12, len(model.weights))))
+    ordered = sorted(strength(f, model.weights) for f in x)
+    worse = int((y == 0).sum())
+    at = (ordered[worse - 1] + ordered[worse]) / 2
+    for r in bradley_terry.score_quality(df, labels).collect():
+        odds = np.exp(strength(features[r.doc_id], model.weights) - at) * 0.3 / 0.7
+        assert r.score == pytest.approx(odds / (1 + odds), rel=1e-6) and r.predicted == int(r.score >= 0.3)
+
+
 @pytest.mark.parametrize("sf", ["/root/testdata/sf0.01"])
 def test_held_out_accuracy(spark, sf):
     labels = {r.doc_id: r for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
