@@ -11,6 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as S
 
+from lakeferry.functions.documents import address, binary_json, json_document
 from lakeferry.functions.text import brain_float, geo_as_nested, interval_units, literal, nested, parse_scalar, scalar_text
 from lakeferry.types.grammar import FileType
 from lakeferry.types.mapping import GEO, logical_type, wire_type
@@ -86,6 +87,10 @@ def to_wire(c: Column, have: S.DataType, t: FileType) -> Column:
         out = c
     else:
         out = _number(c, have, want)
+    if bare.name == "JSON":
+        out = json_document(out, bare.args)
+    if bare.name in ("IPv4", "IPv6"):
+        out = address(out, int(bare.name[3]))
     if bare.name in ("Enum8", "Enum16") and bare.args:
         labels = [a[0] if isinstance(a, tuple) else a for a in bare.args]
         out = F.when(out.isNull() | out.isin(*labels), out).otherwise(F.raise_error(F.concat(F.lit("Unknown element '"), out, F.lit(f"' for enum {bare.name}"))).cast("string"))
@@ -136,10 +141,16 @@ def _to(c: Column, t: FileType, want: S.DataType, logical: str, check: str) -> C
             utc = F.to_utc_timestamp(c, F.current_timezone())
             return F.date_format(F.from_utc_timestamp(utc, zone), "HH:mm:ss")
         text = literal(c, t, within=False) if nested(t) else c if isinstance(have, S.StringType) else scalar_text(c, t)
+        if t.name == "JSON":
+            text = json_document(text, t.args)
+        if t.name in ("IPv4", "IPv6"):
+            text = address(text, int(t.name[3]))
         if t.name == "FixedString":
             text = F.rtrim(text, F.lit("\0"))
         if isinstance(have, S.StringType) and t.name in ("String", "FixedString"):
             text = check_text(text, check)
+        if base == "jsonb":
+            return binary_json(text)
         if base in ("char", "bpchar", "character") and digits:
             long = F.raise_error(F.lit(f"value too long for type character({digits[0]})")).cast("string")
             text = F.when(F.length(F.rtrim(text)) > digits[0], long).otherwise(F.rpad(F.rtrim(text), digits[0], " "))

@@ -97,9 +97,10 @@ def statement_of(session: SparkSession, text: str) -> str | None:
     """The kind of a statement that is no query, or None. One that names objects of other databases, or is not in STATEMENTS, is refused."""
     plan = session._jsparkSession.sessionState().sqlParser().parsePlan(text)
     of = lambda name: session._jvm.java.lang.Class.forName(f"org.apache.spark.sql.catalyst.plans.logical.{name}").isInstance(plan)
-    if not of("Command") and not of("ParsedStatement"):
+    inserts = re.search(r"^[\s:+|-]*'?(InsertInto\w+)", plan.toString(), re.M)  # which may stand behind a WITH, or side by side
+    if not of("Command") and not of("ParsedStatement") and not inserts:
         return None
-    kind = plan.getClass().getSimpleName()
+    kind = inserts[1] if inserts else plan.getClass().getSimpleName()
     if kind not in STATEMENTS:
         raise ValueError(f"a query can't be a statement of this kind: {kind}")
     target = re.search(r"Unresolved(?:Identifier|Relation|Table|View|TableOrView|DBObjectName)?\w* \[([^\]]*)\]", plan.toString())

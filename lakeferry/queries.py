@@ -353,6 +353,37 @@ register("bfloat16", "SELECT l_orderkey, l_linenumber, max(CASE WHEN l_extendedp
 )
 
 
+def _documents(structure: str, format: str = "JSONEachRow") -> Query:
+    """Documents made of a row's own numbers, through a file's JSON type into a table's binary one."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        e, url, name = Engine(spark), f"{folder(spark)}/x.dat", new_table()
+        text = F.concat(F.lit('{"long": '), F.col("n_regionkey"), F.lit(',"b":null, "c" : [1,  2], "a":'), F.col("n_nationkey"), F.lit("}"))
+        e.copy_to(table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), F.when(F.col("n_nationkey") % 2 == 0, text).otherwise(F.lit('{"b": {"x": 1}, "k": "\u00e9"}')).alias("d")), url, format=format, structure="id Int32, d String")
+        _table(spark, name, "id integer, d jsonb")
+        e.copy_from(name, url, format=format, structure=f"id Int32, d {structure}")
+        return spark.table(name)
+
+    return run
+
+
+_EVEN = """'{"c": [1, 2], "long": ' || n_regionkey || '}'"""
+register("json_null_drop", """SELECT n_nationkey AS id, CASE WHEN n_nationkey % 2 = 0 THEN '{"a": ' || n_nationkey || ', "c": [1, 2], "long": ' || n_regionkey || '}' ELSE '{"b": {"x": 1}, "k": "é"}' END AS d FROM nation""")(_documents("JSON", "TSV"))
+register("json_skip_path", f"""SELECT n_nationkey AS id, CASE WHEN n_nationkey % 2 = 0 THEN {_EVEN} ELSE '{{"k": "é"}}' END AS d FROM nation""")(_documents("JSON(max_dynamic_paths=1, SKIP a, SKIP b)", "TSV"))
+register("json_typed_path", """SELECT n_nationkey AS id, CASE WHEN n_nationkey % 2 = 0 THEN '{"a": ' || n_nationkey || ', "c": [1, 2], "t": {"s": ""}, "long": ' || n_regionkey || '}' ELSE '{"a": 0, "k": "é", "t": {"s": ""}}' END AS d FROM nation""")(_documents("JSON(a UInt32, t.s String, SKIP b)", "TSV"))
+register("json_text_normalised", """SELECT n_nationkey AS id, CASE WHEN n_nationkey % 2 = 0 THEN '{"a": ' || n_nationkey || ', "b": null, "c": [1, 2], "long": ' || n_regionkey || '}' ELSE '{"b": {"x": 1}, "k": "é"}' END AS d FROM nation""")(_documents("String", "CSV"))
+
+
+@register("inet_forms", "SELECT n_nationkey, '10.0.0.' || n_nationkey AS v4, '2001:db8::' || format('{:x}', n_nationkey + 1) AS v6 FROM nation")
+def inet_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e, url, name = Engine(spark), f"{folder(spark)}/x.csv", new_table()
+    rows = table(spark, sf_dir, "nation").select("n_nationkey", F.concat(F.lit("10.0.0."), F.col("n_nationkey"), F.lit("/32")).alias("v4"), F.concat(F.lit("2001:0DB8:0:0::"), F.lpad(F.hex(F.col("n_nationkey") + 1), 4, "0")).alias("v6"))
+    e.copy_to(rows, url, structure="n_nationkey Int32, v4 IPv4, v6 IPv6")
+    _table(spark, name, "n_nationkey integer, v4 inet, v6 inet")
+    e.copy_from(name, url, structure="n_nationkey Int32, v4 IPv4, v6 IPv6")
+    return spark.table(name)
+
+
 @register("enum_label_reject", "SELECT 'refused' AS error")
 def enum_label_reject(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A value that is no label of the file's enum."""

@@ -626,7 +626,7 @@ def _avro_put(schema) -> Callable:
         return lambda v: _zigzag(int(v or 0))
     if kind in ("float", "double"):
         f = struct.Struct("<f" if kind == "float" else "<d")
-        return lambda v: f.pack(v or 0.0)
+        return lambda v: f.pack(0.0 if v is None else v)
     return lambda v: (lambda b: _zigzag(len(b)) + b)(b"" if v is None else bytes(v) if isinstance(v, (bytes, bytearray)) else (format(v, "f") if isinstance(v, Decimal) else v).encode())
 
 
@@ -700,36 +700,133 @@ def avro_encode(columns: Columns, schema: pa.Schema):
 
 def avro_decode(columns: Columns, schema: pa.Schema):
     def read(stream):
-        import zlib
-
         s = Source(stream)
-        record, codec = avro_head(s)
-        row = _avro_get(record)
-        at = places([f["name"] for f in record["fields"]], columns)
-        fits = [fit(t) for _, t in columns]
+        record, codec, _ = avro_header(s)
+        yield from _avro_blocks(s, record, codec, columns, schema)
 
-        def rows():
-            while not s.ended():
-                n, body = _unzigzag(s), s.take(_unzigzag(s))
-                if codec == "deflate":
-                    body = zlib.decompress(body, -15)
-                elif codec == "snappy":
-                    body = pa.decompress(body[:-4], decompressed_size=_snappy_size(body), codec="snappy", asbytes=True)
-                elif codec == "zstandard":
-                    import zstandard
-
-                    body = zstandard.ZstdDecompressor().decompressobj().decompress(body)
-                block = Source(_Bytes(body))
-                for _ in range(n):
-                    values = row(block)
-                    yield tuple(None if i is None else f(values[i]) for f, i in zip(fits, at, strict=True))
-                s.take(16)
+    return read
 
-        yield from _batches(rows(), schema)
+
+def avro_range_decode(columns: Columns, schema: pa.Schema):
+    """The blocks that follow a sync marker which begins within a range. Each block of a file is in one range, whatever the ranges are."""
+
+    def read(file, start: int, end: int):
+        s = Source(file)
+        record, codec, mark = avro_header(s)
+        file.seek(start)
+        held, at = b"", start  # what has been read and where it begins
+        while (found := held.find(mark)) < 0:
+            more = file.read(1 << 16)
+            if not more or at >= end:
+                return
+            keep = held[-15:]
+            at += len(held) - len(keep)
+            held = keep + more
+        marked = at + found
+        file.seek(marked + 16)
+        yield from _avro_blocks(Source(file), record, codec, columns, schema, end - marked)
 
     return read
 
 
+def _avro_blocks(s: Source, record: dict, codec: str, columns: Columns, schema: pa.Schema, left: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Batches of blocks, which begin right behind a sync marker; ``left``: bytes from that marker on in which the marker before a block must begin."""
+    at = places([f["name"] for f in record["fields"]], columns)
+    flat, row, fits = _flat_reader(record), _avro_get(record), [fit(t) for _, t in columns]
+    gone = 0
+    while not s.ended() and (left is None or gone < left):
+        n = _unzigzag(s)
+        size = _unzigzag(s)
+        body = _unpacked(s.take(size), codec)
+        s.take(16)
+        gone += 16 + size + len(_zigzag(n)) + len(_zigzag(size))
+        if flat is not None:
+            values = flat(body, n)
+            cells = [pa.nulls(n, f.type) if i is None else _cells(values[i], f.type) for i, f in zip(at, schema, strict=True)]
+            yield pa.RecordBatch.from_arrays(cells, schema=schema)
+            continue
+        block = Source(_Bytes(body))
+        rows = (row(block) for _ in range(n))
+        yield from _batches((tuple(None if i is None else f(v[i]) for f, i in zip(fits, at, strict=True)) for v in rows), schema)
+
+
+def _unpacked(body: bytes, codec: str) -> bytes:
+    if codec == "deflate":
+        import zlib
+
+        return zlib.decompress(body, -15)
+    if codec == "snappy":
+        return pa.decompress(body[:-4], decompressed_size=_snappy_size(body), codec="snappy", asbytes=True)
+    if codec == "zstandard":
+        import zstandard
+
+        return zstandard.ZstdDecompressor().decompressobj().decompress(body)
+    return body
+
+
+def _cells(values: list, kind: pa.DataType) -> pa.Array:
+    """A column from what a flat reader found: text and decimals are bytes."""
+    if pa.types.is_string(kind):
+        return pa.array(values, pa.binary()).cast(kind) if all(v is None or isinstance(v, bytes) for v in values[:1]) else pa.array(values, kind)
+    if pa.types.is_decimal(kind):
+        return pa.array([None if v is None else Decimal(v.decode() if isinstance(v, bytes) else v) for v in values], kind)
+    if pa.types.is_floating(kind) or pa.types.is_binary(kind):
+        return pa.array(values, kind)
+    return pa.array(values, kind)
+
+
+_LONG = """
+{i}x = b[at]; at += 1
+{i}if x < 128:
+{i}    v = x
+{i}else:
+{i}    v = x & 127; s = 7
+{i}    while True:
+{i}        x = b[at]; at += 1
+{i}        v |= (x & 127) << s
+{i}        if x < 128: break
+{i}        s += 7
+{i}v = (v >> 1) ^ -(v & 1)"""
+
+
+def _flat_reader(record: dict) -> Callable | None:
+    """A function of (block, rows) that gives a list for each field, made for a record of scalars and scalars that may be null; None for others.
+
+    One loop reads all fields of a row in place, which takes a third of the time of a function for each value.
+    """
+    lines, names = [], []
+    for k, f in enumerate(record["fields"]):
+        kind, null = f["type"], None
+        if isinstance(kind, list):
+            if len(kind) != 2 or "null" not in kind:
+                return None
+            null = 2 * kind.index("null")
+            kind = kind[0] if null else kind[1]
+        logical = kind.get("logicalType") if isinstance(kind, dict) else None
+        kind = kind["type"] if isinstance(kind, dict) else kind
+        i = " " * 8
+        if null is not None:
+            lines.append(f"{i}at += 1\n{i}if b[at - 1] == {null}:\n{i}    p{k}(None)\n{i}else:")
+            i += " " * 4
+        if kind in ("int", "long"):
+            lines.append(_LONG.format(i=i) + f"\n{i}p{k}(v{' * 1000' if logical == 'timestamp-millis' else ''})")
+        elif kind in ("bytes", "string"):
+            lines.append(_LONG.format(i=i) + f"\n{i}p{k}(b[at:at + v]); at += v")
+        elif kind in ("float", "double"):
+            size = 4 if kind == "float" else 8
+            lines.append(f"{i}p{k}({kind}_(b, at)[0]); at += {size}")
+        elif kind == "boolean":
+            lines.append(f"{i}p{k}(b[at] == 1); at += 1")
+        else:
+            return None
+        names.append(k)
+    begin = "".join(f"    c{k} = []; p{k} = c{k}.append\n" for k in names)
+    code = f"def read(b, n):\n{begin}    at = 0\n    for _ in range(n):\n" + "\n".join(lines or ["        pass"]) + f"\n    return [{', '.join(f'c{k}' for k in names)}]\n"
+    scope: dict = {"float_": struct.Struct("<f").unpack_from, "double_": struct.Struct("<d").unpack_from}
+    exec(compile(code, "<avro record>", "exec"), scope)  # the text holds field numbers alone, nothing of the file
+    return scope["read"]
+
+
 class _Bytes:
     def __init__(self, b: bytes):
         self.left = b
@@ -743,16 +840,23 @@ def _snappy_size(body: bytes) -> int:
     return Source(_Bytes(body)).varint()
 
 
-def avro_head(s: Source) -> tuple[dict, str]:
+def avro_header(s: Source) -> tuple[dict, str, bytes]:
+    """(schema, codec, sync marker)"""
     if s.take(4) != b"Obj\1":
         raise ValueError("not an Avro object container")
     meta = {}
     while n := _unzigzag(s):
-        for _ in range(abs(n)):
+        if n < 0:
+            n = -n
+            _unzigzag(s)
+        for _ in range(n):
             k = s.take(_unzigzag(s)).decode()
             meta[k] = s.take(_unzigzag(s))
-    s.take(16)
-    return json.loads(meta["avro.schema"]), meta.get("avro.codec", b"null").decode()
+    return json.loads(meta["avro.schema"]), meta.get("avro.codec", b"null").decode(), s.take(16)
+
+
+def avro_head(s: Source) -> tuple[dict, str]:
+    return avro_header(s)[:2]
 
 
 # Protocol buffers: field i of a message is column i

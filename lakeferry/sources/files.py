@@ -184,5 +184,22 @@ def read_stream(spark: SparkSession, files: list[str], codec: str, decode: Calla
     return paths(spark, files).mapInArrow(run, schema)
 
 
+def read_ranges(spark: SparkSession, files: list[str], decode: Callable, schema) -> DataFrame:
+    """Rows of the batches that ``decode(file, start, end)`` yields, ``file`` one that can be sought in: a task for each range, whose size is chosen as Spark does for its own sources."""
+    sizes = [hadoop(spark, f)[0].getFileStatus(hadoop(spark, f)[1]).getLen() for f in files]
+    step = max(4 << 20, -(-sum(sizes) // max(spark.sparkContext.defaultParallelism, 1)))
+    step = min(step, int(spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))))
+    ranges = [(f, at, min(at + step, n)) for f, n in zip(files, sizes, strict=True) for at in range(0, max(n, 1), step)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for uri, start, end in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                fs, path = filesystem(uri)
+                with fs.open_input_file(path) as file:
+                    yield from decode(file, start, end)
+
+    return spark.createDataFrame(ranges, "path string, start long, end long").repartition(len(ranges)).mapInArrow(run, schema)
+
+
 def suffix_of(codec: str) -> str:
     return _SUFFIX.get(codec, "")

@@ -16,7 +16,7 @@ from lakeferry.plans.options import CopyOptions, bare_name, codec_of
 from lakeferry.runtime import scratch, ship
 from lakeferry.sources import files
 from lakeferry.sources.naming import places
-from lakeferry.sources.binary import BINARY_FORMATS, codec_type, from_codec, to_codec
+from lakeferry.sources.binary import BINARY_FORMATS, avro_range_decode, codec_type, from_codec, to_codec
 from lakeferry.sources.textual import TEXT_FORMATS
 from lakeferry.sources.urls import Location, list_files
 from lakeferry.types.grammar import FileType
@@ -120,7 +120,10 @@ def read(spark: SparkSession, location: Location, columns: Columns, options: Cop
         return TEXT_FORMATS[name].decode(spark, paths, columns)
     kind = S.StructType([S.StructField(f"_{i}", codec_type(t)) for i, (_, t) in enumerate(columns)])
     _, decode = BINARY_FORMATS[name]
-    rows = files.read_stream(spark, paths, codec, decode(columns, to_arrow_schema(kind)), kind)
+    if name == "avro" and codec == "none":
+        rows = files.read_ranges(spark, paths, avro_range_decode(columns, to_arrow_schema(kind)), kind)
+    else:
+        rows = files.read_stream(spark, paths, codec, decode(columns, to_arrow_schema(kind)), kind)
     return rows.select(*[from_codec(F.col(f"_{i}"), t).alias(n) for i, (n, t) in enumerate(columns)])
 
 

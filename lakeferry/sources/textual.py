@@ -15,8 +15,10 @@ from pyspark.sql import types as S
 
 from lakeferry.functions.text import escapable, escape, from_text, geo_as_nested, literal, nested, parse_cell, read_literal, scalar_text, text_type, unescape
 from lakeferry.plans.options import codec_of
-from lakeferry.sources.files import hadoop
+from lakeferry.runtime import materialize
+from lakeferry.sources.files import hadoop, read_stream
 from lakeferry.sources.naming import csv_names, heads, json_names, places
+from lakeferry.sources.streams import batched, data_items, object_values, tuples
 from lakeferry.types.grammar import FileType, parse_type, render_type
 from lakeferry.types.mapping import GEO
 
@@ -265,6 +267,19 @@ def _whole(spark: SparkSession, files: list[str]) -> DataFrame:
     return spark.read.text(files, wholetext=True)
 
 
+def _items(spark: SparkSession, files: list[str], items: Callable) -> DataFrame:
+    """The ``value`` rows that a file lists, as it is read, a task for each file; Spark deals them out again before they are parsed."""
+    parts = [read_stream(spark, own, codec, batched(items), "value string") for codec, own in _by_codec(files).items()]
+    return reduce(DataFrame.unionAll, parts).repartition(max(spark.sparkContext.defaultParallelism, 1)) if len(files) < spark.sparkContext.defaultParallelism else reduce(DataFrame.unionAll, parts)
+
+
+def _by_codec(files: list[str]) -> dict[str, list[str]]:
+    out: dict[str, list[str]] = {}
+    for f in files:
+        out.setdefault(codec_of(f, "auto"), []).append(f)
+    return out
+
+
 def _each_row(strings: bool) -> TextFormat:
     def encode(df: DataFrame, columns: Columns) -> DataFrame:
         if not strings:
@@ -298,7 +313,7 @@ def _document(compact: bool) -> TextFormat:
         return _framed(df.select(value.alias("value")), ['{"meta":' + _meta(columns) + ',"data":['], ["]}"], comma=True)
 
     def decode(spark: SparkSession, files: list[str], columns: Columns) -> DataFrame:
-        rows = _whole(spark, files).select(F.explode(F.from_json("value", "data array<string>", {"mode": "FAILFAST"})["data"]).alias("value"))
+        rows = _items(spark, files, data_items)
         return (_from_array if compact else _from_object)(rows, columns)
 
     return TextFormat(encode, decode)
@@ -306,15 +321,16 @@ def _document(compact: bool) -> TextFormat:
 
 def _columnar(layout: str) -> TextFormat:
     def encode(df: DataFrame, columns: Columns) -> DataFrame:
-        lists = [F.concat(F.lit("["), F.array_join(F.collect_list(_json_value(F.col(f"`{n}`"), t)), ","), F.lit("]")) for n, t in columns]
-        keyed = [F.concat(F.lit(json.dumps(n, ensure_ascii=False) + ":"), x) for (n, _), x in zip(columns, lists, strict=True)]
-        if layout == "compact":
-            text = F.concat(F.lit("["), F.concat_ws(",", *lists), F.lit("]"))
-        else:
-            text = F.concat(F.lit("{"), F.concat_ws(",", *keyed), F.lit("}"))
-        if layout == "meta":
-            text = F.concat(F.lit('{"meta":' + _meta(columns) + ',"data":'), text, F.lit("}"))
-        return df.coalesce(1).agg(text.alias("value"))
+        # a column after the other, a line for each value; the rows are written first, so that all columns see them in one order
+        rows = materialize(df.select(*[_json_value(F.col(f"`{n}`"), t).alias(f"_{i}") for i, (n, t) in enumerate(columns)]).coalesce(1), "columns")
+        begin, end = {"compact": ("[", "]"), "plain": ("{", "}"), "meta": ('{"meta":' + _meta(columns) + ',"data":{', "}}")}[layout]
+        lines = None
+        for i, (n, _) in enumerate(columns):
+            key = "" if layout == "compact" else json.dumps(n, ensure_ascii=False) + ":"
+            one = rows.select(F.col(f"_{i}").alias("value"))
+            part = _framed(one, [("," if i else begin) + key + "["], ["]" + (end if i == len(columns) - 1 else "")], comma=True)
+            lines = part if lines is None else lines.unionAll(part)
+        return lines
 
     def decode(spark: SparkSession, files: list[str], columns: Columns) -> DataFrame:
         of = ", ".join(f"`{n.replace('`', '``')}` array<string>" for n, _ in columns)
@@ -335,8 +351,7 @@ def _object_each_row() -> TextFormat:
         return _framed(rows, ["{"], ["}"], comma=True)
 
     def decode(spark: SparkSession, files: list[str], columns: Columns) -> DataFrame:
-        entries = F.map_values(F.from_json("value", "map<string,string>", {"mode": "FAILFAST"}))
-        return _from_object(_whole(spark, files).select(F.explode(entries).alias("value")), columns)
+        return _from_object(_items(spark, files, object_values), columns)
 
     return TextFormat(encode, decode)
 
@@ -367,10 +382,9 @@ def _values() -> TextFormat:
         row = FileType("Tuple", tuple(t for _, t in columns), tuple(f"_{i}" for i in range(len(columns))))
 
         def split(texts: pd.Series) -> pd.Series:
-            return texts.map(lambda x: json.dumps(read_literal(f"[{x.strip().rstrip(';')}]", FileType("Array", (row,)))))
+            return texts.map(lambda x: json.dumps(read_literal(x, row)))
 
-        parsed = F.from_json(F.pandas_udf(split, "string")(F.col("value")), S.ArrayType(text_type(row)))
-        rows = _whole(spark, files).select(F.explode(parsed).alias("r"))
+        rows = _items(spark, files, tuples).select(F.from_json(F.pandas_udf(split, "string")(F.col("value")), text_type(row)).alias("r"))
         return rows.select(*[from_text(F.col("r")[f"_{i}"], t).alias(n) for i, (n, t) in enumerate(columns)])
 
     return TextFormat(encode, decode)
