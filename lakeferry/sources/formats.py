@@ -77,11 +77,15 @@ def write(df: DataFrame, location: Location, columns: Columns, options: CopyOpti
     codec = codec_of(target, options.compression)
     if name in TEXT_FORMATS:
         lines = TEXT_FORMATS[name].encode(df, columns)
-        if not single_file and not TEXT_FORMATS[name].head and name.endswith(("eachrow", "separated", "separatedraw", "csv", "tskv")) and name != "jsonobjecteachrow":
+        if not single_file:
+            if TEXT_FORMATS[name].head or not name.endswith(("eachrow", "separated", "separatedraw", "csv", "tskv")) or name == "jsonobjecteachrow" or codec not in files.SPARK_CODECS:
+                raise ValueError(f'format "{name}" with compression "{codec}" can be written to a single file only')
             lines.write.mode("overwrite").option("compression", files.SPARK_CODECS[codec]).text(target)
             return
         files.write_lines(lines, target, codec)
         return
+    if not single_file:
+        raise ValueError(f'format "{name}" can be written to a single file only')
     rows = df.select(*[to_codec(F.col(f"`{n}`"), t).alias(f"_{i}") for i, (n, t) in enumerate(columns)])
     encode, _ = BINARY_FORMATS[name]
     files.write_stream(rows, target, codec, encode(columns, to_arrow_schema(rows.schema)))

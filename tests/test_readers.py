@@ -168,3 +168,50 @@ def test_the_upper_half_of_a_number(spark):
     cut = lambda x: struct.unpack("<f", struct.pack("<I", struct.unpack("<I", struct.pack("<f", x))[0] & 0xFFFF0000))[0]
     got = spark.createDataFrame([(i, x) for i, x in enumerate(numbers)], "i int, x double").select("i", brain_float(F.col("x").cast("float")).alias("b")).orderBy("i").collect()
     assert [r.b for r in got] == [cut(x) for x in numbers]
+
+
+def test_statements(spark, engine, folder, tmp_path):
+    catalog.create(spark, "said", catalog.parse_columns("a integer, b text"))
+    spark.sql("INSERT INTO said VALUES (1, 'x'), (2, 'its')")
+    url = f"{folder}/with (odd) WHERE.csv"
+    assert engine.sql(f"COPY said (b, \"a\") TO '{url}' WITH (format 'CSV', structure 'b Enum8(''x'' = 1, ''its'' = 2), a Int32');") == 2
+    assert engine.sql(f"COPY said (b, a) FROM '{url}' (format 'CSV', structure 'b String, a Int32')") == 2
+    assert sorted(map(tuple, spark.table("said").collect())) == [(1, "x"), (1, "x"), (2, "its"), (2, "its")]
+    engine.sql(f"CREATE TABLE said2 (b varchar(9), n numeric(10, 2)) WITH (copy_from = '{url}', format = 'CSV')")
+    assert sorted(r.b for r in spark.table("said2").collect()) == ["its", "x"]
+    with pytest.raises(ValueError, match="cannot read the options"):
+        engine.sql(f"COPY said FROM '{url}' (format 'CSV', x 'a' 'b')")
+    with pytest.raises(ValueError, match="WHERE clause"):
+        engine.sql(f"COPY said FROM '{url}' WHERE a > 1")
+
+
+def test_read_only_and_single_files(spark, engine, folder):
+    from lakeferry.engine import Engine
+
+    shut = Engine(spark, read_only=True)
+    for call in (lambda: shut.copy_from("x", f"{folder}/x"), lambda: shut.create_table("x", copy_from=f"{folder}/x"), lambda: shut.copy_into_parts({"x": "a"}, f"{folder}/x")):
+        with pytest.raises(PermissionError, match="read-only"):
+            call()
+    for format in ("Avro", "JSON", "CSVWithNames"):
+        with pytest.raises(ValueError, match="single file only"):
+            engine.copy_to(spark.range(3), f"{folder}/x.dat", format=format, single_file=False)
+
+
+def test_a_copy_can_be_cancelled(spark, engine, folder):
+    import threading
+    import time
+
+    failed = []
+
+    def run():
+        try:
+            engine.copy_to(spark.range(0, 1 << 34, 1, 8).selectExpr("max(sha2(string(id), 512)) AS x"), f"{folder}/x.csv")
+        except Exception as e:
+            failed.append(e)
+
+    thread = threading.Thread(target=run)
+    thread.start()
+    time.sleep(4)
+    engine.cancel()
+    thread.join(30)
+    assert not thread.is_alive() and failed
