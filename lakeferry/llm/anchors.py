@@ -136,7 +136,8 @@ def run_rows(docs: DataFrame, spec: Windows) -> DataFrame:
 
 
 def repeated(rows: DataFrame) -> DataFrame:
-    """Those of rows(key, doc, pos) whose key stands more than once, with ``part``: -1, or of keys of more than KEY_ROWS rows the part that the row is dealt to.
+    """Those of rows(key, doc, pos) whose key stands more than once, with ``part``: -1, or of keys of more than KEY_ROWS rows the part that the row is dealt to, behind
+    the number of parts (its upper 32 bits).
 
     The counts of the HOT_KEYS commonest of the latter are broadcast, so that their rows need not meet to learn them.
     """
@@ -146,7 +147,7 @@ def repeated(rows: DataFrame) -> DataFrame:
     marked = marked.withColumn("at", F.when(F.col("hot").isNull(), F.col("key")).otherwise(F.xxhash64("doc", "pos")))
     marked = marked.join(counts.select(F.col("key").alias("at"), "rows"), "at", "left").withColumn("rows", F.coalesce("hot", "rows")).filter("rows > 1")
     parts = F.ceil(F.col("rows") / F.lit(KEY_ROWS)).cast("long")
-    part = F.when(parts > 1, F.pmod(F.xxhash64("doc", "pos"), parts)).otherwise(F.lit(-1).cast("long"))
+    part = F.when(parts > 1, F.shiftleft(parts, 32) + F.pmod(F.xxhash64("doc", "pos"), parts)).otherwise(F.lit(-1).cast("long"))
     return marked.select("key", "doc", "pos", part.alias("part"))
 
 

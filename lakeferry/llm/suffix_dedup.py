@@ -175,9 +175,7 @@ def repeated_strings(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         return pa.table({"doc": d, "start": s, "n": np.ones(len(d), np.int64)})
 
     # survivors of an anchor that several shards have meet by key and range of digests: as many ranges as shards
-    across = judged.filter("part >= 0")
-    shards = across.groupBy("key").agg((F.max("part") + 1).alias("shards"))
-    across = across.join(shards, "key").withColumn("range", F.pmod("high", "shards")).select("doc", "start", "key", "range", "part", "high", "low")
+    across = judged.filter("part >= 0").withColumn("range", F.pmod("high", F.shiftright("part", 32))).select("doc", "start", "key", "range", "part", "high", "low")
     across = across.groupBy("key", "range").applyInArrow(merge, "doc long, start long, n long")
     return judged.filter("part < 0").select("doc", "start", "n").unionByName(across)
 
