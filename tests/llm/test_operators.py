@@ -84,6 +84,38 @@ def test_nulls_repeats_and_empty_tables(name, odd, nothing, labels):
     assert len(OPERATORS[name](odd, labels.limit(0)).collect()) == len(got) or name in ("rules", "keep_good")
 
 
+OWN_NAMES = ["_lf_id", "_lf_at", "_node", "size", "shard", "slot", "runs", "_key", "_row", "key", "part", "pos", "doc", "like", "id", "tok", "rows", "held_out", "score", "kept", "item_id", "quality", "toxic", "target", "copies", "label", "n", "starts", "at"]
+
+
+@pytest.mark.parametrize("name", OPERATORS)
+def test_columns_named_as_the_operators_own(name, spark, texts):
+    """Other columns change nothing, whatever they are called; operators that keep rows keep them too."""
+    rows = [(i, t, "en", f"s{i % 2}") for i, t in enumerate(texts[:30] + texts[60:75] + [None, ""])]
+    plain = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(3)
+    more = plain.select("doc_id", *[F.concat(F.lit("x"), F.col("doc_id")).alias(c) for c in OWN_NAMES], "text", "lang", "source")
+    known = spark.createDataFrame([(i, i % 2, (i // 2) % 2) for i in range(200)], "doc_id long, quality int, toxic int")
+    want, got = OPERATORS[name](plain, known), OPERATORS[name](more, known)
+    assert sorted(map(str, want.collect())) == sorted(map(str, got.select(*want.columns).collect()))
+    if want.columns == plain.columns:
+        assert got.columns == more.columns and all(r["_node"] == r["size"] == f"x{r.doc_id}" for r in got.collect())
+
+
+@pytest.mark.parametrize("name", OPERATORS)
+def test_one_very_long_text(name, spark):
+    """A text of several slices, and its repeats, beside short ones."""
+    rng = random.Random(3)
+    part = prose(rng, 30_000, 9000)
+    rows = [(1, part + " " + part, "en", "a"), (2, part, "en", "a"), (3, "short text", "en", "b"), (4, prose(rng, 300), "en", "b")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    known = spark.createDataFrame([(i, i % 2, (i // 2) % 2) for i in range(200)], "doc_id long, quality int, toxic int")
+    got = OPERATORS[name](df, known).collect()
+    assert len(got) == 4 if name in ROW_FOR_ROW else len(got) >= 0
+    if name == "substring":
+        assert {r.doc_id: r.n_words - r.n_removed for r in got} == {1: 0, 2: 0, 3: 2, 4: 300}
+    if name == "suffix":
+        assert {r.doc_id: r.n_removed for r in got}[2] == len(part) and {r.doc_id: r.n_removed for r in got}[1] == len(part)
+
+
 # n-gram join
 
 
