@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 from decimal import Decimal
 from ipaddress import ip_address
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -366,6 +367,51 @@ def _get_column(t: FileType, s: Source, n: int) -> list:
     return [one.get(s) for _ in range(n)]
 
 
+def _plain_layout(t: FileType) -> tuple[str, int, int] | None:
+    """(numpy type, down, up) of types whose values lie side by side, a value v as v // down * up; none for others."""
+    whole = _integer(t)
+    if whole and (whole[0] < 8 or whole == (8, True)):
+        return f"<{'i' if whole[1] else 'u'}{whole[0]}", 1, 1
+    if t.name == "DateTime64":
+        p = precision(t)
+        return "<i8", 10 ** max(6 - p, 0), 10 ** max(p - 6, 0)
+    known = {"Float32": "<f4", "Float64": "<f8", "Bool": "<u1", "Date": "<u2", "Date32": "<i4", "DateTime": "<u4"}
+    if t.name in known:
+        return known[t.name], 1_000_000 if t.name == "DateTime" else 1, 1
+    return ("<i8", 1, 1) if t.name.startswith("Interval") else None
+
+
+def _put_array(t: FileType, c: pa.Array) -> bytes:
+    """A column of a block; columns of plain layout are written by numpy."""
+    layout = _plain_layout(_bare(t))
+    if layout is None:
+        return _put_column(t, c.to_pylist())
+    kind, down, up = layout
+    nulls = c.is_null().to_numpy(zero_copy_only=False).astype(np.uint8).tobytes() if t.nullable else b""
+    values = c.fill_null(False if pa.types.is_boolean(c.type) else 0) if c.null_count else c
+    values = values.to_numpy(zero_copy_only=False)
+    if down != 1 or up != 1:
+        values = values // down * up
+    if kind[1] in "iu" and len(values) and not np.iinfo(kind).min <= values.min() <= values.max() <= np.iinfo(kind).max:
+        raise OverflowError(f"a value is out of the range of {render_type(t)}")
+    return nulls + values.astype(kind).tobytes()
+
+
+def _get_array(t: FileType, s: Source, n: int, kind: pa.DataType) -> pa.Array:
+    bare = _bare(t)
+    layout = _plain_layout(bare)
+    if layout is None:
+        return pa.array(_get_column(t, s, n), kind)
+    dtype, down, up = layout
+    nulls = np.frombuffer(s.take(n), np.uint8) != 0 if t.nullable else None
+    values = np.frombuffer(s.take(n * np.dtype(dtype).itemsize), dtype)
+    if bare.name == "Bool":
+        values = values != 0
+    elif down != 1 or up != 1:
+        values = values.astype(np.int64) * down // up
+    return pa.array(values, mask=nulls).cast(kind)
+
+
 def _strip(t: FileType) -> FileType:
     """Without dictionary encoding, which the blocks written here don't use."""
     if t.name == "LowCardinality":
@@ -381,7 +427,7 @@ def native_encode(columns: Columns, schema: pa.Schema):
                 out.write(varint(len(columns)) + varint(part.num_rows))
                 for (n, t), c in zip(columns, part.columns, strict=True):
                     t = _strip(t)
-                    out.write(_text(n) + _text(render_type(t)) + _put_column(t, c.to_pylist()))
+                    out.write(_text(n) + _text(render_type(t)) + _put_array(t, c))
 
     return write
 
@@ -391,14 +437,16 @@ def native_decode(columns: Columns, schema: pa.Schema):
         s = Source(stream)
         while not s.ended():
             n_columns, n = s.varint(), s.varint()
-            names, cols = [], []
+            names, cols, want = [], [], {name: f.type for (name, _), f in zip(columns, schema, strict=True)}
             for _ in range(n_columns):
                 names.append(s.take(s.varint()).decode())
-                cols.append(_get_column(parse_type(s.take(s.varint()).decode()), s, n))
+                kind = parse_type(s.take(s.varint()).decode())
+                # a column that nobody asked for is read past
+                cols.append(_get_array(kind, s, n, want[names[-1]]) if names[-1] in want else _get_column(kind, s, n))
             if not n_columns:
                 continue
             at = places(names, columns)
-            yield pa.RecordBatch.from_arrays([pa.nulls(n, f.type) if i is None else pa.array(cols[i], f.type) for i, f in zip(at, schema, strict=True)], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.nulls(n, f.type) if i is None else cols[i] for i, f in zip(at, schema, strict=True)], schema=schema)
 
     return read
 
