@@ -574,3 +574,172 @@ def geo_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     e.copy_to(rows, url, structure="k Int64, p Point")
     return e.read(url, schema=rows.schema, structure="k Int64, p Point").select("s_suppkey", "p.x", "p.y")
 
+
+
+# statements, refusals and settings that have no rows of their own above
+
+
+@register("stmt_copy", "SELECT n_nationkey, n_name || ' (x), WITH ''y''' AS n_name FROM nation")
+def stmt_copy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both ways by statements, with literals that hold what the statements are made of."""
+    e, url, view, name = Engine(spark), f"{folder(spark)}/a (b).csv", new_table(), new_table()
+    table(spark, sf_dir, "nation").selectExpr("n_nationkey", "concat(n_name, ' (x), WITH \\'y\\'') AS n_name", "n_regionkey").createOrReplaceTempView(view)
+    e.sql(f"COPY {view} (n_name, n_nationkey) TO '{url}' WITH (format 'CSV', compression 'none')")
+    _table(spark, name, "n_nationkey integer, n_name text")
+    e.sql(f"COPY {name} (n_name, n_nationkey) FROM '{url}' (format = 'CSV');")
+    spark.catalog.dropTempView(view)
+    return spark.table(name)
+
+
+@register("stmt_create", "SELECT r_regionkey, r_name FROM region")
+def stmt_create(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e, url, name = Engine(spark), f"{folder(spark)}/r.tsv.gz", new_table()
+    e.copy_to(table(spark, sf_dir, "region"), url, format="TSVWithNamesAndTypes")
+    e.sql(f"CREATE TABLE {name} WITH (copy_from = '{url}', format = 'TSVWithNamesAndTypes', fillfactor = 70)")
+    return spark.table(name)
+
+
+@register("http_both_ways", "SELECT r_regionkey, r_name FROM region")
+def http_both_ways(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Posted to a server of this process, and read from it."""
+    import http.server
+    import threading
+
+    held: dict[str, bytes] = {}
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_POST(self):
+            held[self.path] = self.rfile.read(int(self.headers["Content-Length"]))
+            self.send_response(200)
+            self.end_headers()
+
+        def do_GET(self):
+            self.send_response(200 if self.path in held else 404)
+            self.end_headers()
+            self.wfile.write(held.get(self.path, b""))
+
+        def log_message(self, *_):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        e, url, rows = Engine(spark), f"http://127.0.0.1:{server.server_address[1]}/r.csv.gz", table(spark, sf_dir, "region").select("r_regionkey", "r_name")
+        e.copy_to(rows, url, format="CSVWithNames")
+        return spark.createDataFrame(e.read(url, schema=rows.schema, format="CSVWithNames").collect(), rows.schema)  # the server goes with this call
+    finally:
+        server.shutdown()
+
+
+_ODD = "SELECT r_regionkey, r_name || chr(9) || 'tab' || chr(10) || 'line\\\\ \"q\" ''s'', ' || chr(13) || chr(8) || 'é' AS t FROM region".replace("\\\\", "\\")
+for _format in ("tabseparated", "csv", "customseparated", "tskv", "values", "jsoneachrow", "jsoncompactstringseachrow"):
+
+    def _escapes(spark: SparkSession, sf_dir: str, format: str = _format) -> DataFrame:
+        e, url, name = Engine(spark), f"{folder(spark)}/x.dat", new_table()
+        odd = F.concat("r_name", F.lit("\ttab\nline\\ \"q\" 's', \r\bé"))
+        e.copy_to(table(spark, sf_dir, "region").select("r_regionkey", odd.alias("t")), url, format=format)
+        _table(spark, name, "r_regionkey integer, t text")
+        e.copy_from(name, url, format=format)
+        return spark.table(name)
+
+    register(f"escapes_{_format}", _ODD)(_escapes)
+
+
+@register("fixed_string", "SELECT n_nationkey, left(n_name, 6) AS s FROM nation")
+def fixed_string(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shorter values are filled up with zero bytes, which go again."""
+    e, url = Engine(spark), f"{folder(spark)}/x.bin"
+    e.copy_to(table(spark, sf_dir, "nation").select("n_nationkey", F.expr("left(n_name, 6)").alias("s")), url, format="RowBinary", structure="n_nationkey Int32, s FixedString(8)")
+    return e.read(url, "n_nationkey integer, s text", format="RowBinary", structure="n_nationkey Int32, s FixedString(8)")
+
+
+@register("landing_twice", "SELECT n_nationkey, n_name FROM nation")
+def landing_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that arrive between two runs of a landing copy, each once."""
+    from lakeferry.plans.options import copy_options
+    from lakeferry.streaming.landing import copy_landing
+
+    e, at, name, rows = Engine(spark), folder(spark), new_table(), table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    _table(spark, name, "n_nationkey integer, n_name text")
+    for k in range(2):
+        e.copy_to(rows.filter(F.col("n_nationkey") % 2 == k), f"{at}/in/{k}.csv", format="CSV")
+        copy_landing(spark, name, f"{at}/in", copy_options(format="CSV"), f"{at}/checkpoint").awaitTermination()
+    return spark.table(name)
+
+
+def _refused(name: str, text: str, call: Callable[[Engine, SparkSession, str, str], object], pattern: str) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return _refusal(spark, lambda: call(Engine(spark), spark, sf_dir, folder(spark)), pattern)
+
+    register(name, "SELECT '" + text.replace("'", "''") + "' AS error")(run)
+
+
+def _again(e: Engine, spark: SparkSession, sf_dir: str, at: str) -> None:
+    name = new_table()
+    e.copy_to(table(spark, sf_dir, "region"), f"{at}/r.csv", columns=["r_regionkey", "r_name"])
+    _table(spark, name, "r_regionkey integer, r_name text")
+    for _ in range(2):
+        e.copy_from(name, f"{at}/r.csv", unique=["r_regionkey"])
+
+
+def _nowhere(e: Engine, spark: SparkSession, sf_dir: str, at: str) -> None:
+    name = new_table()
+    e.copy_to(table(spark, sf_dir, "region"), f"{at}/r.csv", columns=["r_regionkey"])
+    _table(spark, name, "r_regionkey integer")
+    e.copy_into_parts({name: "r_regionkey < 2"}, f"{at}/r.csv")
+
+
+def _exists(e: Engine, spark: SparkSession, sf_dir: str, at: str) -> None:
+    e.copy_to(table(spark, sf_dir, "region"), f"{at}/r.parquet")
+    name = new_table()
+    for _ in range(2):
+        e.create_table(name, copy_from=f"{at}/r.parquet")
+
+
+def _checked(e: Engine, spark: SparkSession, sf_dir: str, at: str) -> None:
+    name = new_table()
+    e.copy_to(table(spark, sf_dir, "region"), f"{at}/r.csv", columns=["r_regionkey"])
+    _table(spark, name, "r_regionkey integer CHECK (r_regionkey < 3)")
+    e.copy_from(name, f"{at}/r.csv")
+
+
+def _no_columns(e: Engine, spark: SparkSession, sf_dir: str, at: str) -> None:
+    e.copy_to(table(spark, sf_dir, "region"), f"{at}/r.csv", format="CSVWithNames", columns=["r_name"])
+    e.read(f"{at}/r.csv", "r_regionkey integer", format="CSVWithNames")
+
+
+_refused("refuse_unique", "duplicate key value violates unique constraint (r_regionkey)", _again, r"duplicate key value violates unique constraint \(r_regionkey\)")
+_refused("refuse_partition", "no partition of relation found for row", _nowhere, "no partition of relation found for row")
+_refused("refuse_existing", '" already exists', _exists, '" already exists$')
+_refused("refuse_check", "new row violates check constraint (r_regionkey < 3)", _checked, r"new row violates check constraint \(r_regionkey < 3\)")
+_refused("refuse_interval", "interval does not fit IntervalDay", lambda e, s, d, at: e.copy_to(s.sql("SELECT INTERVAL '36' HOUR AS i"), f"{at}/x", format="RowBinary", structure="i IntervalDay"), "interval does not fit IntervalDay")
+_refused("refuse_no_shared_column", "the file has none of the columns r_regionkey; it has r_name", _no_columns, "the file has none of the columns r_regionkey; it has r_name")
+_refused("refuse_read_only", "cannot execute COPY FROM in a read-only transaction", lambda e, s, d, at: Engine(s, read_only=True).copy_from("t", f"{at}/x"), "cannot execute COPY FROM in a read-only transaction")
+_refused("refuse_column", 'column "nope" does not exist', lambda e, s, d, at: e.copy_to(table(s, d, "region"), f"{at}/x.csv", columns=["nope"]), 'column "nope" does not exist')
+_refused("refuse_memory", '65536 MB is outside the valid range for parameter "max_memory" (0 MB .. 65535 MB)', lambda e, s, d, at: Engine(s, max_memory=65536), ".*")
+_refused("refuse_other_database", "a statement in a query can name objects of its own database only, not default.x", lambda e, s, d, at: e.query("CREATE TABLE default.x AS SELECT 1 AS a", "a int"), "a statement in a query.*")
+_refused("query_error_context", "query: SELECT nothing_there", lambda e, s, d, at: e.query("SELECT nothing_there", "a int"), "query: .*")
+_refused("query_error_clipped", "...", lambda e, s, d, at: e.query("SELECT nothing_there, '" + "x" * 9000 + "'", "a int"), r"\.\.\.$")
+
+
+@register("log_redacted", "SELECT true AS told, false AS leaked")
+def log_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a copy logs names its file, and no key."""
+    import logging
+
+    lines: list[str] = []
+    keep, log = logging.Handler(), logging.getLogger("lakeferry")
+    keep.emit = lambda record: lines.append(record.getMessage())
+    log.addHandler(keep)
+    before, level = log.level, log.setLevel(logging.DEBUG)
+    try:
+        Engine(spark).copy_to(table(spark, sf_dir, "region"), f"{folder(spark)}/r.csv", access_key="key-one", access_secret="hush-hush", session_token="tok-two")
+    finally:
+        log.setLevel(before)
+        log.removeHandler(keep)
+    text = "\n".join(lines)
+    return spark.createDataFrame([("r.csv" in text and "***" in text, any(x in text for x in ("key-one", "hush-hush", "tok-two")))], "told boolean, leaked boolean")
+
+
+ask("rel_intersect_all", "SELECT c_nationkey AS k FROM customer INTERSECT ALL SELECT s_nationkey FROM supplier", "k int", "customer supplier")
+ask("rel_approx_distinct", "SELECT approx_count_distinct(n_regionkey) AS k FROM nation", "k bigint", "nation", "SELECT count(DISTINCT n_regionkey) AS k FROM nation")
