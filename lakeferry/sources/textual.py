@@ -79,7 +79,7 @@ def _tsv(head: int, raw: bool) -> TextFormat:
 
     def decode(spark: SparkSession, files: list[str], columns: Columns) -> DataFrame:
         def rows(files: list[str], first: list[str], at: list[int | None]) -> DataFrame:
-            lines = _without_head(spark.read.option("lineSep", "\n").text(files), first)
+            lines = _dealt(spark, _without_head(spark.read.option("lineSep", "\n").text(files), first), files)
             lines = lines.select(F.split("value", "\t", -1).alias("p"))
             cell = lambda i, t: F.when(F.col("p")[i] != NULL, unescape(F.col("p")[i]) if not raw and escapable(t) else F.col("p")[i])
             return lines.select(*[parse_cell(_none() if i is None else cell(i, t), t).alias(n) for i, (n, t) in zip(at, columns, strict=True)])
@@ -280,13 +280,26 @@ def _by_codec(files: list[str]) -> dict[str, list[str]]:
     return out
 
 
+#: Compressed files that are larger are dealt out by lines before they are parsed, as one task must unpack them whole.
+PACKED_BYTES = 8 << 20
+
+
+def _dealt(spark: SparkSession, lines: DataFrame, files: list[str]) -> DataFrame:
+    """``lines`` of few packed files over all tasks, so that only unpacking is one file's task."""
+    tasks = spark.sparkContext.defaultParallelism
+    if len(files) >= tasks or codec_of(files[0], "auto") not in ("gzip", "snappy"):
+        return lines
+    largest = max(hadoop(spark, f)[0].getFileStatus(hadoop(spark, f)[1]).getLen() for f in files)
+    return lines.repartition(tasks) if largest > PACKED_BYTES else lines
+
+
 def _each_row(strings: bool) -> TextFormat:
     def encode(df: DataFrame, columns: Columns) -> DataFrame:
         if not strings:
             return df.select(_object(columns).alias("value"))
         return df.select(F.to_json(F.struct(*[_cell(F.col(f"`{n}`"), t).alias(n) for n, t in columns]), _TO_JSON).alias("value"))
 
-    return TextFormat(encode, lambda spark, files, columns: _from_object(spark.read.text(files).filter("value <> ''"), columns, strings))
+    return TextFormat(encode, lambda spark, files, columns: _from_object(_dealt(spark, spark.read.text(files).filter("value <> ''"), files), columns, strings))
 
 
 def _compact_each_row(strings: bool, head: int) -> TextFormat:

@@ -215,3 +215,12 @@ def test_a_copy_can_be_cancelled(spark, engine, folder):
     engine.cancel()
     thread.join(30)
     assert not thread.is_alive() and failed
+
+
+@pytest.mark.parametrize("format", ["TSV", "TSVWithNames", "JSONEachRow", "JSONCompactEachRowWithNames"])
+def test_packed_files_are_dealt_out_by_lines(spark, engine, folder, format, monkeypatch):
+    monkeypatch.setattr(textual, "PACKED_BYTES", 0)
+    rows = spark.range(500).select("id", F.concat(F.lit("t\t\n"), F.col("id")).alias("t"))
+    engine.copy_to(rows, f"{folder}/x.dat.gz", format=format)
+    got = engine.read(f"{folder}/x.dat.gz", schema=rows.schema, format=format)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, rows.collect()))
