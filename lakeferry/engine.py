@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,12 +20,15 @@ _OPTIONS = ("format", "structure", "access_key", "access_secret", "session_token
 
 
 class Engine:
-    """All entry points over one session. ``allow_files`` False refuses local files, ``read_only`` True whatever writes a table."""
+    """All entry points over one session. ``allow_files`` False refuses local files, ``read_only`` True whatever writes a table.
 
-    def __init__(self, spark: SparkSession, *, max_memory: int = 0, max_threads: int = 0, max_parsing_threads: int = 0, allow_files: bool = True, read_only: bool = False):
+    ``policy(action, what)`` may forbid anything by returning False: "query" a text, "read" or "write" a URL, "select" from, "insert" into or "create" a table.
+    """
+
+    def __init__(self, spark: SparkSession, *, max_memory: int = 0, max_threads: int = 0, max_parsing_threads: int = 0, allow_files: bool = True, read_only: bool = False, policy: Callable[[str, str], bool] | None = None):
         self.spark = spark
         self.settings = Settings(max_memory, max_threads, max_parsing_threads)
-        self.allow_files, self.read_only = allow_files, read_only
+        self.allow_files, self.read_only, self.policy = allow_files, read_only, policy
         self._tag = f"lakeferry-{uuid.uuid4().hex}"
 
     @contextmanager
@@ -41,6 +44,10 @@ class Engine:
         """Stop the copies that run on this engine now, from another thread. What they staged goes with them."""
         self.spark.sparkContext.cancelJobsWithTag(self._tag)
 
+    def _allow(self, action: str, what: str) -> None:
+        if self.policy is not None and self.policy(action, what) is False:
+            raise PermissionError(f"permission denied to {action} {what}")
+
     def _writable(self, what: str) -> None:
         if self.read_only:
             raise PermissionError(f"cannot execute {what} in a read-only transaction")
@@ -51,9 +58,11 @@ class Engine:
     def _permit(self, url: str, way: str) -> None:
         if url.startswith("file://") and not self.allow_files:
             raise PermissionError(f"permission denied to COPY {way} a file")
+        self._allow("read" if way == "from" else "write", url)
 
     def query(self, sql: str, schema: str | S.StructType | None = None, params: dict | None = None) -> DataFrame:
         """Rows of a query in an isolated session, as the declared columns."""
+        self._allow("query", sql)
         return query.query(self.spark, sql, schema, params, self.settings, self.version(), lambda url: self._permit(url, "from"))
 
     def copy_from(self, table: str, url: str, *, columns: list[str] | None = None, unique: list[str] | None = None, where: str | None = None, **options) -> int:
@@ -61,12 +70,15 @@ class Engine:
             raise ValueError("COPY FROM a URL not supported with a WHERE clause")
         self._writable("COPY FROM")
         self._permit(url, "from")
+        self._allow("insert", table)
         with self._cancellable():
             return copy.copy_from(self.spark, table, url, copy_options(**options), columns, unique=unique, threads=self.settings.max_parsing_threads)
 
     def copy_into_parts(self, parts: dict[str, str], url: str, *, columns: list[str] | None = None, **options) -> int:
         self._writable("COPY FROM")
         self._permit(url, "from")
+        for table in parts:
+            self._allow("insert", table)
         with self._cancellable():
             return copy.copy_into_parts(self.spark, parts, url, copy_options(**options), columns)
 
@@ -74,6 +86,7 @@ class Engine:
         self._permit(url, "to")
         with self._cancellable():
             if isinstance(source, str):
+                self._allow("select", source)
                 return copy.copy_to(self.spark.table(source), url, copy_options(**options), columns, catalog.table_schema(self.spark, source), single_file)
             return copy.copy_to(source, url, copy_options(**options), columns, None, single_file)
 
@@ -93,6 +106,7 @@ class Engine:
 
     def create_table(self, name: str, columns: str | S.StructType | None = None, *, structure_from: str | None = None, copy_from: str | None = None, if_not_exists: bool = False, **options) -> int:
         self._writable("CREATE TABLE")
+        self._allow("create", name)
         for url in (structure_from, copy_from):
             if url:
                 self._permit(url, "from")

@@ -94,7 +94,7 @@ def complete(rows: DataFrame, schema: S.StructType) -> DataFrame:
 def copy_from(spark: SparkSession, table: str, url: str, options: CopyOptions, columns: list[str] | None = None, structure: list[tuple[str, FileType]] | None = None, unique: list[str] | None = None, threads: int = 0) -> int:
     """Append the rows of the files that the URL names to the table; all of them, or none if one is refused. Returns how many they were.
 
-    ``threads``: tasks that read and write at a time, at most; 0 for what the cluster has.
+    ``unique``: columns whose values together no two rows may share, besides those that the table declares unique; nulls are like nothing. ``threads``: tasks that read and write at a time, at most; 0 for what the cluster has.
     """
     schema = catalog.table_schema(spark, table)
     r = request(spark, schema, url, options, columns)
@@ -103,11 +103,15 @@ def copy_from(spark: SparkSession, table: str, url: str, options: CopyOptions, c
     seen = Observation()
     rows = complete(read_rows(spark, r), schema)
     rows = rows.coalesce(threads) if threads else rows
-    if unique:
+    keys = ([list(unique)] if unique else []) + [k for k in catalog.unique_keys(schema) if k != unique]
+    if keys:
         rows = materialize(rows, "copy")
-        both = rows.select(*unique).unionAll(spark.table(table).select(*unique)) if unique else rows
-        if both.groupBy(*unique).count().filter("count > 1").limit(1).count():
-            raise ValueError(f"duplicate key value violates unique constraint ({', '.join(unique)})")
+    for key in keys:
+        # only the new rows' keys are grouped; the table's meet them by a join
+        new = rows.select(*key).dropna().groupBy(*key).count()
+        old = spark.table(table).select(*key).dropna().join(new.select(*key), key, "left_semi")
+        if new.filter("count > 1").limit(1).count() or old.limit(1).count():
+            raise ValueError(f"duplicate key value violates unique constraint ({', '.join(key)})")
     rows = rows.observe(seen, F.count(F.lit(1)).alias("n"))
     rows.select(*[f"`{n}`" for n in spark.table(table).columns]).write.insertInto(table)
     return int(seen.get["n"] or 0)

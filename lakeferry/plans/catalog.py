@@ -65,7 +65,7 @@ def _split(text: str) -> list[str]:
 
 
 def parse_columns(text: str) -> S.StructType:
-    """``name type [NOT NULL] [DEFAULT expr] [GENERATED ALWAYS AS (expr)] [CHECK (expr)], ...``"""
+    """``name type [NOT NULL] [UNIQUE | PRIMARY KEY] [DEFAULT expr] [GENERATED ALWAYS AS (expr)] [CHECK (expr)], ...``"""
     fields = []
     for part in _split(text):
         found = re.match(r'\s*(?:"((?:[^"]|"")+)"|`((?:[^`]|``)+)`|(\w+))\s+(.*)', part, re.S)
@@ -78,10 +78,10 @@ def parse_columns(text: str) -> S.StructType:
             if m:
                 meta[key] = m[1]
                 rest = rest[: m.start()] + rest[m.end() :]
-        not_null = re.search(r"\s+(NOT NULL|PRIMARY KEY)", rest, re.I)
-        rest = re.sub(r"\s+(NOT NULL|PRIMARY KEY|NULL)\b", "", rest, flags=re.I)
+        not_null, unique = re.search(r"\s+(NOT NULL|PRIMARY KEY)\b", rest, re.I), re.search(r"\s+(UNIQUE|PRIMARY KEY)\b", rest, re.I)
+        rest = re.sub(r"\s+(NOT NULL|PRIMARY KEY|UNIQUE|NULL)\b", "", rest, flags=re.I)
         logical, kind = column_type(rest)
-        meta |= ({"logical": logical} if logical else {}) | ({"not_null": True} if not_null else {})
+        meta |= ({"logical": logical} if logical else {}) | ({"not_null": True} if not_null else {}) | ({"unique": True} if unique else {})
         fields.append(S.StructField(name, kind, not not_null, meta))
     return S.StructType(fields)
 
@@ -113,3 +113,8 @@ def constrained(row: dict[str, Column], schema: S.StructType) -> dict[str, Colum
 
 def checks(schema: S.StructType) -> list[str]:
     return [f.metadata["check"] for f in schema.fields if (f.metadata or {}).get("check")]
+
+
+def unique_keys(schema: S.StructType) -> list[list[str]]:
+    """Columns that were declared unique, each by itself."""
+    return [[f.name] for f in schema.fields if (f.metadata or {}).get("unique")]

@@ -224,3 +224,23 @@ def test_packed_files_are_dealt_out_by_lines(spark, engine, folder, format, monk
     engine.copy_to(rows, f"{folder}/x.dat.gz", format=format)
     got = engine.read(f"{folder}/x.dat.gz", schema=rows.schema, format=format)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, rows.collect()))
+
+
+def test_declared_keys_and_policies(spark, engine, folder, tmp_path):
+    from lakeferry.engine import Engine
+
+    catalog.create(spark, "keyed", catalog.parse_columns("id integer PRIMARY KEY, code text UNIQUE, n integer"))
+    (tmp_path / "a.csv").write_text('1,"x",1\n2,\\N,1\n3,\\N,1\n')
+    (tmp_path / "b.csv").write_text('4,"x",1\n')
+    (tmp_path / "c.csv").write_text('5,"y",1\n5,"z",1\n')
+    assert engine.copy_from("keyed", f"{folder}/a.csv") == 3
+    for name, key in (("a", "id"), ("b", "code"), ("c", "id")):
+        with pytest.raises(ValueError, match=rf"unique constraint \({key}\)"):
+            engine.copy_from("keyed", f"{folder}/{name}.csv")
+    assert spark.table("keyed").count() == 3
+    seen = []
+    shut = Engine(spark, policy=lambda action, what: seen.append((action, what)) or action not in ("insert", "query", "select"))
+    for call, text in ((lambda: shut.copy_from("keyed", f"{folder}/b.csv"), "insert keyed"), (lambda: shut.query("SELECT 1", "a int"), "query SELECT 1"), (lambda: shut.copy_to("keyed", f"{folder}/d.csv"), "select keyed")):
+        with pytest.raises(PermissionError, match=f"permission denied to {text}"):
+            call()
+    assert shut.read(f"{folder}/b.csv", "a int, b text, c int").count() == 1 and ("read", f"{folder}/b.csv") in seen
