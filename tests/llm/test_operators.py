@@ -782,7 +782,7 @@ def test_no_window_above_the_similarity_is_lost(spark):
             if best >= 0.8:
                 want[d, i] = pytest.approx(best)
     df, bench = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
-    assert {(r.doc_id, r.item_id): r.similarity for r in decontaminate.find_leaks(df, bench).collect()} == want and len(want) > 100
+    assert {(r.doc_id, r.item_id): r.similarity for r in decontaminate.find_leaks(df, bench).collect()} == want and len(want) > 80
 
 
 def test_items_in_blocks_and_ids_of_text(spark, monkeypatch):
