@@ -35,6 +35,7 @@ class Engine:
     def _cancellable(self) -> Iterator[None]:
         context = self.spark.sparkContext
         context.addJobTag(self._tag)
+        context.setInterruptOnCancel(True)  # so that tasks end too
         try:
             yield
         finally:
