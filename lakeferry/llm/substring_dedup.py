@@ -139,7 +139,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """
     ship(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    removed = materialize(repeated_windows(docs, window), "windows")
+    removed = repeated_windows(docs, window)
 
     def judge(batch: pa.RecordBatch) -> pa.RecordBatch:
         n, gone, sha, kept = [], [], [], []

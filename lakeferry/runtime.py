@@ -16,6 +16,9 @@ _SHIPPED, _SCRATCH = "_lakeferry_shipped", "_lakeferry_scratch"
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Bytes of an Arrow batch that a Python worker is sent, in place of Spark's 64 MB, so that its memory follows this and not 10,000 rows.
 _BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
+#: Of local folders: where Hadoop has no native library it starts a process (chmod) for each folder and file that it makes, and its checksummed file system one more for the sums.
+#: Until such a process has its own program it shares the executor's memory, and who adds up by process counts that twice.
+_PLAIN_FILES = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
 
 
 def ship(spark: SparkSession) -> None:
@@ -74,7 +77,7 @@ def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     before = spark.conf.get(_CLEAN, "false")
     spark.conf.set(_CLEAN, "true")
     try:
-        df.write.parquet(path)
+        df.write.options(**_PLAIN_FILES).parquet(path)
     finally:
         spark.conf.set(_CLEAN, before)
     return spark.read.schema(df.schema).parquet(path)

@@ -832,3 +832,18 @@ def test_words_and_windows():
         assert textcore.window_minimum(v, w).tolist() == [v[i : i + w].min() for i in range(300 - w + 1)]
     h = textcore.run_hashes(np.tile(v[:50], 3), 35)
     assert (h[:50] == h[50:100]).all() and len(np.unique(h[:50])) == 50
+
+
+def test_intermediate_tables_are_one_file_a_task(spark, tmp_path):
+    from pathlib import Path
+
+    from lakeferry.runtime import materialize
+
+    given = spark.range(100, numPartitions=3)
+    held = materialize(given, "plain")
+    (path,) = {Path(f.removeprefix("file:")).parent for f in held.inputFiles()}
+    assert held.exceptAll(given).isEmpty() and held.count() == 100
+    # no files of checksums, each of which costs the executor a process
+    assert sorted(x.suffix for x in path.iterdir() if x.name != "_SUCCESS") == [".parquet"] * 3
+    given.write.parquet(f"file://{tmp_path}/t")
+    assert any(x.suffix == ".crc" for x in (tmp_path / "t").iterdir())  # others' tables are written as ever
