@@ -172,14 +172,14 @@ def write_stream(df: DataFrame, target: str, codec: str, encode: Callable) -> No
         drop(spark, folder)
 
 
-def read_stream(spark: SparkSession, files: list[str], codec: str, decode: Callable, schema) -> DataFrame:
-    """Rows of the batches that ``decode(stream)`` yields, a task for each file."""
+def read_stream(spark: SparkSession, files: list[str], codec: str, decode: Callable, schema, named: bool = False) -> DataFrame:
+    """Rows of the batches that ``decode(stream)`` yields, a task for each file; ``named``: it gets the file's name too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for uri in batch.column(0).to_pylist():
                 with reading(uri, codec) as stream:
-                    yield from decode(stream)
+                    yield from decode(stream, uri) if named else decode(stream)
 
     return paths(spark, files).mapInArrow(run, schema)
 

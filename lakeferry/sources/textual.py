@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
@@ -15,10 +16,10 @@ from pyspark.sql import types as S
 
 from lakeferry.functions.text import escapable, escape, from_text, geo_as_nested, literal, nested, parse_cell, read_literal, scalar_text, text_type, unescape
 from lakeferry.plans.options import codec_of
-from lakeferry.runtime import materialize
-from lakeferry.sources.files import hadoop, read_stream
+from lakeferry.runtime import materialize, scratch
+from lakeferry.sources.files import hadoop, read_stream, write_lines
 from lakeferry.sources.naming import csv_names, heads, json_names, places
-from lakeferry.sources.streams import batched, data_items, object_values, tuples
+from lakeferry.sources.streams import batched, column_blocks, data_items, object_values, tuples
 from lakeferry.types.grammar import FileType, parse_type, render_type
 from lakeferry.types.mapping import GEO
 
@@ -263,16 +264,22 @@ def _element(c: Column, t: FileType, strings: bool = False) -> Column:
     return from_json_text(F.from_json(c, json_text_type(t)) if nested(t) else c, t)
 
 
-def _whole(spark: SparkSession, files: list[str]) -> DataFrame:
-    return spark.read.text(files, wholetext=True)
-
-
 def _items(spark: SparkSession, files: list[str], items: Callable) -> DataFrame:
     """The ``value`` rows that a file lists, as it is read, a task for each file; Spark deals them out again before they are parsed."""
     parts = [read_stream(spark, own, codec, batched(items), "value string") for codec, own in _by_codec(files).items()]
     return reduce(DataFrame.unionAll, parts).repartition(max(spark.sparkContext.defaultParallelism, 1)) if len(files) < spark.sparkContext.defaultParallelism else reduce(DataFrame.unionAll, parts)
 
 
+def _streamable(spark: SparkSession, files: list[str], codec: str) -> list[str]:
+    """The files, or unpacked copies where only Spark can unpack them. Their lines end alike then, which no value can hold."""
+    if codec != "snappy":
+        return files
+    to = [f"{scratch(spark)}/unpacked/{uuid.uuid4().hex}/x" for _ in files]
+    for f, name in zip(files, to, strict=True):
+        write_lines(spark.read.text(f), name, "none")
+    return [hadoop(spark, name)[0].makeQualified(hadoop(spark, name)[1]).toString() for name in to]
+
+
 def _by_codec(files: list[str]) -> dict[str, list[str]]:
     out: dict[str, list[str]] = {}
     for f in files:
@@ -346,13 +353,13 @@ def _columnar(layout: str) -> TextFormat:
         return lines
 
     def decode(spark: SparkSession, files: list[str], columns: Columns) -> DataFrame:
-        of = ", ".join(f"`{n.replace('`', '``')}` array<string>" for n, _ in columns)
-        kind = {"compact": "array<array<string>>", "plain": of, "meta": "data struct<" + ", ".join(f"`{n.replace('`', '``')}`: array<string>" for n, _ in columns) + ">"}[layout]
-        at = F.from_json("value", kind, {"mode": "FAILFAST"})
-        at = at["data"] if layout == "meta" else at
-        rows = _whole(spark, files).select(at.alias("o"))
-        part = (lambda i, n: F.col("o")[i]) if layout == "compact" else (lambda i, n: F.col("o")[n])
-        rows = rows.select(F.explode(F.arrays_zip(*[part(i, n).alias(f"_{i}") for i, (n, _) in enumerate(columns)])).alias("r"))
+        # a file's columns are read one after the other, in blocks of rows; those of the same rows then meet
+        names, schema = [n for n, _ in columns], "file string, block long, at int, items string"
+        parts = [read_stream(spark, _streamable(spark, own, codec), codec if codec != "snappy" else "none", column_blocks(layout, names), schema, named=True) for codec, own in _by_codec(files).items()]
+        blocks = reduce(DataFrame.unionAll, parts).repartition("file", "block")
+        blocks = blocks.groupBy("file", "block").agg(*[F.max(F.when(F.col("at") == i, F.col("items"))).alias(f"_{i}") for i in range(len(columns))])
+        lists = [F.from_json(F.coalesce(f"_{i}", F.lit("[]")), "array<string>", {"mode": "FAILFAST"}).alias(f"_{i}") for i in range(len(columns))]
+        rows = blocks.select(*lists).select(F.explode(F.arrays_zip(*[f"_{i}" for i in range(len(columns))])).alias("r"))
         return rows.select(*[_element(F.col("r")[f"_{i}"], t).alias(n) for i, (n, t) in enumerate(columns)])
 
     return TextFormat(encode, decode)

@@ -244,3 +244,41 @@ def test_declared_keys_and_policies(spark, engine, folder, tmp_path):
         with pytest.raises(PermissionError, match=f"permission denied to {text}"):
             call()
     assert shut.read(f"{folder}/b.csv", "a int, b text, c int").count() == 1 and ("read", f"{folder}/b.csv") in seen
+
+
+COLUMN_LAYOUTS = {"plain": "JSONColumns"}
+
+
+@pytest.mark.parametrize("layout", COLUMN_LAYOUTS)
+@pytest.mark.parametrize("chunk", [1, 7, 1 << 18])
+def test_columns_are_read_in_blocks(layout, chunk, monkeypatch):
+    monkeypatch.setattr(streams, "CHUNK", chunk)
+    rng = random.Random(2)
+    scalars = [v for v in VALUES if not isinstance(v, (list, dict))]
+    for n in (0, 1, streams.BLOCK - 1, streams.BLOCK, 2 * streams.BLOCK + 5):
+        columns = {"a": [rng.choice(scalars) for _ in range(n)], "b": [rng.choice(scalars) for _ in range(n)], "c": [rng.choice(VALUES) for _ in range(n)]}
+        document = {"plain": columns, "meta": {"meta": [{"name": "data"}], "data": columns, "rows": n}, "compact": [columns[k] for k in "cab"]}[layout]
+        for indent in (None, 1):
+            got = {"c": [], "a": []}
+            for batch in streams.column_blocks(layout, ["c", "a"])(io.BytesIO(json.dumps(document, indent=indent).encode()), "x"):
+                for _, block, at, items in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    assert block * streams.BLOCK == len(got["ca"[at]]) and len(json.loads(items)) <= streams.BLOCK
+                    got["ca"[at]] += json.loads(items)
+            assert got == {"c": columns["c"], "a": columns["a"]}
+
+
+@pytest.mark.parametrize("layout", COLUMN_LAYOUTS)
+@pytest.mark.parametrize("suffix", ["", ".gz", ".snappy"])
+def test_columns_of_files_with_many_rows(spark, engine, folder, layout, suffix):
+    """Rows keep together, in blocks over all tasks; no file is a row, as it was."""
+    for k in range(2):
+        engine.copy_to(spark.range(1000 * k, 1000 * k + 700).select("id", F.concat(F.lit('t\n"'), F.col("id")).alias("t"), F.array(F.col("id"), F.lit(None)).alias("a")), f"{folder}/x{k}.dat{suffix}", format=COLUMN_LAYOUTS[layout])
+    got = engine.read(f"{folder}/x{{0..1}}.dat{suffix}", schema="id bigint, t text, a bigint[]", format=COLUMN_LAYOUTS[layout])
+    assert sorted(map(tuple, got.collect())) == [(i, f't\n"{i}', [i, None]) for k in range(2) for i in range(1000 * k, 1000 * k + 700)]
+    assert "wholetext" not in got._jdf.queryExecution().optimizedPlan().treeString() and len(list(got.inputFiles())) == 0
+
+
+def test_columns_that_a_file_lacks_or_that_are_shorter(engine, folder, tmp_path):
+    (tmp_path / "x.json").write_text('{"a": [1, 2, 3], "other": {"x": [1]}, "b": ["p", "q"], "d": null}')
+    got = engine.read(f"{folder}/x.json", "b text, c int, a int, d int", format="JSONColumns")
+    assert sorted(map(tuple, got.collect()), key=lambda r: r[2]) == [("p", None, 1, None), ("q", None, 2, None), (None, None, 3, None)]
