@@ -246,7 +246,7 @@ def test_declared_keys_and_policies(spark, engine, folder, tmp_path):
     assert shut.read(f"{folder}/b.csv", "a int, b text, c int").count() == 1 and ("read", f"{folder}/b.csv") in seen
 
 
-COLUMN_LAYOUTS = {"plain": "JSONColumns", "meta": "JSONColumnsWithMetadata"}
+COLUMN_LAYOUTS = {"plain": "JSONColumns", "meta": "JSONColumnsWithMetadata", "compact": "JSONCompactColumns"}
 
 
 @pytest.mark.parametrize("layout", COLUMN_LAYOUTS)
