@@ -313,6 +313,30 @@ def test_ranks_by_the_definition(judged):
         assert r.score == pytest.approx(odds / (1 + odds), rel=1e-6) and r.predicted == int(r.score >= 0.3)
 
 
+def test_ranker_learns_from_every_row_and_pair(spark):
+    """No gradient is left of the loss over all pairs, and rows dealt over tasks give the model of rows in memory."""
+    rng = np.random.default_rng(4)
+    x = rng.random((25_000, 11))
+    y = (x[:, 0] + rng.normal(0, 0.2, len(x)) > 0.3).astype(int)
+    model = bradley_terry.fit_ranker(x[:2000], y[:2000])
+    phi = bradley_terry._basis(x[:2000], model.mean, model.scale, model.knots)
+    better, worse = phi[y[:2000] == 1], phi[y[:2000] == 0]
+    lose = 1 / (1 + np.exp((better @ model.weights)[:, None] - worse @ model.weights))
+    gradient = (worse.T @ lose.sum(0) - better.T @ lose.sum(1)) / lose.size + 1e-2 * model.weights
+    assert np.abs(gradient).max() < 1e-6 and len(bradley_terry.preference_pairs(y[:2000])[0]) == lose.size
+    known = spark.createDataFrame([(int(a), *map(float, b)) for a, b in zip(y, x, strict=True)], "label int, " + ", ".join(f"{f} double" for f in bradley_terry.FEATURES)).repartition(5)
+    dealt, whole = bradley_terry.train(known), bradley_terry.fit_ranker(x, y)
+    assert np.allclose(dealt.weights, whole.weights, atol=1e-6) and np.allclose(dealt.mean, x.mean(0)) and dealt.threshold == pytest.approx(whole.threshold, abs=1e-6)
+
+
+def test_values_on_either_side_of_a_rank(spark):
+    values = [0.5] * 30 + [float(v) for v in np.random.default_rng(5).normal(0, 1, 200)] + [1e9, -1e9, 0.5000000001]
+    held = spark.createDataFrame([(v,) for v in values], "s double")
+    ordered = sorted(values)
+    for rank in (1, 2, 90, ordered.index(0.5), ordered.index(0.5) + 1, ordered.index(0.5) + 30, len(values) - 1):
+        assert bradley_terry._either_side(held, rank) == (ordered[rank - 1], ordered[rank])
+
+
 @pytest.mark.parametrize("sf", ["/root/testdata/sf0.01"])
 def test_held_out_accuracy(spark, sf):
     labels = {r.doc_id: r for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
