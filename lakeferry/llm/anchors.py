@@ -141,7 +141,7 @@ def repeated(rows: DataFrame) -> DataFrame:
 
     The counts of the HOT_KEYS commonest of the latter are broadcast, so that their rows need not meet to learn them.
     """
-    counts = materialize(rows.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1"), "counts")
+    counts = materialize(rows.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1"), "counts", plain=True)
     hot = counts.filter(F.col("rows") > KEY_ROWS).orderBy(F.desc("rows"), "key").limit(HOT_KEYS).select("key", F.col("rows").alias("hot"))
     marked = rows.join(F.broadcast(hot), "key", "left")
     marked = marked.withColumn("at", F.when(F.col("hot").isNull(), F.col("key")).otherwise(F.xxhash64("doc", "pos")))
@@ -201,7 +201,7 @@ def filtered(docs: DataFrame, some: Sieve | None) -> DataFrame:
 
 def with_rows(docs: DataFrame, rows: DataFrame, *columns: str) -> DataFrame:
     """doc_id, text and a list of each of ``columns``: documents that have rows(doc, ...), with theirs, each different one once."""
-    listed = materialize(rows.groupBy("doc").agg(F.collect_set(F.struct(*columns)).alias("_r")).select("doc", *[F.col(f"_r.{c}").alias(f"_{c}") for c in columns]), "listed")
+    listed = materialize(rows.groupBy("doc").agg(F.collect_set(F.struct(*columns)).alias("_r")).select("doc", *[F.col(f"_r.{c}").alias(f"_{c}") for c in columns]), "listed", plain=True)
     texts = filtered(text_rows(docs.filter("doc_id IS NOT NULL")), sieve(listed.select("doc")))
     return texts.join(listed, F.col("doc_id") == F.col("doc")).select("doc_id", "text", *[f"_{c}" for c in columns])
 
@@ -285,7 +285,7 @@ def finish(docs: DataFrame, removed: DataFrame, judge, schema: str) -> DataFrame
     Only documents that have some are shuffled, to meet their list; the others are judged where they are read.
     """
     listed = removed.groupBy("doc").agg(F.collect_list(F.struct("start", "n")).alias("_r")).select("doc", F.col("_r.start").alias("starts"), F.col("_r.n").alias("counts"))
-    listed = materialize(listed, "removed")
+    listed = materialize(listed, "removed", plain=True)
     rows, some = text_rows(docs), sieve(listed.select("doc"))
     none = F.array().cast("array<long>")
     hit = filtered(rows.filter("doc_id IS NOT NULL"), some).join(listed, F.col("doc_id") == F.col("doc"), "left")

@@ -201,7 +201,7 @@ def train(known: DataFrame) -> Ranker:
             yield pa.RecordBatch.from_arrays([pa.array(model.strength(matrix(batch)))], ["s"])
 
     if 0 < bad < rows:
-        model.threshold = sum(_either_side(materialize(known.mapInArrow(strengths, "s double"), "strengths"), bad)) / 2
+        model.threshold = sum(_either_side(materialize(known.mapInArrow(strengths, "s double"), "strengths", plain=True), bad)) / 2
     return model
 
 
@@ -223,9 +223,9 @@ def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], batch.column(2)[i:j], *[pa.array(c) for c in x.T]], ["doc_id", "held_out", *FEATURES])
 
     measured = text_rows(docs, held_out().alias("held_out")).mapInArrow(measure, f"doc_id {kind}, held_out boolean, " + ", ".join(f"{f} double" for f in FEATURES))
-    measured = materialize(measured, "measured")
+    measured = materialize(measured, "measured", plain=True)
     label = labels.filter(F.col("quality").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.min(F.col("quality").cast("int")).alias("label"))
-    known = materialize(measured.filter("NOT held_out").join(label, "doc_id").select("label", *FEATURES), "known")
+    known = materialize(measured.filter("NOT held_out").join(label, "doc_id").select("label", *FEATURES), "known", plain=True)
     model = spark.sparkContext.broadcast(train(known))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -109,7 +109,7 @@ def compare(key: np.ndarray, part: np.ndarray, doc: np.ndarray, start: np.ndarra
 def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc, start, n: every repeated window of ``docs(doc_id, text)``, as stretches of n windows from word ``start`` on."""
     spec = Windows(window, levels(window)[0], True)
-    halved = materialize(extended(docs, repeated(run_rows(docs, spec)), spec), "halves")
+    halved = materialize(extended(docs, repeated(run_rows(docs, spec)), spec), "halves", plain=True)
     rows = _whole(docs, repeated(halved), spec)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,7 +120,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             yield compare(key, part, doc, start, [windows[a:b] for a, b in zip(at[:-1] // 8, at[1:] // 8, strict=True)])
 
     rows = rows.repartition("key", "part").sortWithinPartitions("key", "part")
-    judged = materialize(rows.mapInArrow(judge, "doc long, start long, n long, key long, window long, across long"), "judged")
+    judged = materialize(rows.mapInArrow(judge, "doc long, start long, n long, key long, window long, across long"), "judged", plain=True)
     # windows of keys in parts that stand once in theirs, but in other parts too
     across = judged.filter("across = 1")
     known = across.groupBy("key", "window").agg(F.count(F.lit(1)).alias("parts")).filter("parts > 1")

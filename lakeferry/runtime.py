@@ -67,17 +67,17 @@ def _remove(jvm, conf, folder: str) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
-def materialize(df: DataFrame, name: str = "t") -> DataFrame:
+def materialize(df: DataFrame, name: str = "t", plain: bool = False) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: lineage ends there, and a lost executor costs no recomputation.
 
-    What was shuffled for it is of no more use then, and goes as soon as the write has ended.
+    What was shuffled for it is of no more use then, and goes as soon as the write has ended. ``plain``: without files of checksums.
     """
     spark = df.sparkSession
     path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
     before = spark.conf.get(_CLEAN, "false")
     spark.conf.set(_CLEAN, "true")
     try:
-        df.write.options(**_PLAIN_FILES).parquet(path)
+        df.write.options(**(_PLAIN_FILES if plain else {})).parquet(path)
     finally:
         spark.conf.set(_CLEAN, before)
     return spark.read.schema(df.schema).parquet(path)

@@ -864,7 +864,7 @@ def test_intermediate_tables_are_one_file_a_task(spark, tmp_path):
     from lakeferry.runtime import materialize
 
     given = spark.range(100, numPartitions=3)
-    held = materialize(given, "plain")
+    held = materialize(given, "plain", plain=True)
     (path,) = {Path(f.removeprefix("file:")).parent for f in held.inputFiles()}
     assert held.exceptAll(given).isEmpty() and held.count() == 100
     # no files of checksums, each of which costs the executor a process
