@@ -11,6 +11,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _SHIPPED, _SCRATCH = "_lakeferry_shipped", "_lakeferry_scratch"
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -81,3 +82,28 @@ def materialize(df: DataFrame, name: str = "t", plain: bool = False) -> DataFram
     finally:
         spark.conf.set(_CLEAN, before)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def materialize_columns(df: DataFrame, name: str = "columns") -> list[DataFrame]:
+    """Write the texts of each column, which hold no line end, to a file of lines, and read them back as ``value``, all columns in one order of rows.
+
+    One task writes all files in one pass and the lines are read one by one, so that rows of any width take the memory of a few rows.
+    """
+    spark = df.sparkSession
+    path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
+    lines = df.coalesce(1).select(F.posexplode(F.array(*[F.col(f"`{c}`") for c in df.columns])).alias("at", "value"))
+    # with as many open files as columns rows aren't sorted by column before
+    held = {_CLEAN: "true", "spark.sql.maxConcurrentOutputFileWriters": str(len(df.columns) + 1)}
+    before = {k: spark.conf.get(k, "false" if k == _CLEAN else "0") for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        lines.write.partitionBy("at").options(maxRecordsPerFile=0, lineSep="\n", compression="none").text(path)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    folders = [f"{path}/at={i}" for i in range(len(df.columns))]
+    first = spark._jvm.org.apache.hadoop.fs.Path(folders[0])
+    if not first.getFileSystem(spark._jsc.hadoopConfiguration()).exists(first):  # no rows
+        return [spark.createDataFrame([], "value string") for _ in folders]
+    return [spark.read.option("lineSep", "\n").text(f) for f in folders]

@@ -16,7 +16,7 @@ from pyspark.sql import types as S
 
 from lakeferry.functions.text import escapable, escape, from_text, geo_as_nested, literal, nested, parse_cell, read_literal, scalar_text, text_type, unescape
 from lakeferry.plans.options import codec_of
-from lakeferry.runtime import materialize, scratch
+from lakeferry.runtime import materialize_columns, scratch
 from lakeferry.sources.files import hadoop, read_stream, write_lines
 from lakeferry.sources.naming import csv_names, heads, json_names, places
 from lakeferry.sources.streams import batched, column_blocks, data_items, object_values, tuples
@@ -342,13 +342,12 @@ def _document(compact: bool) -> TextFormat:
 def _columnar(layout: str) -> TextFormat:
     def encode(df: DataFrame, columns: Columns) -> DataFrame:
         # a column after the other, a line for each value; the rows are written first, so that all columns see them in one order
-        rows = materialize(df.select(*[_json_value(F.col(f"`{n}`"), t).alias(f"_{i}") for i, (n, t) in enumerate(columns)]).coalesce(1), "columns")
+        values = materialize_columns(df.select(*[_json_value(F.col(f"`{n}`"), t).alias(f"_{i}") for i, (n, t) in enumerate(columns)]))
         begin, end = {"compact": ("[", "]"), "plain": ("{", "}"), "meta": ('{"meta":' + _meta(columns) + ',"data":{', "}}")}[layout]
         lines = None
         for i, (n, _) in enumerate(columns):
             key = "" if layout == "compact" else json.dumps(n, ensure_ascii=False) + ":"
-            one = rows.select(F.col(f"_{i}").alias("value"))
-            part = _framed(one, [("," if i else begin) + key + "["], ["]" + (end if i == len(columns) - 1 else "")], comma=True)
+            part = _framed(values[i], [("," if i else begin) + key + "["], ["]" + (end if i == len(columns) - 1 else "")], comma=True)
             lines = part if lines is None else lines.unionAll(part)
         return lines
 

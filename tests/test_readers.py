@@ -282,3 +282,26 @@ def test_columns_that_a_file_lacks_or_that_are_shorter(engine, folder, tmp_path)
     (tmp_path / "x.json").write_text('{"a": [1, 2, 3], "other": {"x": [1]}, "b": ["p", "q"], "d": null}')
     got = engine.read(f"{folder}/x.json", "b text, c int, a int, d int", format="JSONColumns")
     assert sorted(map(tuple, got.collect()), key=lambda r: r[2]) == [("p", None, 1, None), ("q", None, 2, None), (None, None, 3, None)]
+
+
+def test_columns_under_a_key_that_holds_none(engine, folder, tmp_path):
+    """What is no object of lists is refused before it is held, and an empty file has no rows."""
+    read = lambda text: (tmp_path / "x.json").write_text(text) and None or engine.read(f"{folder}/x.json", "a int, b text", format="JSONColumnsWithMetadata").collect()
+    for data, said in (('[{"a":1,"b":"x"}]', "data is no object"), ('"x"', "data is no object"), ('{"a":[9],"b":["p"]},"data":{"a":[2],"b":["q"]}', "'data' twice")):
+        with pytest.raises(Exception, match=said):
+            read('{"meta":[],"data":' + data + "}")
+    assert read("") == [] and read('{"meta":[],"data":null}') == []
+
+
+@pytest.mark.parametrize("layout", COLUMN_LAYOUTS)
+def test_columns_are_written_line_by_line(spark, engine, folder, layout):
+    """The writer reads its intermediate files by lines, not in batches of thousands of rows of any width; columns keep one order of rows."""
+    from lakeferry.sources.textual import TEXT_FORMATS
+    from lakeferry.types.grammar import parse_type
+
+    df = spark.range(0, 3000, 1, 5).select("id", F.concat(F.lit("t\r\n "), F.col("id")).alias("t"), F.when(F.col("id") % 3 > 0, F.col("id")).alias("n"))
+    columns = [("id", parse_type("Int64")), ("t", parse_type("String")), ("n", parse_type("Nullable(Int64)"))]
+    assert "parquet" not in TEXT_FORMATS[COLUMN_LAYOUTS[layout].lower()].encode(df, columns)._jdf.queryExecution().executedPlan().toString().lower()
+    engine.copy_to(df, f"{folder}/x.json", format=COLUMN_LAYOUTS[layout])
+    got = engine.read(f"{folder}/x.json", schema=df.schema, format=COLUMN_LAYOUTS[layout])
+    assert sorted(map(tuple, got.collect())) == [(i, f"t\r\n {i}", i if i % 3 else None) for i in range(3000)]
