@@ -305,3 +305,12 @@ def test_columns_are_written_line_by_line(spark, engine, folder, layout):
     engine.copy_to(df, f"{folder}/x.json", format=COLUMN_LAYOUTS[layout])
     got = engine.read(f"{folder}/x.json", schema=df.schema, format=COLUMN_LAYOUTS[layout])
     assert sorted(map(tuple, got.collect())) == [(i, f"t\r\n {i}", i if i % 3 else None) for i in range(3000)]
+
+
+@pytest.mark.parametrize("layout", COLUMN_LAYOUTS)
+def test_blocks_of_long_texts(layout):
+    """A block is what a task holds of a column at once: with long texts it must not take much either."""
+    columns = {"a": ["x" * 100_000] * 300, "b": list(range(300))}
+    document = {"plain": columns, "meta": {"data": columns}, "compact": list(columns.values())}[layout]
+    batches = list(streams.column_blocks(layout, ["a", "b"])(io.BytesIO(json.dumps(document).encode()), "x"))
+    assert max(len(t) for b in batches for t in b.column("items").to_pylist()) < 4_000_000 and max(b.nbytes for b in batches) < 8_000_000
